@@ -7,13 +7,18 @@ numbered names, ``sorts`` for variables, and its children in ``args``.
 from __future__ import annotations
 
 import json
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# what runs on executors travels with the job
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: Constructors whose name is a reference of each kind. All others only pass on what is below them.
 CONSTRUCTORS = {"Type": ("TypeTyp", "Sort"), "Constant": ("Const",), "Fact": ("PAxm", "Oracle", "PThm")}
 _NODES = "root string, node int, parent int, ctor string, name string"

@@ -37,7 +37,8 @@ def extract(exports: Exports) -> tuple[DataFrame, DataFrame, DataFrame]:
     types, type_errors = ingest.extract_types(e.types, e.typedefs, e.axioms, nodes)
     facts = ingest.extract_facts(e.axioms, e.constdefs, e.typedefs, e.thms, nodes)
     text = pretty(F.col("tree"))
-    printed = e.trees.select(F.col("root").alias("typ"), text.alias("type"))
+    own = e.trees.join(e.consts.select(F.col("typ").alias("root")).distinct(), "root", "left_semi")
+    printed = own.select(F.col("root").alias("typ"), text.alias("type"))
     consts = consts.join(printed, "typ", "left").withColumn("type_facet", facet_copy(F.col("type")))
     columns = ["theory", "id", "full_name", "kind", "name", "name_facet", "type", "type_facet", "uses"]
     none = {"type": F.lit(None).cast("string"), "type_facet": F.lit(None).cast("string")}

@@ -80,7 +80,7 @@ def with_context(blocks: DataFrame, by: list[str] = ("theory",), text: str = "sr
 def extract_blocks(segments: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Blocks with id, command and context; a blank one is an error."""
     rows = with_context(segments).withColumn("id", block_id(F.col("theory"), F.col("start"), F.col("stop")))
-    blank = F.trim("src") == ""
+    blank = ~F.col("src").rlike(r"\S")
     errors = rows.filter(blank).select(F.lit("extract-blocks").alias("step"), F.col("id").alias("entity"), F.lit("blank block").alias("message"))
     kept = rows.filter(~blank).withColumn("command", command_kind(F.col("src"))).withColumn("theory_facet", facet_copy(F.col("theory")))
     return kept, errors
