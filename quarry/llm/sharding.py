@@ -50,7 +50,8 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
     before = F.coalesce(F.sum("n").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = counts.select("__bucket", before.alias("__offset"))
 
-    order = F.struct(id_text(id_col).alias("k1"), text_crc(F.col(text_col)).alias("k2"), text_size(F.col(text_col)).alias("k3"))
+    hashable = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]  # rows that tie differ in maps alone
+    order = F.struct(id_text(id_col).alias("k1"), text_crc(F.col(text_col)).alias("k2"), F.xxhash64(*hashable).alias("k3"))
     scattered = docs.select(bucket.alias("__bucket"), order.alias("__order"), F.struct(*docs.columns).alias("__row"))
     # partition i holds bucket i and nothing else, so its seed is the bucket's
     scattered = scattered.repartitionById(buckets, F.col("__bucket")).sortWithinPartitions("__bucket", "__order")
