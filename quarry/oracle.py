@@ -102,7 +102,7 @@ ORACLE_SQL = {
     "definition_lookup": "SELECT 'no axiom ' || c_nationkey AS message, count(*) AS n FROM customer WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_nationkey < 20) GROUP BY 1",
     "copy_field_truncate": "SELECT doc_id, md5(substr(text, 1, 3276)) AS h FROM documents",
     "list_indexes": "WITH x AS (SELECT CASE WHEN n_nationkey % 10 = 7 THEN 'default_' || n_name ELSE n_name END AS name, n_nationkey AS o FROM nation) SELECT name, row_number() OVER (ORDER BY CASE WHEN o = (SELECT min(o) FROM x WHERE name LIKE '%default%') THEN 0 ELSE 1 END, o) AS rank FROM x",
-    "index_name_parts": "SELECT n_nationkey, replace(n_name, '_', '-') AS name, CASE WHEN n_nationkey % 2 = 0 THEN '2020' END AS release, CASE WHEN n_nationkey % 2 = 0 THEN 'AFP' END AS archive FROM nation",
+    "index_name_parts": "SELECT n_nationkey, replace(n_name, '_', '-') AS name, CASE WHEN n_nationkey % 2 = 0 THEN '2020' END AS release, CASE WHEN n_nationkey % 2 = 0 THEN 'ARCHIVE' END AS archive FROM nation",
     "upsert_latest": "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id",
     "session_selection": r"SELECT DISTINCT string_split(regexp_extract(url, '//([^/]+)', 1), '.')[1] AS session FROM pages",
     "delete_by_query": "SELECT o_orderpriority AS command, count(*) AS n FROM orders WHERE o_orderpriority <> '1-URGENT' GROUP BY 1",

@@ -347,7 +347,7 @@ def list_indexes(spark: SparkSession, d: str) -> DataFrame:
 
 def index_name_parts(spark: SparkSession, d: str) -> DataFrame:
     plain = F.replace("n_name", F.lit("_"), F.lit("-"))
-    name = F.when(F.col("n_nationkey") % 2 == 0, F.concat_ws("_", plain, F.lit("2020"), F.lit("AFP"))).otherwise(plain)
+    name = F.when(F.col("n_nationkey") % 2 == 0, F.concat_ws("_", plain, F.lit("2020"), F.lit("ARCHIVE"))).otherwise(plain)
     return table(spark, d, "nation").select("n_nationkey", catalog.name_parts(name).alias("p")).select("n_nationkey", "p.name", "p.release", "p.archive")
 
 
