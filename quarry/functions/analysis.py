@@ -79,7 +79,8 @@ def index_length(text: Column, kind: str) -> Column:
 def may_hold(text: Column, kind: str, piece: Column) -> Column:
     """False only for texts without a form that contains ``piece``: forms are parts of the text or of its ASCII form."""
     plain = index_text(text, kind)
-    return F.contains(F.lower(plain), piece) | F.contains(F.lower(folded(plain)), piece)
+    accented = F.octet_length(plain) != F.char_length(plain)
+    return F.contains(F.lower(plain), piece) | (accented & F.contains(F.lower(folded(plain)), piece))
 
 
 def index_positions(text: Column, kind: str) -> Column:
@@ -89,7 +90,9 @@ def index_positions(text: Column, kind: str) -> Column:
     def forms(t: Column) -> Column:
         found = F.array(t) if kind == "name_text" else F.array(t, folded(t))
         more = parts(t) if kind == "name_text" else F.concat(parts(t), parts(folded(t)))
-        return F.transform(F.array_distinct(F.concat(found, more)), lambda x: F.lower(x))
+        # most tokens are plain words, numbers or signs, which have no form but themselves
+        plain = t.rlike(r"^(?:[A-Za-z]+|[0-9]+|[^\p{L}\p{N}])$")
+        return F.when(plain, F.array(F.lower(t))).otherwise(F.transform(F.array_distinct(F.concat(found, more)), lambda x: F.lower(x)))
 
     return F.transform(base_tokens(text, kind), forms)
 

@@ -154,8 +154,14 @@ class Compiler:
                 return self._in_result(f, filter_)
         raise InvalidQuery(f"not a filter: {filter_!r}")
 
+    def query(self, f: Field, s: str) -> list[str]:
+        """Tokens of a query's own text; the optimiser works them out without a job."""
+        one = self.rows.sparkSession.sql("SELECT 1 AS x")
+        return one.select(query_tokens(F.lit(s), f.kind, self.corpus.synonyms).alias("t")).first().t
+
     def _query(self, f: Field, s: str) -> Column:
-        return query_tokens(F.lit(s), f.kind, self.corpus.synonyms)
+        tokens = self.query(f, s)
+        return F.array(*map(F.lit, tokens)) if tokens else F.array().cast("array<string>")
 
     def _in_result(self, f: Field, filter_: InResult) -> Column:
         values = inner_values(self.corpus, filter_)
@@ -215,7 +221,7 @@ def _leaves(filter_: Filter) -> list[Filter]:
 
 
 def scored(corpus: Corpus, rows: DataFrame, everything: DataFrame, filter_: FieldFilter | None) -> DataFrame:
-    """``rows`` with a score, to 6 digits, for one filter: BM25 on texts, 1 for each other part that matches.
+    """``rows``, which match one filter, with a score for it, to 6 digits: BM25 on texts, 1 for each other part that matches.
 
     Numbers of documents, their lengths and how many hold a token come from
     ``everything``, as one row beside the plan.
@@ -230,26 +236,24 @@ def scored(corpus: Corpus, rows: DataFrame, everything: DataFrame, filter_: Fiel
     own = Compiler(corpus, everything)
     for k, leaf in enumerate(leaves):
         plain = isinstance(leaf, (Term, Exact)) and f.is_text and not (isinstance(leaf, Term) and (_wild(leaf.inner) or not leaf.inner.strip()))
-        matched_ = F.coalesce(compiler.compile(f, leaf), F.lit(False))
+        # rows match the whole filter already, so only its parts are asked again
+        matched_ = F.lit(True) if len(leaves) == 1 else F.coalesce(compiler.compile(f, leaf), F.lit(False))
         if not plain:
             total = total + F.when(matched_, 1.0).otherwise(0.0)
             continue
-        tokens = F.array_distinct(compiler._query(f, leaf.inner))
+        tokens = list(dict.fromkeys(compiler.query(f, leaf.inner)))
         positions = own.positions(f)
-        held = F.transform(tokens, lambda t: F.when(own.may_hold(f, t), F.exists(positions, lambda p: F.array_contains(p, t))).otherwise(False).cast("long"))  # noqa: B023
-        counted = everything.filter(own.value(f).isNotNull()).select(own.length(f).alias("len"), F.posexplode_outer(held).alias("i", "has"))
-        stats = counted.groupBy("i").agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg"), F.sum("has").alias("df"))
-        stats = stats.agg(F.max("n").alias(f"__n{k}"), F.max("avg").alias(f"__avg{k}"), F.map_from_entries(F.collect_list(F.when(F.col("i").isNotNull(), F.struct("i", "df")))).alias(f"__df{k}"))
+        held = [F.sum((own.may_hold(f, F.lit(t)) & F.exists(positions, lambda p: F.array_contains(p, t))).cast("long")).alias(f"__df{k}_{i}") for i, t in enumerate(tokens)]  # noqa: B023
+        stats = everything.filter(own.value(f).isNotNull()).agg(F.count(F.lit(1)).alias(f"__n{k}"), F.avg(own.length(f)).alias(f"__avg{k}"), *held)
         compiler.rows = compiler.rows.crossJoin(F.broadcast(stats))
 
         def gains(mine: Column) -> Column:
-            def gain(t: Column, i: Column) -> Column:
-                tf = F.size(F.filter(mine, lambda p: F.array_contains(p, t)))
-                df = F.coalesce(F.element_at(F.col(f"__df{k}"), i), F.lit(0))  # noqa: B023
-                idf = F.log(1 + (F.col(f"__n{k}") - df + 0.5) / (df + 0.5))  # noqa: B023
-                return idf * tf / (tf + K1 * (1 - B + B * F.size(mine) / F.col(f"__avg{k}")))  # noqa: B023
-
-            return F.aggregate(F.transform(tokens, gain), F.lit(0.0), lambda a, x: a + x)  # noqa: B023
+            n, out = F.col(f"__n{k}"), F.lit(0.0)  # noqa: B023
+            norm = K1 * (1 - B + B * F.size(mine) / F.col(f"__avg{k}"))  # noqa: B023
+            for i, t in enumerate(tokens):  # noqa: B023
+                tf, df = F.size(F.filter(mine, lambda p: F.array_contains(p, t))), F.col(f"__df{k}_{i}")  # noqa: B023
+                out = out + F.log(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + norm)
+            return out
 
         total = total + F.when(matched_, let(compiler.positions(f), gains)).otherwise(0.0)
     return compiler.rows.withColumn("score", F.round(total, 6)).select(*columns, "score")
