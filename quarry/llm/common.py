@@ -64,6 +64,10 @@ def without_space(text: Column) -> Column:
     return text
 
 
-def partitions_for(df: DataFrame, rows: int, rows_each: int) -> int:
-    """Enough partitions for ``rows`` rows, and no fewer than the session's own number."""
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // rows_each), 1)
+#: Rows of a table of keys that ``if_small`` sends to all executors, at most: some tens of bytes each.
+MAX_SENT_ROWS = 200_000
+
+
+def if_small(keys: DataFrame) -> DataFrame:
+    """A checkpointed table of keys, marked to be sent to all executors if it is small; else it is joined by shuffling."""
+    return F.broadcast(keys) if keys.count() <= MAX_SENT_ROWS else keys

@@ -16,10 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import checkpointed, without_space
+from quarry.llm.common import checkpointed, if_small, without_space
 
 #: Fingerprints that one range of quotients is meant to hold over the whole table.
 RANGE_FINGERPRINTS = 400_000
+#: Repeated fingerprints (8 bytes each) that are sent to all executors at most; with more, texts meet them in a shuffled join.
+MAX_SENT_FINGERPRINTS = 2_000_000
 #: Bits of the remainder in a slot; the other 32 bits of a fingerprint are its quotient.
 REMAINDER_BITS = 32
 
@@ -131,6 +133,7 @@ def _classified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).alias("id"), without_space(text).alias("bare"), F.char_length(text).alias("n_cp"))
     light = checkpointed(rows.select("id", F.xxhash64("bare").alias("fp"), F.unhex(F.sha2("bare", 256)).alias("sha"), "n_cp", F.monotonically_increasing_id().alias("row")))
     again = checkpointed(repeated_fingerprints(light))
+    again = F.broadcast(again) if again.count() <= MAX_SENT_FINGERPRINTS else again
     # bytes: where a fingerprint counts more than one, the text itself is the key, and copies merge before they are shuffled
     equal = (
         rows.withColumn("fp", F.xxhash64("bare"))
@@ -141,9 +144,10 @@ def _classified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         .select("fp", F.unhex(F.sha2("bare", 256)).alias("sha"), "group_size")
     )
     first = F.struct(-F.col("n_cp"), F.col("id").isNull(), F.col("id").alias("id"), F.col("row").alias("row"))
-    best = light.join(equal, ["fp", "sha"]).groupBy("fp", "sha").agg(F.max("group_size").alias("group_size"), F.min(first).alias("best"))
+    # copies merge before the join, so that a large group is one row there
+    best = light.groupBy("fp", "sha").agg(F.count(F.lit(1)).alias("rows"), F.min(first).alias("best")).filter("rows > 1").join(equal, ["fp", "sha"])
     alone = F.col("group_size").isNull()
-    return light.join(best, ["fp", "sha"], "left").select(
+    return light.join(best.drop("rows"), ["fp", "sha"], "left").select(
         "id",
         F.when(alone, F.col("id")).otherwise(F.col("best.id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
@@ -178,7 +182,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     columns = docs.columns
     docs = docs.withColumn("__bare_sha", F.unhex(F.sha2(without_space(F.coalesce(F.col(text_col), F.lit(""))), 256)))
     same = docs[id_col].eqNullSafe(state["__id"]) & (docs["__bare_sha"] == state["__sha"])
-    out = docs.join(state, same, "left_anti").select(columns)
+    out = docs.join(if_small(state), same, "left_anti").select(columns)
     repeats = state.filter("__kept")
     if repeats.isEmpty():
         return out
