@@ -149,14 +149,17 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     rows = checkpointed(measured(docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), F.col(text_col).alias("text")), ["id", "lang", "source"]))
     values = ratios()
     own = checkpointed(sketch(rows.filter(~base_failed()), ["lang", "source"], values))
-    levels = [(own, ["lang", "source"], "s"), (merged(own, ["lang"]), ["lang"], "l"), (merged(own, []), [], "a")]
-    out = rows.withColumn("base_failed", base_failed())
-    for sketches, by, prefix in levels:
+    # limits meet in the small table of groups; rows then need one join
+    every = own.withColumn("every", F.lit("every"))
+    groups = every.select("every", "lang", "source").distinct()
+    for sketches, by, prefix in ((own, ["lang", "source"], "s"), (merged(own, ["lang"]), ["lang"], "l"), (merged(every, ["every"]), ["every"], "a")):
         limits = thresholds(sketches, by, prefix)
         same = F.lit(True)
         for c in by:
-            same = same & rows[c].eqNullSafe(limits[f"{prefix}_{c}"])
-        out = out.join(limits, same, "left") if by else out.crossJoin(F.broadcast(limits))  # one row: all texts together
+            same = same & groups[c].eqNullSafe(limits[f"{prefix}_{c}"])
+        groups = groups.join(limits, same, "left")
+    groups = groups.withColumnsRenamed({"lang": "g_lang", "source": "g_source"})
+    out = rows.withColumn("base_failed", base_failed()).join(groups, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left")
     verdict = ~F.col("base_failed")
     for name, value in values.items():
         limit = F.when(F.col("s_texts") >= LEAST_TEXTS, F.col(f"s_{name}")).when(F.col("l_texts") >= LEAST_TEXTS, F.col(f"l_{name}")).otherwise(F.col(f"a_{name}"))
