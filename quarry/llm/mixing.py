@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import checkpointed, draw, word_count
+from quarry.llm.common import checkpointed, draw, if_small, word_count
 
 #: Documents that a bucket of the seeded order is meant to hold.
 BUCKET_ROWS = 4_096
@@ -69,7 +69,8 @@ class Mix:
 
     def repetitions(self, rows: DataFrame) -> DataFrame:
         """``rows`` with source, u, id and size gets source_size, target and ``copies``, how often the mix reads each."""
-        s, c = self.sources.withColumnRenamed("source", "s_source"), self.chosen.select(*[F.col(x).alias(f"c_{x}") for x in ("source", "u", "id", "size")], F.lit(1).alias("c"))
+        s = self.sources.withColumnRenamed("source", "s_source")
+        c = self.chosen.select(*[F.col(x).alias(f"c_{x}") for x in ("source", "u", "id", "size")], F.lit(1).alias("c"))
         rows = rows.join(s, rows["source"].eqNullSafe(s["s_source"]), "left")
         same = F.lit(True)
         for x in ("source", "u", "id", "size"):
@@ -115,7 +116,7 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     )
     kinds = dict(light.dtypes)
     chosen = checkpointed(inside.groupBy("source").applyInPandas(_greedy, f"source {kinds['source']}, u double, id {kinds['id']}, size long"))
-    return Mix(light, sources.drop("left_in_edge"), chosen, seed)
+    return Mix(light, if_small(sources.drop("left_in_edge")), if_small(chosen), seed)
 
 
 def _light(docs: DataFrame, id_col: str, source_col: str, size: Column, seed: int) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import checkpointed
+from quarry.llm.common import checkpointed, if_small
 from quarry.llm.components import components
 
 SEGMENTS, SEGMENT_BITS = 4, 16
@@ -137,4 +137,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Of rows that repeat that id, each stays. Rows with a null id stay, too.
     """
     gone = near_classes(docs, id_col, text_col).filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct()
+    gone = if_small(checkpointed(gone))
     return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
