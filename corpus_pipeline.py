@@ -12,7 +12,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import bpe, exactdedup, mixing, simhash, toxicity
+from quarry.llm import bpe, exactdedup, mixing, similar, toxicity
 from quarry.llm.common import table
 
 
@@ -27,8 +27,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of linked fingerprints."""
-    return simhash.keep_one(docs)
+    """One document of each component of texts that share 0.8 or more of their five-word shingles."""
+    return similar.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

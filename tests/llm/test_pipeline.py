@@ -1,5 +1,7 @@
 """The pipeline as a whole, and what its stages keep."""
 
+import random
+
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -25,3 +27,35 @@ def test_run(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert out.count() == rows.count()
     assert out.agg(F.bit_xor(F.xxhash64("doc_id", "ids_sha256"))).first() == rows.agg(F.bit_xor(F.xxhash64("doc_id", "ids_sha256"))).first()
+
+
+def test_near_copies(spark):
+    """The near-copy stage against brute force over all pairs of five-word shingle sets."""
+    rng = random.Random(3)
+    vocabulary = [f"w{k}" for k in range(300)]
+    common = rng.choices(vocabulary, k=12)
+    texts = []
+    for size in (4, 30, 60, 120, 240):
+        for _ in range(6):
+            base = rng.choices(vocabulary, k=size) + (common if rng.random() < 0.7 else [])
+            texts.append(base)
+            for _ in range(3):
+                near = list(base)
+                for _ in range(rng.randrange(1, 3)):
+                    near[rng.randrange(len(near))] = rng.choice(vocabulary)
+                texts.append(near + rng.choices(vocabulary, k=rng.randrange(4)))
+    rng.shuffle(texts)
+    texts = [" ".join(t) for t in texts] + ["", None]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := (t or "").split()) else set() for t in texts]
+    low = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and low[i] != low[j]:
+                a, b = sorted((low[i], low[j]))
+                low = [a if x == b else x for x in low]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(low))
+    assert len(set(low)) < len(texts) - 20
+    assert corpus_pipeline.drop_near_copies(spark, docs.limit(0), "").count() == 0
