@@ -4,7 +4,8 @@ A text is the set of its shingles of five words. Two texts are linked if their
 sets' Jaccard similarity is 0.8 or more. Shingles have one order for all texts,
 in which those known to be common come last; of two linked texts at least one
 shingle is among the first fifth of each (the prefix filter), so candidates
-share one, are of like size, and are checked by the sets themselves. Which
+share one. What sizes and parities of the sets don't rule out is checked by the
+sets themselves. Which
 shingles count as common changes the work only, never the links.
 """
 
@@ -26,7 +27,7 @@ from quarry.llm.components import components
 WORDS = 5
 SIMILAR, OF = 4, 5
 #: Texts that tell which shingles are common, about, and how many of them must have one.
-TEXTS_FOR_ORDER, COMMON_FROM = 20_000, 8
+TEXTS_FOR_ORDER, COMMON_FROM = 5_000, 5
 #: Rows of keys or sets that leave Python at once, about.
 KEYS_AT_ONCE = 1 << 18
 
@@ -47,14 +48,34 @@ def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
 
 
 def _node(own: np.ndarray) -> int:
-    """A number for a set, as a signed long. Equal sets have the same."""
-    return int(np.uint64(xxhash.xxh64_intdigest(own.tobytes(), 42)).astype(np.int64))
+    """A number for a set, as a signed long. Equal sets have the same, and similar ones mostly lie close together: the smallest hash gives the first 16 bits."""
+    if not len(own):
+        return 0
+    return (int(own[0]) * 0x9E3779B97F4A7C15 & 0xFFFF000000000000 | xxhash.xxh64_intdigest(own.tobytes(), 42) >> 16) - (1 << 63)
+
+
+def _parities(own: np.ndarray) -> bytes:
+    """For each of two or more times as many places as a set has shingles (a power of two), whether an odd number of them fall there."""
+    places = 64 << max(0, (len(own) // 32).bit_length())
+    return np.packbits(np.bincount((own & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1).tobytes()
+
+
+def _may_link(n: int, m: int, x: bytes, y: bytes) -> bool:
+    """False only for two sets that are not similar, by their sizes and parities: each differing place takes a shingle that one set has alone."""
+    if n * OF < m * SIMILAR or m * OF < n * SIMILAR:
+        return False
+    p, q = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    size = min(len(p), len(q))
+    differ = np.bitwise_xor.reduce(p.reshape(-1, size), axis=0) ^ np.bitwise_xor.reduce(q.reshape(-1, size), axis=0)
+    return int(np.bitwise_count(differ).sum()) * (OF + SIMILAR) <= (n + m) * (OF - SIMILAR)
 
 
 def _first(own: np.ndarray, common: np.ndarray) -> np.ndarray:
     """The shingles of which a linked set has at least one among its own."""
-    late = np.isin(own, common)
-    return np.concatenate([own[~late], own[late]])[: len(own) + 1 - -(-SIMILAR * len(own) // OF)] if len(own) else own
+    if not len(own):
+        return own
+    late = common[np.minimum(np.searchsorted(common, own), len(common) - 1)] == own if len(common) else np.zeros(len(own), bool)
+    return np.concatenate([own[~late], own[late]])[: len(own) + 1 - -(-SIMILAR * len(own) // OF)]
 
 
 def _common(docs: DataFrame, text_col: str) -> np.ndarray:
@@ -79,23 +100,42 @@ def _common(docs: DataFrame, text_col: str) -> np.ndarray:
     return np.sort(np.array([r.key for r in top.collect()], np.int64).view(np.uint64))
 
 
-def _prints(docs: DataFrame, id_col: str, text_col: str, common: np.ndarray) -> DataFrame:
-    """Every row's id, the number of its set (node), the set's size n, and the keys it is found by."""
+def _prints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Every row's id, the number of its set (node), the set's size n and parities."""
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(_node(s), len(s), _parities(s)) for s in (shingle_set(x.as_py()) for x in b.column(1))]
+            columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=["id", "node", "n", "parities"])
+
+    return docs.mapInArrow(run, T.StructType([docs.schema["id"], T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("parities", T.BinaryType())]))
+
+
+def _keys(docs: DataFrame, text_col: str, common: np.ndarray) -> DataFrame:
+    """The keys by which each row's set is found: node and key."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def packed(nodes: list[int], keys: list[np.ndarray]) -> pa.RecordBatch:
+            repeated = np.repeat(np.array(nodes, np.int64), [len(k) for k in keys])
+            return pa.RecordBatch.from_arrays([pa.array(repeated), pa.array(np.concatenate(keys).view(np.int64))], names=["node", "key"])
+
         for b in batches:
-            sets = [shingle_set(x.as_py()) for x in b.column(1)]
-            keys = [_first(s, shared.value) for s in sets]
-            offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
-            flat = pa.array(np.concatenate([*keys, np.zeros(0, np.uint64)]).view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([_node(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), flat)],
-                names=["id", "node", "n", "keys"],
-            )
+            nodes, keys, size = [], [], 0
+            for x in b.column(0):
+                own = shingle_set(x.as_py())
+                nodes.append(_node(own))
+                keys.append(_first(own, shared.value))
+                size += len(keys[-1])
+                if size >= KEYS_AT_ONCE:
+                    yield packed(nodes, keys)
+                    nodes, keys, size = [], [], 0
+            if nodes:
+                yield packed(nodes, keys)
 
-    return docs.mapInArrow(run, T.StructType([docs.schema["id"], T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))]))
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "node long, key long")
 
 
 def _sets(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
@@ -126,44 +166,51 @@ def _sets(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
     return (found if few else found.join(wanted, "node", "left_semi")).dropDuplicates(["node"])
 
 
-def _linked(docs: DataFrame, text_col: str, pairs: DataFrame) -> DataFrame:
+def _linked(docs: DataFrame, text_col: str, light: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of the candidate pairs (a, b) that are similar enough."""
-    pairs = checkpointed(pairs)
-    sets = checkpointed(_sets(docs, text_col, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
-    side = lambda x: sets.select(F.col("node").alias(x), F.col("own").alias(f"{x}_own"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kept = [_may_link(*x) for x in zip(*(b.column(k).to_pylist() for k in range(2, 6)), strict=True)]
+            yield b.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+
+    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = zip(*(b.column(k).to_pylist() for k in range(4)), strict=True)
             kept = []
-            for a, c, x, y in rows:
+            for x, y in zip(*(b.column(k).to_pylist() for k in (2, 3)), strict=True):
                 both = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
-                if both * OF >= SIMILAR * (len(x) // 8 + len(y) // 8 - both):
-                    kept.append((a, c))
-            yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in kept], pa.int64()) for i in (0, 1)], names=["a", "b"])
-
-    return checkpointed(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_own", "b_own").mapInArrow(run, "a long, b long"))
-
-
-def links(docs: DataFrame, prints: DataFrame, text_col: str = "text") -> DataFrame:
-    """Links (a, b) between numbers of sets, enough of them that linked texts are connected: a pair is left out only if others connect it."""
-    members = F.sort_array(F.collect_set(F.struct("n", "node")))
-    lists = checkpointed(prints.select("node", "n", F.explode("keys").alias("key")).groupBy("key").agg(members.alias("of")).filter(F.size("of") > 1))
-    # neighbours by size first: they join what is one large group in a number of checks that grows with its size only
-    a, b = (lambda k: F.get("of", k)), F.sequence(F.lit(1), F.size("of") - 1)
-    chain = lists.select(F.explode(F.transform(b, lambda k: F.struct(a(k - 1).alias("x"), a(k).alias("y")))).alias("p")).select("p.x", "p.y")
-    chain = chain.filter(F.col("x.n") * OF >= F.col("y.n") * SIMILAR).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    first = _linked(docs, text_col, chain)
+                kept.append(both * OF >= SIMILAR * (len(x) // 8 + len(y) // 8 - both))
+            yield b.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+
+    side = lambda rows, x, *names: rows.select(F.col("node").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in names])
+    both = pairs.join(side(light, "a", "n", "parities"), "a").join(side(light, "b", "n", "parities"), "b")
+    pairs = checkpointed(both.select("a", "b", "a_n", "b_n", "a_parities", "b_parities").mapInArrow(possible, "a long, b long"))
+    sets = checkpointed(_sets(docs, text_col, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
+    both = pairs.join(side(sets, "a", "own"), "a").join(side(sets, "b", "own"), "b")
+    return checkpointed(both.select("a", "b", "a_own", "b_own").mapInArrow(similar, "a long, b long"))
+
+
+def links(docs: DataFrame, light: DataFrame, text_col: str = "text") -> DataFrame:
+    """Links (a, b) between numbers of sets, enough of them that linked texts are connected: a pair is left out only if others connect it.
+
+    ``light`` has each set's node, n and parities once.
+    """
+    keys = _keys(docs, text_col, _common(docs, text_col))
+    lists = checkpointed(keys.groupBy("key").agg(F.sort_array(F.collect_set("node")).alias("of")).filter(F.size("of") > 1))
+    # neighbours first: they join what is one large group in a number of checks that grows with its size only
+    at, ends = (lambda k: F.get("of", k)), F.sequence(F.lit(1), F.size("of") - 1)
+    chain = lists.select(F.explode(F.transform(ends, lambda k: F.struct(at(k - 1).alias("a"), at(k).alias("b")))).alias("p")).select("p.a", "p.b").distinct()
+    first = _linked(docs, text_col, light, chain)
     # then every pair that isn't connected yet
     near = if_small(checkpointed(components(first)))
-    posts = lists.select("key", F.inline("of")).join(near, "node", "left").select("key", "n", "node", F.coalesce("component", "node").alias("group"))
+    sizes = light.select("node", "n")
+    posts = lists.select("key", F.explode("of").alias("node")).join(near, "node", "left").select("key", "node", F.coalesce("component", "node").alias("group"))
     mixed = posts.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low <> high").select("key")
-    posts = checkpointed(posts.join(mixed, "key", "left_semi"))
+    posts = checkpointed(posts.join(mixed, "key", "left_semi").join(sizes, "node"))
     left, right = (posts.select("key", *[F.col(c).alias(f"{x}_{c}") for c in ("n", "node", "group")]) for x in "ab")
     like = (F.col("a_n") * OF >= F.col("b_n") * SIMILAR) & (F.col("b_n") * OF >= F.col("a_n") * SIMILAR)
     rest = left.join(right, "key").filter((F.col("a_node") < F.col("b_node")) & (F.col("a_group") != F.col("b_group")) & like)
-    rest = rest.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct().join(chain, ["a", "b"], "left_anti")
-    return first.unionByName(_linked(docs, text_col, rest))
+    return first.unionByName(_linked(docs, text_col, light, rest.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()))
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -172,8 +219,9 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Equal sets are linked, also those of texts without a word. A null id reaches
     null only if no other id is reachable. An empty table gives an empty table.
     """
-    prints = checkpointed(_prints(docs, id_col, text_col, _common(docs, text_col)))
-    near = checkpointed(components(links(docs, prints, text_col)))
+    prints = checkpointed(_prints(docs, id_col, text_col))
+    light = prints.select("node", "n", "parities").dropDuplicates(["node"])
+    near = checkpointed(components(links(docs, light, text_col)))
     rows = prints.select("id", "node").join(if_small(near), "node", "left").select("id", F.coalesce("component", "node").alias("node"))
     lowest = rows.groupBy("node").agg(F.min("id").alias("component_id"))
     return rows.join(lowest, "node").select(F.col("id").alias(id_col), "component_id")
