@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import checkpointed
+from quarry.llm.common import checkpointed, if_small
 from quarry.llm.components import components
 
 THRESHOLD = 2
@@ -191,6 +191,36 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     )
 
 
+def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+    """One row for every line with a word in every document, and the class of linked lines that it belongs to.
+
+    Columns: doc_id and at (the line's place from 0), k1 and k2 (its key),
+    n_links (different lines that it is linked to), class_k1 and class_k2 (the
+    smallest key reachable), class_size (occurrences in the class),
+    class_doc_id and class_at (the first of them, by id and place; null ids
+    come last) and kept (whether this is the first). Rows that repeat an id are
+    rows of one document. A null text has no line; an empty table gives an
+    empty table.
+    """
+    found = checkpointed(links(docs, id_col, text_col, threshold, min_chars))
+    degree = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    near = components(found.select("a", "b")).join(degree, "node")
+    near = if_small(checkpointed(near.select(F.col("node.k1").alias("k1"), F.col("node.k2").alias("k2"), F.col("component.k1").alias("c1"), F.col("component.k2").alias("c2"), "n_links")))
+    rows = lines(docs, id_col, text_col).select("doc_id", "at", "k1", "k2").join(near, ["k1", "k2"], "left")
+    rows = rows.select("doc_id", "at", "k1", "k2", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("c1", "k1").alias("class_k1"), F.coalesce("c2", "k2").alias("class_k2"))
+    # only classes with a second line meet their lines again
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "at")
+    first = rows.groupBy("class_k1", "class_k2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).filter("n > 1")
+    first = if_small(checkpointed(first))
+    out = rows.join(first, ["class_k1", "class_k2"], "left")
+    alone = F.col("n").isNull()
+    return out.select(
+        "doc_id", "at", "k1", "k2", "n_links", "class_k1", "class_k2", F.coalesce("n", F.lit(1)).cast("long").alias("class_size"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("class_doc_id"), F.when(alone, F.col("at")).otherwise(F.col("first.at")).alias("class_at"),
+        (alone | (place == F.col("first"))).alias("kept"),
+    )
+
+
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` without the lines whose class has an earlier line, by id and place in the text; columns stay as they are.
 

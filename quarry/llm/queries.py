@@ -30,7 +30,7 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.classes(table(spark, sf_dir, "documents"))
+    return linededup.occurrences(table(spark, sf_dir, "documents"))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

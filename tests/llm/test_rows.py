@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm import exactdedup, linededup, mixing, sharding
 from quarry.llm.components import components
+from quarry.llm.queries import QUERIES
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -205,3 +206,17 @@ def test_line_classes(spark, none, odd):
     assert clean == {1: f"{near}\nonly here", 2: "\nshort", 3: f"{near} and then much more", 4: None, 5: ""}
     assert linededup.classes(none).count() == 0
     assert linededup.without_repeats(odd).columns == odd.columns
+
+
+def test_line_occurrences(spark, none, tmp_path):
+    """The registered query names every document that holds a line, and where."""
+    near = "the quick brown fox jumps over the lazy dog"
+    docs = spark.createDataFrame([(1, f"{near}\nonly here"), (2, f"  {near}\n{near}!\n\nhold it!!"), (3, f"{near}!!\nhold it!!"), (None, near), (5, None)], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    out = QUERIES["op3_linededup"](spark, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.at, r.n_links, r.class_size, r.class_doc_id, r.class_at, r.kept) for r in out) == Counter([
+        (1, 0, 2, 5, 1, 0, True), (1, 1, 0, 1, 1, 1, True), (2, 0, 2, 5, 1, 0, False), (2, 1, 2, 5, 1, 0, False), (2, 3, 0, 2, 2, 3, True),
+        (3, 0, 2, 5, 1, 0, False), (3, 1, 0, 2, 2, 3, False), (None, 0, 2, 5, 1, 0, False),
+    ])
+    assert len({(r.k1, r.k2) for r in out}) == 5 and len({(r.class_k1, r.class_k2) for r in out}) == 3
+    assert linededup.occurrences(none).count() == 0
