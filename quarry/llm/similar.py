@@ -28,6 +28,8 @@ WORDS = 5
 SIMILAR, OF = 4, 5
 #: Texts that tell which shingles are common, about, and how many of them must have one.
 TEXTS_FOR_ORDER, COMMON_FROM = 5_000, 5
+#: One key in so many joins neighbours before all pairs that aren't connected yet are checked. It changes the work only.
+CHAINS = 4
 #: Rows of keys or sets that leave Python at once, about.
 KEYS_AT_ONCE = 1 << 18
 
@@ -70,16 +72,19 @@ def _may_link(n: int, m: int, x: bytes, y: bytes) -> bool:
     return int(np.bitwise_count(differ).sum()) * (OF + SIMILAR) <= (n + m) * (OF - SIMILAR)
 
 
-def _first(own: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """The shingles of which a linked set has at least one among its own."""
+def _first(own: np.ndarray, common: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """The shingles of which a linked set has at least one among its own: the least common ones, a fifth of all."""
     if not len(own):
         return own
-    late = common[np.minimum(np.searchsorted(common, own), len(common) - 1)] == own if len(common) else np.zeros(len(own), bool)
-    return np.concatenate([own[~late], own[late]])[: len(own) + 1 - -(-SIMILAR * len(own) // OF)]
+    rank = np.zeros(len(own), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, own), len(common) - 1)
+        rank = np.where(common[at] == own, texts[at], 0)
+    return own[np.argsort(rank, kind="stable")][: len(own) + 1 - -(-SIMILAR * len(own) // OF)]
 
 
-def _common(docs: DataFrame, text_col: str) -> np.ndarray:
-    """Shingles that many texts have, by a seeded draw of texts."""
+def _common(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many texts have, by a seeded draw of texts, and how many of these."""
     total = docs.count()
     drawn = docs.select(F.col(text_col).alias("text")).filter(draw(8, F.col("text")) < TEXTS_FOR_ORDER / max(total, 1))
 
@@ -96,8 +101,10 @@ def _common(docs: DataFrame, text_col: str) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held).view(np.int64))], names=["key"])
 
     counts = drawn.mapInArrow(run, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= COMMON_FROM)
-    top = counts.orderBy(F.desc("n"), "key").limit(MAX_SENT_ROWS)
-    return np.sort(np.array([r.key for r in top.collect()], np.int64).view(np.uint64))
+    top = counts.orderBy(F.desc("n"), "key").limit(MAX_SENT_ROWS).collect()
+    keys, texts = np.array([r.key for r in top], np.int64).view(np.uint64), np.array([r.n for r in top], np.int64)
+    order = np.argsort(keys)
+    return keys[order], texts[order]
 
 
 def _prints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -113,7 +120,7 @@ def _prints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.mapInArrow(run, T.StructType([docs.schema["id"], T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("parities", T.BinaryType())]))
 
 
-def _keys(docs: DataFrame, text_col: str, common: np.ndarray) -> DataFrame:
+def _keys(docs: DataFrame, text_col: str, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """The keys by which each row's set is found: node and key."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
@@ -127,7 +134,7 @@ def _keys(docs: DataFrame, text_col: str, common: np.ndarray) -> DataFrame:
             for x in b.column(0):
                 own = shingle_set(x.as_py())
                 nodes.append(_node(own))
-                keys.append(_first(own, shared.value))
+                keys.append(_first(own, *shared.value))
                 size += len(keys[-1])
                 if size >= KEYS_AT_ONCE:
                     yield packed(nodes, keys)
@@ -199,7 +206,7 @@ def links(docs: DataFrame, light: DataFrame, text_col: str = "text") -> DataFram
     lists = checkpointed(keys.groupBy("key").agg(F.sort_array(F.collect_set("node")).alias("of")).filter(F.size("of") > 1))
     # neighbours first: they join what is one large group in a number of checks that grows with its size only
     at, ends = (lambda k: F.get("of", k)), F.sequence(F.lit(1), F.size("of") - 1)
-    chain = lists.select(F.explode(F.transform(ends, lambda k: F.struct(at(k - 1).alias("a"), at(k).alias("b")))).alias("p")).select("p.a", "p.b").distinct()
+    chain = lists.filter(F.pmod(F.xxhash64("key"), F.lit(CHAINS)) == 0).select(F.explode(F.transform(ends, lambda k: F.struct(at(k - 1).alias("a"), at(k).alias("b")))).alias("p")).select("p.a", "p.b").distinct()
     first = _linked(docs, text_col, light, chain)
     # then every pair that isn't connected yet
     near = if_small(checkpointed(components(first)))
