@@ -204,6 +204,15 @@ def test_wrapper():
     assert html.extract("<article><h1>A</h1><p>x</p><aside>no</aside></article><footer>f</footer>", None) == "A\nx"
 
 
+def test_template_in_runs():
+    """A fixed line among plain paragraphs goes, and no paragraph with another text in its stead."""
+    page = lambda k, n: "<body><div class='wrap'>" + "".join(f"<p>text {k} {i}</p>" + "<p>Subscribe now</p>" * (i == 1) for i in range(n)) + "</div></body>"
+    wrapper = html.Wrapper.from_list(html.induce([page(k, 2 + k % 5) for k in range(12)]).to_list())
+    for n in (2, 3, 9):
+        assert html.extract(page("Z", n), wrapper) == "\n".join(f"text Z {i}" for i in range(n))
+    assert html.extract("<body><div class='wrap'><p>one</p><p>two</p></div></body>", wrapper) == "one\ntwo"
+
+
 def test_pages(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     out = {r.page_id: r.text for r in html.main_text(pages, ["page_id", "url"]).collect()}
