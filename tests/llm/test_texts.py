@@ -213,6 +213,14 @@ def test_template_in_runs():
     assert html.extract("<body><div class='wrap'><p>one</p><p>two</p></div></body>", wrapper) == "one\ntwo"
 
 
+def test_large_pages():
+    """Pages with many elements are extracted by their host's wrapper, and template behind many siblings is learned."""
+    page = lambda k, n: "<body>" + "".join(f"<div>left {i} {k}</div>" for i in range(60)) + f"<div><p>Read this first</p><h1>Title {k}</h1>" + "".join(f"<p><b>text {k} {i}</b></p>" * 20 for i in range(n)) + "</div></body>"
+    wrapper = html.induce([page(k, 30) for k in range(8)])
+    for n in (2, 300):
+        assert html.extract(page("Z", n), wrapper) == "\n".join(["Title Z", *(f"text Z {i}" for i in range(n) for _ in range(20))])
+
+
 def test_pages(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     out = {r.page_id: r.text for r in html.main_text(pages, ["page_id", "url"]).collect()}
