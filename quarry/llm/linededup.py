@@ -20,8 +20,8 @@ from quarry.llm.common import checkpointed, if_small
 from quarry.llm.components import components
 
 THRESHOLD = 2
-#: Shorter lines are only compared for equality.
-MIN_CHARS = 24
+#: Shorter lines are only compared for equality: from here on every line has a character in each segment.
+MIN_CHARS = THRESHOLD + 1
 #: Characters whose counts' parities a pair of lines must nearly share, before it becomes a candidate.
 PARITY_CHARS = " etaoinshrdlucm,"
 #: Candidate lines whose keys (8 bytes each) are sent to all executors at most; with more, their texts are joined by key.

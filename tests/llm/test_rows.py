@@ -220,3 +220,9 @@ def test_line_occurrences(spark, none, tmp_path):
     ])
     assert len({(r.k1, r.k2) for r in out}) == 5 and len({(r.class_k1, r.class_k2) for r in out}) == 3
     assert linededup.occurrences(none).count() == 0
+
+
+def test_short_line_links(spark):
+    """By default lines are linked from three characters on."""
+    docs = spark.createDataFrame([(1, "Page 1 of 20\nabc"), (2, "Page 17 of 20\nxbc\nno")], "doc_id long, text string")
+    assert sorted(r.distance for r in linededup.links(docs).collect()) == [1, 1]
