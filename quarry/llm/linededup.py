@@ -7,8 +7,13 @@ A line is cut into threshold + 1 segments, so a linked line, which has
 threshold edits at most, holds one of them unchanged, and not far from its
 place. Segments are indexed by length of the line, number and content; a line
 probes the index with those of its substrings that can match, for its own length
-and for each length down to ``threshold`` less. Candidates are checked by a
-banded bit-parallel edit distance.
+and for each length down to ``threshold`` less.
+
+Candidates must nearly agree in which letters occur an odd number of times
+before they are emitted, and in the counts of all letters before their texts
+are read. What is left of two lines between their first and last difference is
+checked by a banded bit-parallel edit distance, which stops where its registers
+run empty.
 """
 
 from __future__ import annotations
@@ -22,10 +27,12 @@ from quarry.llm.components import components
 THRESHOLD = 2
 #: Shorter lines are only compared for equality: from here on every line has a character in each segment.
 MIN_CHARS = THRESHOLD + 1
-#: Characters whose counts' parities a pair of lines must nearly share, before it becomes a candidate.
-PARITY_CHARS = " etaoinshrdlucm,"
-#: Candidate lines whose keys (8 bytes each) are sent to all executors at most; with more, their texts are joined by key.
-MAX_SENT_KEYS = 400_000
+#: Characters whose counts a pair of lines must nearly share before its edit distance is computed.
+COUNTED_CHARS = " etaoinshrdlucmfwypvbgkjqxz0123456789.,-"
+#: Lines that are indexed by one key in one place; where there are more, they are dealt out and what looks them up goes to all of these places.
+DEALT = 512
+#: Columns after which an edit distance may stop.
+BLOCK = 32
 
 
 def _keys(line: Column) -> list[Column]:
@@ -39,11 +46,6 @@ def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return split.select("doc_id", "at", "line", *_keys(F.col("line")))
 
 
-def _let(value: Column, use) -> Column:
-    """``use(value)`` with ``value`` evaluated once."""
-    return F.element_at(F.transform(F.array(value), lambda v: use(v)), 1)
-
-
 def _moves(threshold: int) -> list[tuple[int, int, int]]:
     """What a line looks up: for lines so much shorter, the segment of that number, moved by so much.
 
@@ -58,43 +60,57 @@ def _moves(threshold: int) -> list[tuple[int, int, int]]:
     ]
 
 
-def _probes(line: Column, length: Column, threshold: int, min_chars: int) -> Column:
-    """Keys of the substrings that can equal a segment of a line up to ``threshold`` shorter, in the order of ``_moves``; null where none fits."""
-    # small steps over arrays: written out, they would make a method too long to be compiled. Each value is bound once.
-    # A segment's size is the length divided by their number; the last ones are one longer where that leaves a rest.
+def _places(length: Column, shorter: Column, i: Column, moved: Column, threshold: int) -> tuple[Column, Column, Column]:
+    """Where a line of ``length`` looks for the segment ``i`` of a line so much shorter: from (from 1), size, and whether that lies in the line.
+
+    A segment's size is the length divided by their number; the last ones are one longer where that leaves a rest.
+    """
     parts = threshold + 1
-    moves = F.array(*[F.struct(F.lit(x + 1).alias("cut"), F.lit(i).alias("i"), F.lit(m).alias("moved")) for x, i, m in _moves(threshold)])
+    other = length - shorter
+    base, plain = F.call_function("div", other, F.lit(parts)).cast("int"), parts - F.pmod(other, F.lit(parts))
+    at = base * i + F.greatest(i - plain, F.lit(0)) + moved + 1
+    size = base + (i >= plain).cast("int")
+    return at, size, (other >= 0) & (at >= 1) & (at + size - 1 <= length)
 
-    def key(m: Column, cuts: Column) -> Column:
-        def found(p: Column) -> Column:
-            fits = (p["at"] >= 1) & (p["at"] + p["size"] - 1 <= p["length"]) & (p["other"] >= min_chars)
-            return F.when(fits, F.xxhash64(p["other"], m["i"], F.substring(line, p["at"], p["size"])))
 
-        def placed(c: Column) -> Column:
-            late = F.greatest(m["i"] - c["plain"], F.lit(0))
-            at, size = c["base"] * m["i"] + late + m["moved"] + 1, c["base"] + (m["i"] >= c["plain"]).cast("int")
-            return F.struct(at.alias("at"), size.alias("size"), c["other"].alias("other"), c["length"].alias("length"))
+def _probes(line: Column, threshold: int, min_chars: int) -> Column:
+    """Keys of the substrings that can equal a segment of a line up to ``threshold`` shorter, in the order of ``_moves``; null where none fits."""
+    length, keys = F.char_length(line), []
+    for shorter, i, moved in _moves(threshold):
+        at, size, fits = _places(length, F.lit(shorter), F.lit(i), F.lit(moved), threshold)
+        keys.append(F.when(fits & (length - shorter >= min_chars), F.xxhash64(F.lit(0).cast("long"), length - shorter, F.lit(i), F.substring(line, at, size))))
+    return F.array(*keys)
 
-        return _let(_let(F.element_at(cuts, m["cut"]), placed), found)
 
-    def cut(n: Column, shorter: int) -> Column:
-        other = n - shorter
-        return F.struct(other.alias("other"), n.alias("length"), F.call_function("div", other, F.lit(parts)).cast("int").alias("base"), (parts - other % parts).alias("plain"))
+def _counts(line: Column) -> Column:
+    """How often each of ``COUNTED_CHARS`` occurs. An edit changes their sum of differences by two at most."""
+    return F.array(*[F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit(""))) for c in COUNTED_CHARS])
 
-    cuts = _let(length, lambda n: F.array(*[cut(n, shorter) for shorter in range(parts)]))
-    return _let(cuts, lambda c: F.transform(moves, lambda m: key(m, c)))
 
+def _odd(counts: Column) -> Column:
+    """One bit for each of ``COUNTED_CHARS``, 1 if it occurs an odd number of times. An edit changes two bits at most."""
+    return F.aggregate(F.transform(counts, lambda n, k: F.call_function("shiftleft", F.pmod(n, F.lit(2)).cast("long"), k)), F.lit(0).cast("long"), lambda x, bit: x.bitwiseOR(bit))
 
-def _index(probes: Column, threshold: int) -> Column:
-    """Keys of a line's own segments, which are among its probes."""
-    return F.array(*[probes[k] for k, (shorter, _, moved) in enumerate(_moves(threshold)) if shorter == moved == 0])
+
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once."""
+    return F.element_at(F.transform(F.array(value), lambda v: use(v)), 1)
+
+
+def _common(a: Column, b: Column) -> Column:
+    """Length of the longest common beginning of two strings, by halving."""
+    least = F.least(F.char_length(a), F.char_length(b))
+    steps = F.filter(F.array(*[F.lit(1 << k) for k in reversed(range(31))]), lambda x: x <= least)
+    return F.aggregate(steps, F.lit(0), lambda m, x: F.when((m + x <= least) & (F.substring(a, m + 1, x) == F.substring(b, m + 1, x)), m + x).otherwise(m))
 
 
-def _parities(line: Column) -> Column:
-    """One bit for each of ``PARITY_CHARS``, 1 if it occurs an odd number of times. An edit changes two bits at most."""
-    chars = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(1 << k).alias("bit")) for k, c in enumerate(PARITY_CHARS)])
-    odd = lambda c: (F.octet_length(line) - F.octet_length(F.replace(line, c["c"], F.lit("")))) % 2 * c["bit"]
-    return F.aggregate(chars, F.lit(0), lambda bits, c: bits.bitwiseOR(odd(c)))
+def _trimmed(a: Column, b: Column) -> Column:
+    """Two strings without what they begin and end with alike, as arrays of characters; their edit distance is the same."""
+    chars = lambda x: F.when(x != "", F.split(x, "", -1)).otherwise(F.array().cast("array<string>"))
+    pair = lambda x, y: F.struct(x.alias("a"), y.alias("b"))
+    rest = lambda p: _let(_common(p["a"], p["b"]), lambda m: pair(F.substr(p["a"], m + 1), F.substr(p["b"], m + 1)))
+    turned = lambda p: pair(F.reverse(p["a"]), F.reverse(p["b"]))
+    return _let(_let(_let(pair(a, b), rest), turned), lambda p: _let(rest(p), lambda q: pair(chars(q["a"]), chars(q["b"]))))
 
 
 def edit_distance_within(a: Column, b: Column, threshold: int) -> Column:
@@ -103,69 +119,92 @@ def edit_distance_within(a: Column, b: Column, threshold: int) -> Column:
     Bit d of the e-th register says that the first j - threshold + d code
     points of ``a`` become the first j of ``b`` by e edits or fewer; only these
     2 * threshold + 1 diagonals count, so registers are one word for lines of
-    any length.
+    any length. Where the last register has no bit left after ``BLOCK``
+    columns, no more are looked at.
     """
     width = 2 * threshold + 1
-    mask = F.lit((1 << width) - 1)
-    chars = lambda s: F.transform(F.sequence(F.lit(1), F.char_length(s)), lambda k: F.substring(s, k, F.lit(1)))
-    letters = F.struct(F.when(F.char_length(a) > 0, chars(a)).otherwise(F.array().cast("array<string>")).alias("a"), F.when(F.char_length(b) > 0, chars(b)).otherwise(F.array().cast("array<string>")).alias("b"))
+    full = (1 << width) - 1
 
-    def step(registers: Column, a: Column, b: Column, j: Column) -> Column:
-        here, equal = F.get(b, j - 1), F.lit(0)
+    def equal(p: Column, j: Column) -> Column:
+        """Diagonals on which the j-th character of b meets an equal one of a."""
+        bits = F.lit(0)
         for d in range(width):
             at = j - 1 - threshold + d
-            equal = equal.bitwiseOR(F.when(F.when(at >= 0, F.get(a, at)) == here, 1 << d).otherwise(0))
+            bits = bits.bitwiseOR(F.when((at >= 0) & (F.get(p["a"], at) == F.get(p["b"], j - 1)), 1 << d).otherwise(0))
+        return bits
+
+    def step(registers: Column, mask: Column) -> Column:
         out: list[Column] = []
         for e in range(threshold + 1):
-            old = registers[f"r{e}"]
-            new = old.bitwiseAND(equal)
+            new = registers[f"r{e}"].bitwiseAND(mask)
             if e:
                 before = registers[f"r{e - 1}"]
-                new = new.bitwiseOR(before).bitwiseOR(F.shiftright(before, 1)).bitwiseOR(F.shiftleft(out[-1], 1))
-            out.append(new.bitwiseAND(mask))
+                new = new.bitwiseOR(before).bitwiseOR(F.shiftright(before, 1)).bitwiseOR(F.shiftleft(out[-1], 1)).bitwiseAND(F.lit(full))
+            out.append(new)
         return F.struct(*[r.alias(f"r{e}") for e, r in enumerate(out)])
 
-    start = F.struct(*[F.lit(sum(1 << threshold + k for k in range(e + 1)) & ((1 << width) - 1)).alias(f"r{e}") for e in range(threshold + 1)])
+    def run(p: Column, registers: Column, begin: int, end: Column) -> Column:
+        columns = F.when(end > begin, F.sequence(F.lit(begin + 1), end)).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(F.transform(columns, lambda j: equal(p, j)), registers, step)
 
-    def last(both: Column) -> Column:
-        m, n = F.size(both["a"]), F.size(both["b"])
-        steps = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-        end = F.call_function("shiftleft", F.lit(1), m - n + threshold)
+    start = F.struct(*[F.lit(sum(1 << threshold + k for k in range(e + 1)) & full).alias(f"r{e}") for e in range(threshold + 1)])
 
-        def least(r: Column) -> Column:
-            found = F.lit(None).cast("int")
-            for e in reversed(range(threshold + 1)):
-                found = F.when(r[f"r{e}"].bitwiseAND(end) != 0, e).otherwise(found)
-            return found
+    def least(p: Column, registers: Column) -> Column:
+        end, found = F.call_function("shiftleft", F.lit(1), F.size(p["a"]) - F.size(p["b"]) + threshold), F.lit(None).cast("int")
+        for e in reversed(range(threshold + 1)):
+            found = F.when(registers[f"r{e}"].bitwiseAND(end) != 0, e).otherwise(found)
+        return found
 
-        return F.when(F.abs(m - n) <= threshold, F.aggregate(steps, start, lambda r, j: step(r, both["a"], both["b"], j), least))
+    def whole(p: Column) -> Column:
+        n = F.size(p["b"])
+        first = run(p, start, 0, F.least(n, F.lit(BLOCK)))
+        return _let(first, lambda r: F.when(r[f"r{threshold}"] != 0, _let(run(p, r, BLOCK, n), lambda last: least(p, last))))
 
-    return F.element_at(F.transform(F.array(letters), last), 1)
+    # lengths that differ by more are told without a look at the characters
+    return F.when(F.abs(F.char_length(a) - F.char_length(b)) <= threshold, _let(_trimmed(a, b), whole))
 
 
 def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
     """All pairs of different lines of ``min_chars`` code points or more that are linked, each once: a and b (keys), distance."""
-    rows = lines(docs, id_col, text_col)
-    line, length = F.col("line"), F.char_length("line")
-    long = rows.filter(length >= min_chars)
-    # copies go before anything is shuffled; what a line is indexed and probed by depends on the line alone. Rows are
-    # kept narrow: half the key tells lines apart here, and where it doesn't, all lines that share it are checked
-    about = length.cast("long") * (1 << len(PARITY_CHARS)) + _parities(line)
-    distinct = long.select("k1", about.alias("about"), _probes(line, length, threshold, min_chars).alias("probes")).distinct()
-    left = distinct.select(F.col("k1").alias("a"), F.col("about").alias("a_about"), F.explode_outer(_index(F.col("probes"), threshold)).alias("key"))
-    right = distinct.select(F.col("k1").alias("b"), F.col("about").alias("b_about"), F.explode_outer("probes").alias("key")).filter("key is not null")
-    parities, lengths = (lambda x: x.bitwiseAND(F.lit((1 << len(PARITY_CHARS)) - 1))), (lambda x: F.shiftright(x, len(PARITY_CHARS)))
-    near = F.bit_count(parities(F.col("a_about")).bitwiseXOR(parities(F.col("b_about")))) <= 2 * threshold
-    once = (lengths(F.col("a_about")) < lengths(F.col("b_about"))) | (lengths(F.col("a_about")) == lengths(F.col("b_about"))) & (F.col("a") <= F.col("b"))
-    pairs = checkpointed(left.join(right, "key").filter(near & once).select("a", "b").distinct().filter("a <> b"))
-
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("k1")).distinct()
-    wanted = F.broadcast(wanted) if wanted.count() <= MAX_SENT_KEYS else wanted
+    line = F.col("line")
+    long = lines(docs, id_col, text_col).filter(F.char_length("line") >= min_chars)
+    # copies go before anything is met; what a line is found by depends on the line alone. Half the key tells lines apart
+    # here, and where it doesn't, all lines that share it are checked
+    probes = checkpointed(long.select("k1", _probes(line, threshold, min_chars).alias("probes")).distinct())
+    looks = probes.select("k1", F.posexplode("probes").alias("move", "key")).filter("key is not null")
+    in_place = [k for k, (shorter, _, moved) in enumerate(_moves(threshold)) if shorter == moved == 0]
+    looks = looks.select("k1", "key", F.col("move").isin(in_place).alias("own"))
+    shared = _shared(looks)
+    posts = checkpointed(looks.join(if_small(shared), "key"))
+    wanted = if_small(checkpointed(posts.select("k1").distinct()))
     texts = checkpointed(long.select("k1", "k2", "line").join(wanted, "k1", "left_semi").distinct())
-    text = lambda x: texts.select(F.col("k1").alias(x), F.struct("k1", "k2").alias(f"{x}_key"), F.col("line").alias(f"{x}_line"))
-    found = pairs.join(text("a"), "a").join(text("b"), "b")
+    light = checkpointed(texts.select("k1", F.char_length("line").alias("n"), _counts(line).alias("counts")).withColumn("odd", _odd(F.col("counts"))))
+    pairs = checkpointed(_met(posts.join(light.select("k1", "odd"), "k1"), threshold).distinct())
+
+    # counts first, texts for what is left
+    side = lambda rows, x: rows.select(F.col("k1").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in rows.columns if c != "k1"])
+    differ = F.aggregate(F.zip_with("a_counts", "b_counts", lambda x, y: F.abs(x - y)), F.lit(0), lambda x, y: x + y)
+    near = (F.abs(F.col("a_n") - F.col("b_n")) <= threshold) & (differ <= 2 * threshold)
+    pairs = pairs.join(side(light.drop("odd"), "a"), "a").join(side(light.drop("odd"), "b"), "b").filter(near).select("a", "b").distinct()
+    whole = texts.select("k1", F.struct("k1", "k2").alias("key"), "line")
+    found = pairs.join(side(whole, "a"), "a").join(side(whole, "b"), "b").repartition(F.col("a"), F.col("b"))
     checked = found.select(F.col("a_key").alias("a"), F.col("b_key").alias("b"), edit_distance_within(F.col("a_line"), F.col("b_line"), threshold).alias("distance"))
-    return checked.filter("distance is not null").distinct()
+    return checked.filter("distance is not null and a <> b").distinct()
+
+
+def _shared(looks: DataFrame) -> DataFrame:
+    """Keys by which lines meet, and how many lines are indexed by each: key and indexed."""
+    counts = looks.groupBy("key").agg(F.count_if("own").alias("indexed"), F.count(F.lit(1)).alias("n"))
+    return checkpointed(counts.filter("indexed > 0 and n > 1").select("key", "indexed"))
+
+
+def _met(posts: DataFrame, threshold: int) -> DataFrame:
+    """Candidate pairs, the smaller number first: a line that is indexed by a key and one that looks it up, nearly alike in what letters are odd."""
+    places = F.ceil(F.col("indexed") / DEALT).cast("int")
+    own = posts.filter("own").select("key", F.pmod(F.xxhash64("k1"), places).cast("int").alias("place"), F.col("k1").alias("x"), F.col("odd").alias("x_odd"))
+    looks = posts.select("key", F.explode(F.sequence(F.lit(0), places - 1)).alias("place"), F.col("k1").alias("y"), F.col("odd").alias("y_odd"))
+    near = F.bit_count(F.col("x_odd").bitwiseXOR(F.col("y_odd"))) <= 2 * threshold
+    return own.join(looks, ["key", "place"]).filter(near & (F.col("x") != F.col("y"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
