@@ -133,7 +133,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 units = _unit(profiles.bundle(part["text"].tolist())).astype(np.float64)
                 for lang, own in part.groupby("lang").indices.items():
                     sums[lang] = sums.get(lang, 0) + units[own].sum(axis=0)
-        yield pd.DataFrame({"lang": list(sums), "v": [v.tolist() for v in sums.values()]})
+        if sums:  # a partition without a training row has nothing to say
+            yield pd.DataFrame({"lang": list(sums), "v": [v.tolist() for v in sums.values()]})
 
     parts = drawn.mapInPandas(add, "lang string, v array<double>").select("lang", F.posexplode("v").alias("i", "x"))
     found: dict[str, np.ndarray] = {}
