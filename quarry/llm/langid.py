@@ -17,14 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import draw, held_out
+from quarry.llm.common import checkpointed, draw, held_out, if_small
 
 DIMENSIONS = 1_024
 NGRAM = 3
 #: Documents of each language that a prototype is learned from, about.
 TRAINING_DOCS = 3_000
-#: Languages that are learned, at most: those with most documents.
-MAX_LANGUAGES = 500
 #: n-grams that are bundled at once.
 NGRAMS_AT_ONCE = 120_000
 #: Distinct n-grams whose vectors are made at once.
@@ -116,14 +114,14 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """Prototype of each language, learned outside the held-out fold.
 
     Of a language with more documents, about ``docs_each`` are drawn by a seed.
-    Rows with a null language or text teach nothing. Sums are formed on the
-    executors; the driver gets a vector a language. Nothing to learn from gives
-    no prototype.
+    Rows with a null language or text teach nothing, rows that repeat an id are
+    drawn together, and a long text counts as much as a short one. Sums are formed on the
+    executors; the driver gets a vector a language, and every language has one. Nothing to
+    learn from, as in an empty table, gives no prototype.
     """
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col))
-    share = rows.groupBy(F.col(lang_col).alias("__lang")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "__lang").limit(MAX_LANGUAGES)
-    share = share.select("__lang", (F.lit(float(docs_each)) / F.col("n")).alias("__share"))
-    drawn = rows.join(F.broadcast(share), F.col(lang_col) == F.col("__lang")).filter(draw(seed, F.col(id_col)) < F.col("__share")).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    share = checkpointed(rows.groupBy(F.col(lang_col).alias("__lang")).agg((F.lit(float(docs_each)) / F.count(F.lit(1))).alias("__share")))
+    drawn = rows.join(if_small(share), F.col(lang_col) == F.col("__lang")).filter(draw(seed, F.col(id_col)) < F.col("__share")).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         profiles, sums = Profiles(seed=seed), {}
@@ -150,6 +148,8 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], keys: list[str]
     Columns: ``keys``, lang_pred string, score double (a cosine below 0 counts
     as 0). A null text, one without a letter, or no prototype at all gives
     ``und`` and 0. Of equal cosines the first language in order of code points wins.
+    Whole texts are read, however long, in parts of bounded size. Rows that
+    repeat are answered alike; an empty table gives an empty table.
     """
     names = list(prototypes)
     matrix = _unit(np.array([prototypes[x] for x in names], np.float64).reshape(len(names), DIMENSIONS)).astype(np.float32)
