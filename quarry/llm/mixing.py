@@ -77,8 +77,8 @@ class Mix:
             same = same & rows[x].eqNullSafe(c[f"c_{x}"])
         rows = rows.join(c, same, "left")
         bucket = F.floor(F.col("u") * F.col("buckets"))
-        once_more = F.when(bucket < F.col("edge"), 1).when(bucket == F.col("edge"), F.coalesce("c", F.lit(0))).otherwise(0)
-        return rows.withColumn("copies", (F.col("whole") + once_more).cast("int")).drop("s_source", *c.columns, "buckets", "edge", "whole", "left", "weight", "n")
+        once_more = F.when(~F.col("partly"), 0).when(bucket < F.col("edge"), 1).when(bucket == F.col("edge"), F.coalesce("c", F.lit(0))).otherwise(0)
+        return rows.withColumn("copies", (F.col("whole") + once_more).cast("int")).drop("s_source", *c.columns, "buckets", "edge", "partly", "whole", "left", "weight", "n")
 
 
 def plan(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, max_epochs: float = 2, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 11) -> Mix:
@@ -86,7 +86,7 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
 
     A document's size is its number of words; null texts have none. Null is a
     source of its own. Repeated rows (same id, source and size) are taken
-    alike. Reruns agree, whatever the partitions. An empty table gives an
+    alike. No row is read more than ``max_epochs`` times, those without a word included. Reruns agree, whatever the partitions. An empty table gives an
     empty mix.
     """
     light = checkpointed(_light(docs, id_col, source_col, word_count(F.col(text_col)), seed))
@@ -106,7 +106,7 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     )
     edges = checkpointed(edges.select(F.col("source").alias("e"), "edge", "left_in_edge"))
     sources = checkpointed(
-        sources.join(edges, F.col("source").eqNullSafe(F.col("e")), "left").select("source", "source_size", "target", "whole", "buckets", F.coalesce("edge", F.col("buckets")).alias("edge"), "left_in_edge")
+        sources.join(edges, F.col("source").eqNullSafe(F.col("e")), "left").select("source", "source_size", "target", "whole", "buckets", F.coalesce("edge", F.col("buckets")).alias("edge"), "left_in_edge", (F.col("left") > 0).alias("partly"))
     )
     inside = (
         light.join(sources.select(F.col("source").alias("s"), "buckets", "edge", F.col("left_in_edge").alias("left")), F.col("source").eqNullSafe(F.col("s")))

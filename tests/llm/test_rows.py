@@ -101,7 +101,7 @@ def test_mix(odd, odd_rows, none):
     assert len(out) == len(odd_rows)
     size = lambda t: len(WORD.findall(t or ""))
     assert Counter((r.doc_id, r["size"]) for r in out) == Counter((r[0], size(r[1])) for r in odd_rows)
-    assert all(r.taken <= 2 * r["size"] and r.taken == r.copies * r["size"] for r in out)
+    assert all(r.copies <= 2 and r.taken == r.copies * r["size"] for r in out)
     names = sorted({r[3] for r in odd_rows if r[3]}) + [None]
     sizes = [sum(size(r[1]) for r in odd_rows if r[3] == s) for s in names]
     want = dict(zip(sizes, filled(sizes, [5, 2, 1, 5], 1.5, 2), strict=True))
