@@ -11,14 +11,17 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import itertools
 import json
 import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import quarry.llm.common  # noqa: F401  executors get this package's code with the job
@@ -33,9 +36,9 @@ LATIN_PATTERN = (
 #: A vocabulary file above this size isn't sent to the executors.
 MAX_VOCABULARY_BYTES = 64 << 20
 #: Words whose ids a worker remembers; past this it forgets them all, which changes no result.
-REMEMBERED_WORDS = 300_000
-#: Characters of new words that are indexed at once.
-INDEXED_CHARS = 3_000_000
+REMEMBERED_WORDS = 200_000
+#: Characters of new words that are indexed at once, in arrays of 4 bytes a character; texts are taken in groups of as many.
+INDEXED_CHARS = 1_000_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -45,43 +48,52 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def parsed(content: str) -> tuple[list[int], list[bytes], np.ndarray, dict[str, int]]:
+    """Ids of bytes, bytes of tokens, merges by rank and special tokens of a vocabulary file, as plain values that are sent to executors."""
+    spec = json.loads(content)
+    model, letter = spec["model"], byte_letters()
+    ids = model["vocab"]
+    byte_id = [0] * 256
+    for c, b in letter.items():
+        byte_id[b] = ids[c]
+    token_bytes = [b""] * (1 + max([*ids.values(), *(t["id"] for t in spec["added_tokens"])]))
+    for token, i in ids.items():
+        token_bytes[i] = bytes(letter[c] for c in token)
+    pairs, born = [], {}
+    for rank, pair in enumerate(model["merges"]):
+        a, b = pair if isinstance(pair, list) else pair.split(" ")
+        pairs.append((ids[a], ids[b], ids[a + b]))
+        born.setdefault(ids[a + b], rank)
+    # a merge's parts are older than itself, so ascending ranks never have to turn back
+    if any(max(born.get(a, -1), born.get(b, -1)) >= rank for rank, (a, b, _) in enumerate(pairs)):
+        raise ValueError("the merges are not in the order in which they build on one another")
+    special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+    for text, i in special.items():
+        token_bytes[i] = text.encode()
+    return byte_id, token_bytes, np.array(pairs, np.int64).reshape(-1, 3), special
+
+
 class Vocabulary:
     """Merges and token bytes of a byte-level BPE file in the JSON format of the tokenizers library."""
 
-    def __init__(self, content: str):
-        spec = json.loads(content)
-        model, letter = spec["model"], byte_letters()
-        ids = model["vocab"]
-        self.byte_id = [0] * 256
-        for c, b in letter.items():
-            self.byte_id[b] = ids[c]
-        self.token_bytes = [b""] * (1 + max([*ids.values(), *(t["id"] for t in spec["added_tokens"])]))
-        for token, i in ids.items():
-            self.token_bytes[i] = bytes(letter[c] for c in token)
-        pairs, born = [], {}
-        for rank, pair in enumerate(model["merges"]):
-            a, b = pair if isinstance(pair, list) else pair.split(" ")
-            pairs.append((ids[a], ids[b], ids[a + b]))
-            born.setdefault(ids[a + b], rank)
-        # a merge's parts are older than itself, so ascending ranks never have to turn back
-        if any(max(born.get(a, -1), born.get(b, -1)) >= rank for rank, (a, b, _) in enumerate(pairs)):
-            raise ValueError("the merges are not in the order in which they build on one another")
+    def __init__(self, byte_id: list[int], token_bytes: list[bytes], pairs: np.ndarray, special: dict[str, int]):
+        self.byte_id, self.token_bytes, self.special = np.array(byte_id, np.int32), token_bytes, special
         #: By rank: left symbol, right symbol, what they become.
-        self.pairs = np.array(pairs, np.int64).reshape(-1, 3)
-        codes = self.pairs[:, 0] << 32 | self.pairs[:, 1]
+        self.pairs = pairs
+        codes = pairs[:, 0] << 32 | pairs[:, 1]
         self.rank_of = np.argsort(codes, kind="stable")
         self.codes = codes[self.rank_of]
-        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        for text, i in self.special.items():
-            self.token_bytes[i] = text.encode()
-        self.special_split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.special_split = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
 
+    @classmethod
+    def of(cls, content: str) -> Vocabulary:
+        return cls(*parsed(content))
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair of symbols, -1 where no merge has it; symbols below 0 belong to none."""
         if not len(self.codes):
             return np.full(len(left), -1)
-        code = left << 32 | right
+        code = left.astype(np.int64) << 32 | right
         at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
         return np.where((self.codes[at] == code) & (left >= 0) & (right >= 0), self.rank_of[at], -1)
 
@@ -93,8 +105,8 @@ def encode_words(vocabulary: Vocabulary, words: list[bytes]) -> list[bytes]:
     size = np.fromiter(map(len, words), np.int64, len(words))
     ends, n = np.cumsum(size), int(size.sum())
     # position n stands for the end of a word, on either side
-    symbol = np.append(np.array(vocabulary.byte_id)[np.frombuffer(b"".join(words), np.uint8)], -1)
-    after, before = np.arange(1, n + 2), np.arange(-1, n)
+    symbol = np.append(vocabulary.byte_id[np.frombuffer(b"".join(words), np.uint8)], np.int32(-1))
+    after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
     after[n], after[(ends - 1)[size > 0]] = n, n
     before[(ends - size)[size > 0]], before[n] = n, n
     places: dict[int, list[np.ndarray]] = {}  # by rank, all positions where its pair occurs
@@ -113,7 +125,8 @@ def encode_words(vocabulary: Vocabulary, words: list[bytes]) -> list[bytes]:
                     heapq.heappush(active, r)
                 places[r].append(at[begin : first[k + 1] if k + 1 < len(first) else len(at)])
 
-    note(np.arange(n))
+    for at in range(0, n, 1 << 18):  # in steps, as the arrays of a step are several times as wide
+        note(np.arange(at, min(n, at + (1 << 18)), dtype=np.int32))
     while active:
         rank = heapq.heappop(active)
         left, right, new = vocabulary.pairs[rank].tolist()
@@ -127,7 +140,7 @@ def encode_words(vocabulary: Vocabulary, words: list[bytes]) -> list[bytes]:
                 if i != taken:
                     kept.append(i)
                     taken = int(after[i])
-            at = np.array(kept)
+            at = np.array(kept, np.int32)
         if not len(at):
             continue
         gone = after[at]
@@ -173,14 +186,14 @@ class Codec:
                 self.known.update(zip(batch, encode_words(self.vocabulary, [x.encode() for x in batch]), strict=True))
                 batch, size = [], 0
 
-    def encode_batch(self, texts: list[str]) -> Iterator[bytes]:
+    def encode_batch(self, texts: Iterable[str]) -> Iterator[bytes]:
         """Packed ids of each text, little-endian unsigned 32-bit integers."""
         group, chars = [], 0
-        for text in [*texts, None]:
+        for text in itertools.chain(texts, [None]):
             if text is not None:
                 group.append(text)
                 chars += len(text)
-            if group and (text is None or chars >= 2 * INDEXED_CHARS):
+            if group and (text is None or chars >= INDEXED_CHARS):
                 split = [[(special, [part] if special else self.split(part)) for special, part in self._parts(x)] for x in group]
                 fresh = {w for parts in split for special, words in parts if not special for w in words}
                 if len(self.known) + len(fresh) > REMEMBERED_WORDS:
@@ -196,11 +209,12 @@ class Codec:
 
 
 def _content(docs: DataFrame, vocabulary_path: str):
+    """The vocabulary of a file, read on the driver and parsed once for all tasks of a worker."""
     with open(vocabulary_path, encoding="utf-8") as f:
         content = f.read()
     if len(content) > MAX_VOCABULARY_BYTES:
         raise ValueError(f"the vocabulary has {len(content)} characters; at most {MAX_VOCABULARY_BYTES} are sent to executors")
-    return docs.sparkSession.sparkContext.broadcast(content)
+    return docs.sparkSession.sparkContext.broadcast(parsed(content))
 
 
 def encode(docs: DataFrame, vocabulary_path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
@@ -214,7 +228,7 @@ def encode(docs: DataFrame, vocabulary_path: str, text_col: str = "text", ids_co
     docs = docs.drop(ids_col)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec = Codec(Vocabulary(shared.value))
+        codec = Codec(Vocabulary(*shared.value))
         for pdf in batches:
             packed = codec.encode_batch(pdf[text_col].fillna("").tolist())
             yield pdf.assign(**{ids_col: [np.frombuffer(p, "<u4").astype("int32") for p in packed]})
@@ -223,12 +237,12 @@ def encode(docs: DataFrame, vocabulary_path: str, text_col: str = "text", ids_co
 
 
 def decode(rows: DataFrame, vocabulary_path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
-    """``rows`` with the text of each array of ids; null ids give an empty text, an id beyond the vocabulary raises."""
+    """``rows`` with the text of each array of ids; null ids give an empty text, an id beyond the vocabulary raises. Rows that repeat are answered alike; an empty table gives an empty table."""
     shared = _content(rows, vocabulary_path)
     rows = rows.drop(text_col)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec = Codec(Vocabulary(shared.value))
+        codec = Codec(Vocabulary(*shared.value))
         for pdf in batches:
             yield pdf.assign(**{text_col: ["" if x is None else codec.decode(np.asarray(x).astype("<u4").tobytes()) for x in pdf[ids_col]]})
 
@@ -240,17 +254,20 @@ def round_trip(docs: DataFrame, vocabulary_path: str, keys: list[str], text_col:
 
     Columns: ``keys``, n_tokens long, ids_sha256 (of the ids as little-endian
     unsigned 32-bit integers) and decoded_sha256 (of the decoded text in
-    UTF-8), both lowercase hex. Null texts count as empty.
+    UTF-8), both lowercase hex. Null texts count as empty. Rows that repeat are
+    answered alike, long texts are read as a whole, and an empty table gives an
+    empty table.
     """
     shared = _content(docs, vocabulary_path)
-    docs = docs.select(*keys, text_col)
-    fields = [f for f in docs.schema.fields if f.name != text_col]
+    docs = docs.select(*keys, F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
+    fields = [f for f in docs.schema.fields if f.name != "__text"]
     digests = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec = Codec(Vocabulary(shared.value))
-        for pdf in batches:
-            found = [(len(p) // 4, hashlib.sha256(p).hexdigest(), hashlib.sha256(codec.decode(p).encode()).hexdigest()) for p in codec.encode_batch(pdf[text_col].fillna("").tolist())]
-            yield pdf[keys].assign(**{f.name: [x[k] for x in found] for k, f in enumerate(digests)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = Codec(Vocabulary(*shared.value))
+        for b in batches:
+            found = [(len(p) // 4, hashlib.sha256(p).hexdigest(), hashlib.sha256(codec.decode(p).encode()).hexdigest()) for p in codec.encode_batch(x.as_py() for x in b.column(b.num_columns - 1))]
+            columns = [pa.array([x[k] for x in found], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *columns], names=[f.name for f in (*fields, *digests)])
 
-    return docs.mapInPandas(run, T.StructType([*fields, *digests]))
+    return docs.mapInArrow(run, T.StructType([*fields, *digests]))

@@ -34,7 +34,7 @@ def test_bpe(odd, odd_rows, none):
 
 
 def test_bpe_random_texts():
-    codec, tokenizer, rng = bpe.Codec(bpe.Vocabulary(open(VOCABULARY).read())), Tokenizer.from_file(VOCABULARY), random.Random(7)
+    codec, tokenizer, rng = bpe.Codec(bpe.Vocabulary.of(open(VOCABULARY).read())), Tokenizer.from_file(VOCABULARY), random.Random(7)
     texts = ["".join(rng.choice("abcé 1'\n\t<|>endoftx 😀日s\x1c\x85\xa0") for _ in range(rng.randrange(60))) for _ in range(800)] + ["a" * 33, "ab" * 40, " " * 9, "'ll 'S"]
     assert [np.frombuffer(p, "<u4").tolist() for p in codec.encode_batch(texts)] == [tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
     every = [chr(k) for k in range(256)]
