@@ -1,12 +1,15 @@
-"""Near copies by the similarity of word shingles, without loss.
+"""SimHash near-dedup for a similarity of word shingles, without loss.
 
 A text is the set of its shingles of five words. Two texts are linked if their
-sets' Jaccard similarity is 0.8 or more. Shingles have one order for all texts,
-in which those known to be common come last; of two linked texts at least one
-shingle is among the first fifth of each (the prefix filter), so candidates
-share one. What sizes and parities of the sets don't rule out is checked by the
-sets themselves. Which
-shingles count as common changes the work only, never the links.
+sets' Jaccard similarity is 0.8 or more. Texts whose SimHash fingerprints are
+few bits apart are found by pigeonring filtering and checked by their sets; this
+joins what is nearly equal. Similar texts that differ in more bits than these
+filters serve are found by shingles: these have one order for all texts, in
+which those known to be common come last, and of two linked texts at least one
+shingle is among the first fifth of each. Only texts that aren't connected yet
+meet so. What sizes and parities of the sets don't rule out, inside the join
+already, is checked by the sets themselves. Which shingles count as common
+changes the work only, never the links.
 """
 
 from __future__ import annotations
@@ -16,20 +19,25 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.llm import simhash
 from quarry.llm.common import MAX_SENT_ROWS, checkpointed, draw, if_small
 from quarry.llm.components import components
+from quarry.llm.simhash import fingerprint
 
 #: Words of a shingle; the least similarity of linked texts, as a fraction.
 WORDS = 5
 SIMILAR, OF = 4, 5
 #: Texts that tell which shingles are common, about, and how many of them must have one.
 TEXTS_FOR_ORDER, COMMON_FROM = 5_000, 5
-#: One key in so many joins neighbours before all pairs that aren't connected yet are checked. It changes the work only.
-CHAINS = 4
+#: One shingle in so many joins the sets that share it to one of them, before all pairs that aren't connected yet are checked. It changes the work only.
+HUBS = 4
+#: Words of 64 bits in the short sketch of a set's parities, which the join itself looks at.
+SKETCH_WORDS = 8
+SKETCH = [f"s{k}" for k in range(SKETCH_WORDS)]
 #: Rows of keys or sets that leave Python at once, about.
 KEYS_AT_ONCE = 1 << 18
 
@@ -56,10 +64,14 @@ def _node(own: np.ndarray) -> int:
     return (int(own[0]) * 0x9E3779B97F4A7C15 & 0xFFFF000000000000 | xxhash.xxh64_intdigest(own.tobytes(), 42) >> 16) - (1 << 63)
 
 
+def _odd(own: np.ndarray, places: int) -> np.ndarray:
+    """For each of so many places (a power of two), whether an odd number of a set's shingles fall there."""
+    return np.packbits(np.bincount((own & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1)
+
+
 def _parities(own: np.ndarray) -> bytes:
-    """For each of two or more times as many places as a set has shingles (a power of two), whether an odd number of them fall there."""
-    places = 64 << max(0, (len(own) // 32).bit_length())
-    return np.packbits(np.bincount((own & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1).tobytes()
+    """Parities at twice as many places as a set has shingles, or more."""
+    return _odd(own, 64 << max(0, (len(own) // 32).bit_length())).tobytes()
 
 
 def _may_link(n: int, m: int, x: bytes, y: bytes) -> bool:
@@ -108,16 +120,21 @@ def _common(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Every row's id, the number of its set (node), the set's size n and parities."""
+    """Every row's id, the number of its set (node), the set's size n, its parities, their short sketch and the fingerprint fp."""
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(_node(s), len(s), _parities(s)) for s in (shingle_set(x.as_py()) for x in b.column(1))]
-            columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=["id", "node", "n", "parities"])
+            rows = []
+            for x in b.column(1):
+                text = x.as_py()
+                own = shingle_set(text)
+                rows.append((_node(own), len(own), _parities(own), *_odd(own, 64 * SKETCH_WORDS).view(np.int64).tolist(), fingerprint(text, WORDS) - (1 << 63)))
+            kinds = [pa.int64(), pa.int64(), pa.binary(), *[pa.int64()] * (SKETCH_WORDS + 1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]], names=["id", *names])
 
-    return docs.mapInArrow(run, T.StructType([docs.schema["id"], T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("parities", T.BinaryType())]))
+    names = ["node", "n", "parities", *SKETCH, "fp"]
+    return docs.mapInArrow(run, T.StructType([docs.schema["id"], *(T.StructField(x, T.BinaryType() if x == "parities" else T.LongType()) for x in names)]))
 
 
 def _keys(docs: DataFrame, text_col: str, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -200,24 +217,45 @@ def _linked(docs: DataFrame, text_col: str, light: DataFrame, pairs: DataFrame)
 def links(docs: DataFrame, light: DataFrame, text_col: str = "text") -> DataFrame:
     """Links (a, b) between numbers of sets, enough of them that linked texts are connected: a pair is left out only if others connect it.
 
-    ``light`` has each set's node, n and parities once.
+    ``light`` has each set's node, n, parities, sketch and fp once.
     """
-    keys = _keys(docs, text_col, _common(docs, text_col))
-    lists = checkpointed(keys.groupBy("key").agg(F.sort_array(F.collect_set("node")).alias("of")).filter(F.size("of") > 1))
-    # neighbours first: they join what is one large group in a number of checks that grows with its size only
-    at, ends = (lambda k: F.get("of", k)), F.sequence(F.lit(1), F.size("of") - 1)
-    chain = lists.filter(F.pmod(F.xxhash64("key"), F.lit(CHAINS)) == 0).select(F.explode(F.transform(ends, lambda k: F.struct(at(k - 1).alias("a"), at(k).alias("b")))).alias("p")).select("p.a", "p.b").distinct()
-    first = _linked(docs, text_col, light, chain)
+    # fingerprints first: they join what is nearly equal; sets with one fingerprint meet the smallest of them
+    prints = checkpointed(light.groupBy("fp").agg(F.min("node").alias("a")))
+    equal = light.select("fp", F.col("node").alias("b")).join(prints, "fp").filter("a <> b").select("a", "b")
+    near = simhash.links(prints).withColumnsRenamed({"a": "x", "b": "y"})
+    near = near.join(prints.select(F.col("fp").alias("x"), "a"), "x").join(prints.select(F.col("fp").alias("y"), F.col("a").alias("b")), "y").select("a", "b")
+    first = _linked(docs, text_col, light, equal.unionByName(near))
+    # then shingles. Of every few, the sets that share one meet one of them, another each time, which joins what is left of
+    # large groups in a number of checks that grows with their size only
+    posts = _keys(docs, text_col, _common(docs, text_col)).distinct()
+    posts = _unconnected(checkpointed(posts), first).join(light.select("node", "n", *SKETCH), "node")
+    posts = checkpointed(posts)
+    own = F.struct(F.xxhash64("key", "node").alias("order"), "node", "n", "group", *SKETCH)
+    some = posts.filter(F.pmod(F.xxhash64("key"), F.lit(HUBS)) == 0)
+    hubs = some.groupBy("key").agg(F.min(own).alias("hub")).select("key", "hub.*")
+    first = checkpointed(first.unionByName(_linked(docs, text_col, light, _likely(some, hubs).distinct())))
     # then every pair that isn't connected yet
-    near = if_small(checkpointed(components(first)))
-    sizes = light.select("node", "n")
-    posts = lists.select("key", F.explode("of").alias("node")).join(near, "node", "left").select("key", "node", F.coalesce("component", "node").alias("group"))
+    posts = checkpointed(_unconnected(posts.drop("group"), first))
+    return first.unionByName(_linked(docs, text_col, light, _likely(posts, posts, F.col("a_node") < F.col("b_node")).distinct()))
+
+
+def _unconnected(posts: DataFrame, known: DataFrame) -> DataFrame:
+    """Those of ``posts`` (key, node and more) whose key is shared by sets that ``known`` doesn't connect, with the group of each set."""
+    near = if_small(checkpointed(components(known)))
+    posts = posts.join(near, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component")
     mixed = posts.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low <> high").select("key")
-    posts = checkpointed(posts.join(mixed, "key", "left_semi").join(sizes, "node"))
-    left, right = (posts.select("key", *[F.col(c).alias(f"{x}_{c}") for c in ("n", "node", "group")]) for x in "ab")
-    like = (F.col("a_n") * OF >= F.col("b_n") * SIMILAR) & (F.col("b_n") * OF >= F.col("a_n") * SIMILAR)
-    rest = left.join(right, "key").filter((F.col("a_node") < F.col("b_node")) & (F.col("a_group") != F.col("b_group")) & like)
-    return first.unionByName(_linked(docs, text_col, light, rest.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()))
+    return posts.join(if_small(checkpointed(mixed)), "key", "left_semi")
+
+
+def _likely(left: DataFrame, right: DataFrame, which: Column | None = None) -> DataFrame:
+    """Pairs (a, b) of unconnected sets that share a key and aren't ruled out by sizes and sketches."""
+    left, right = (posts.select("key", *[F.col(c).alias(f"{x}_{c}") for c in ("n", "node", "group", *SKETCH)]) for x, posts in (("a", left), ("b", right)))
+    like = (F.col("a_n") * OF >= F.col("b_n") * SIMILAR) & (F.col("b_n") * OF >= F.col("a_n") * SIMILAR) & (F.col("a_group") != F.col("b_group"))
+    differ = F.lit(0)
+    for c in SKETCH:
+        differ = differ + F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}")))
+    like = like & (differ * (OF + SIMILAR) <= (F.col("a_n") + F.col("b_n")) * (OF - SIMILAR))
+    return left.join(right, "key").filter(like if which is None else like & which).select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -227,7 +265,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     null only if no other id is reachable. An empty table gives an empty table.
     """
     prints = checkpointed(_prints(docs, id_col, text_col))
-    light = prints.select("node", "n", "parities").dropDuplicates(["node"])
+    light = checkpointed(prints.drop("id").dropDuplicates(["node"]))
     near = checkpointed(components(links(docs, light, text_col)))
     rows = prints.select("id", "node").join(if_small(near), "node", "left").select("id", F.coalesce("component", "node").alias("node"))
     lowest = rows.groupBy("node").agg(F.min("id").alias("component_id"))
