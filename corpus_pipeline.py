@@ -27,7 +27,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of texts that share 0.8 or more of their five-word shingles."""
+    """One document of each component of texts that share 0.8 or more of their five-word shingles: SimHash links, checked, and what they are too narrow for."""
     return similar.keep_one(docs)
 
 
