@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-import quarry.llm.common  # noqa: F401  executors get this package's code with the job
+from quarry.llm.common import in_batches
 
 #: How byte-level tokenizers split a text before the merges (a fixed value of the format).
 SPLIT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -233,7 +233,7 @@ def encode(docs: DataFrame, vocabulary_path: str, text_col: str = "text", ids_co
             packed = codec.encode_batch(pdf[text_col].fillna("").tolist())
             yield pdf.assign(**{ids_col: [np.frombuffer(p, "<u4").astype("int32") for p in packed]})
 
-    return docs.mapInPandas(run, T.StructType([*docs.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))]))
+    return in_batches(docs).mapInPandas(run, T.StructType([*docs.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))]))
 
 
 def decode(rows: DataFrame, vocabulary_path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
@@ -246,7 +246,7 @@ def decode(rows: DataFrame, vocabulary_path: str, ids_col: str = "ids", text_col
         for pdf in batches:
             yield pdf.assign(**{text_col: ["" if x is None else codec.decode(np.asarray(x).astype("<u4").tobytes()) for x in pdf[ids_col]]})
 
-    return rows.mapInPandas(run, T.StructType([*rows.schema.fields, T.StructField(text_col, T.StringType())]))
+    return in_batches(rows).mapInPandas(run, T.StructType([*rows.schema.fields, T.StructField(text_col, T.StringType())]))
 
 
 def round_trip(docs: DataFrame, vocabulary_path: str, keys: list[str], text_col: str = "text") -> DataFrame:
@@ -270,4 +270,4 @@ def round_trip(docs: DataFrame, vocabulary_path: str, keys: list[str], text_col:
             columns = [pa.array([x[k] for x in found], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string()))]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *columns], names=[f.name for f in (*fields, *digests)])
 
-    return docs.mapInArrow(run, T.StructType([*fields, *digests]))
+    return in_batches(docs).mapInArrow(run, T.StructType([*fields, *digests]))

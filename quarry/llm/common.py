@@ -37,6 +37,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Bytes of a batch of rows that goes to a Python worker at once, about; Spark's own bound is 64 MB, on both sides of the pipe.
+BATCH_BYTES = 8 << 20
+
+
+def in_batches(df: DataFrame) -> DataFrame:
+    """``df``, after batches for Python workers are bound to ``BATCH_BYTES`` in its session; a lower bound stays."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(conf.get(name, "64m")).strip().lower()
+    if not now.rstrip("b").isdigit() or not 0 < int(now.rstrip("b")) <= BATCH_BYTES:
+        conf.set(name, f"{BATCH_BYTES}b")
+    return df
+
+
 def id_text(id_col: str) -> Column:
     """The id as text, empty for null, for seeded draws and folds."""
     return F.coalesce(F.col(id_col).cast("string"), F.lit(""))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import checkpointed, if_small, without_space
+from quarry.llm.common import checkpointed, if_small, in_batches, without_space
 
 #: Fingerprints that one range of quotients is meant to hold over the whole table.
 RANGE_FINGERPRINTS = 400_000
@@ -125,7 +125,7 @@ def repeated_fingerprints(prints: DataFrame, col: str = "fp") -> DataFrame:
             found, counts = QuotientFilter.merged(filters).entries()
             yield pa.RecordBatch.from_pydict({"fp": pa.array(found[counts > 1].view(np.int64))})
 
-    return prints.mapInArrow(build, "part int, packed binary").repartitionById(ranges, F.col("part")).mapInArrow(merge, "fp long")
+    return in_batches(prints).mapInArrow(build, "part int, packed binary").repartitionById(ranges, F.col("part")).mapInArrow(merge, "fp long")
 
 
 def _classified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import checkpointed, draw, held_out, if_small
+from quarry.llm.common import checkpointed, draw, held_out, if_small, in_batches
 
 DIMENSIONS = 1_024
 NGRAM = 3
@@ -134,7 +134,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         if sums:  # a partition without a training row has nothing to say
             yield pd.DataFrame({"lang": list(sums), "v": [v.tolist() for v in sums.values()]})
 
-    parts = drawn.mapInPandas(add, "lang string, v array<double>").select("lang", F.posexplode("v").alias("i", "x"))
+    parts = in_batches(drawn).mapInPandas(add, "lang string, v array<double>").select("lang", F.posexplode("v").alias("i", "x"))
     found: dict[str, np.ndarray] = {}
     for r in parts.groupBy("lang", "i").agg(F.sum("x").alias("x")).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v")).collect():
         if any(x.x for x in r.v):
@@ -171,4 +171,4 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], keys: list[str]
                 scores += np.where(any_letter & bool(names), np.clip(cosines.max(axis=1), 0, 1), 0.0).astype(float).tolist()
             yield pdf[keys].assign(lang_pred=langs, score=scores)
 
-    return docs.mapInPandas(run, T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return in_batches(docs).mapInPandas(run, T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import checkpointed
+from quarry.llm.common import checkpointed, in_batches
 
 #: Characters that count as symbols.
 SYMBOLS = b"#*$%&|<>"
@@ -81,7 +81,7 @@ def measured(docs: DataFrame, keys: list[str], text_col: str = "text") -> DataFr
             columns = [pa.array([r[k] for r in rows], pa.int64()) for k in range(len(MEASURES))]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *columns], names=[*(f.name for f in fields), *MEASURES])
 
-    return docs.mapInArrow(run, T.StructType([*fields, *(T.StructField(m, T.LongType()) for m in MEASURES)]))
+    return in_batches(docs).mapInArrow(run, T.StructType([*fields, *(T.StructField(m, T.LongType()) for m in MEASURES)]))
 
 
 def ratios() -> dict[str, Column]:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import checkpointed, if_small
+from quarry.llm.common import checkpointed, if_small, in_batches
 from quarry.llm.components import components
 
 SEGMENTS, SEGMENT_BITS = 4, 16
@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, keys: list[str], text_col: str = "text", words
             found = np.fromiter((fingerprint(x.as_py(), words, seed) for x in b.column(b.num_columns - 1)), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found.view(np.int64))], names=[*(f.name for f in fields), "fp"])
 
-    return docs.mapInArrow(run, T.StructType([*fields, T.StructField("fp", T.LongType())]))
+    return in_batches(docs).mapInArrow(run, T.StructType([*fields, T.StructField("fp", T.LongType())]))
 
 
 def _turned(x: Column, segment: int) -> Column:

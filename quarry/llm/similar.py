@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.llm import simhash
-from quarry.llm.common import MAX_SENT_ROWS, checkpointed, draw, if_small
+from quarry.llm.common import MAX_SENT_ROWS, checkpointed, draw, if_small, in_batches
 from quarry.llm.components import components
 from quarry.llm.simhash import fingerprint
 
@@ -112,7 +112,7 @@ def _common(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
             if held:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held).view(np.int64))], names=["key"])
 
-    counts = drawn.mapInArrow(run, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= COMMON_FROM)
+    counts = in_batches(drawn).mapInArrow(run, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= COMMON_FROM)
     top = counts.orderBy(F.desc("n"), "key").limit(MAX_SENT_ROWS).collect()
     keys, texts = np.array([r.key for r in top], np.int64).view(np.uint64), np.array([r.n for r in top], np.int64)
     order = np.argsort(keys)
@@ -134,7 +134,7 @@ def _prints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]], names=["id", *names])
 
     names = ["node", "n", "parities", *SKETCH, "fp"]
-    return docs.mapInArrow(run, T.StructType([docs.schema["id"], *(T.StructField(x, T.BinaryType() if x == "parities" else T.LongType()) for x in names)]))
+    return in_batches(docs).mapInArrow(run, T.StructType([docs.schema["id"], *(T.StructField(x, T.BinaryType() if x == "parities" else T.LongType()) for x in names)]))
 
 
 def _keys(docs: DataFrame, text_col: str, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -195,15 +195,16 @@ def _linked(docs: DataFrame, text_col: str, light: DataFrame, pairs: DataFrame)
 
     def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            kept = [_may_link(*x) for x in zip(*(b.column(k).to_pylist() for k in range(2, 6)), strict=True)]
+            kept = [_may_link(n.as_py(), m.as_py(), x.as_buffer(), y.as_buffer()) for n, m, x, y in zip(*(b.column(k) for k in range(2, 6)), strict=True)]
             yield b.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             kept = []
-            for x, y in zip(*(b.column(k).to_pylist() for k in (2, 3)), strict=True):
-                both = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
-                kept.append(both * OF >= SIMILAR * (len(x) // 8 + len(y) // 8 - both))
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                own, other = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(np.intersect1d(own, other, assume_unique=True))
+                kept.append(both * OF >= SIMILAR * (len(own) + len(other) - both))
             yield b.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
     side = lambda rows, x, *names: rows.select(F.col("node").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in names])
@@ -227,8 +228,8 @@ def links(docs: DataFrame, light: DataFrame, text_col: str = "text") -> DataFram
     first = _linked(docs, text_col, light, equal.unionByName(near))
     # then shingles. Of every few, the sets that share one meet one of them, another each time, which joins what is left of
     # large groups in a number of checks that grows with their size only
-    posts = _keys(docs, text_col, _common(docs, text_col)).distinct()
-    posts = _unconnected(checkpointed(posts), first).join(light.select("node", "n", *SKETCH), "node")
+    posts = checkpointed(_keys(docs, text_col, _common(docs, text_col)))
+    posts = _unconnected(posts, first).distinct().join(light.select("node", "n", *SKETCH), "node")
     posts = checkpointed(posts)
     own = F.struct(F.xxhash64("key", "node").alias("order"), "node", "n", "group", *SKETCH)
     some = posts.filter(F.pmod(F.xxhash64("key"), F.lit(HUBS)) == 0)

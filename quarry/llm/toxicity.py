@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import draw, held_out
+from quarry.llm.common import draw, held_out, in_batches
 
 #: Labelled documents of each label that a model is fitted on, at most.
 MAX_TRAINING_DOCS = 2_500
@@ -207,7 +207,7 @@ def score(docs: DataFrame, model: Model, keys: list[str], text_col: str = "text"
             found = [model.score(x or "") for x in pdf["__text"]]
             yield pdf[keys].assign(score=[s for s, _ in found], offending=[[{"begin": i, "end": j, "p": p} for i, j, p in spans] for _, spans in found])
 
-    return docs.mapInPandas(run, T.StructType([*fields, T.StructField("score", T.DoubleType()), T.StructField("offending", T.ArrayType(span))]))
+    return in_batches(docs).mapInPandas(run, T.StructType([*fields, T.StructField("score", T.DoubleType()), T.StructField("offending", T.ArrayType(span))]))
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
@@ -221,4 +221,4 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5, text_col:
         for b in batches:
             yield b.filter([model.score(x.as_py() or "")[0] < threshold for x in b.column(k)]) if b.num_rows else b
 
-    return docs.mapInArrow(run, schema)
+    return in_batches(docs).mapInArrow(run, schema)
