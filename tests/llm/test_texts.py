@@ -221,6 +221,22 @@ def test_large_pages():
         assert html.extract(page("Z", n), wrapper) == "\n".join(["Title Z", *(f"text Z {i}" for i in range(n) for _ in range(20))])
 
 
+def test_shared_article():
+    """Pages of one host that share their article keep it."""
+    page = lambda k: f"<body><div class='links'><p>menu {k}</p></div><div class='wrap'><h1>Heading</h1><p>Paragraph one.</p><p>Paragraph two.</p><p>Seen {k} times</p></div></body>"
+    wrapper = html.induce([page(k) for k in range(8)])
+    assert html.extract(page(9), wrapper).endswith("Heading\nParagraph one.\nParagraph two.\nSeen 9 times")
+
+
+def test_odd_markup():
+    """Deep nesting, quotes in unquoted values, an unclosed value, a heading that names itself a header."""
+    deep = "<div>" * 50_000 + "<p>one</p>two" + "</div>" * 50_000
+    wrapper = html.Wrapper.from_list(html.induce([deep.replace("one", f"one {k}") for k in range(6)]).to_list())
+    assert html.extract(deep, wrapper) == html.extract(deep, None) == "one\ntwo"
+    assert html.extract("<p title=it's>one</p><p class='x' title=\"a>b\">two</p>", None) == "one\ntwo"
+    assert html.extract("<article><h1 class='post-header'>Title</h1><p>x</p></article>", None) == "Title\nx"
+
+
 def test_pages(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     out = {r.page_id: r.text for r in html.main_text(pages, ["page_id", "url"]).collect()}
