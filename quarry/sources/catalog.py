@@ -58,6 +58,16 @@ class Catalog:
             names = [c.split(" ")[0] for c in schema.split(", ")]
             missing = {c.split(" ")[0]: F.lit(None).cast(c.split(" ")[1]) for c in schema.split(", ") if c.split(" ")[0] not in rows.columns}
             rows.withColumns(missing).select(names).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("theory").parquet(f"{self.root}/{name}/{table}")
+        # a theory that comes without entities loses those it had
+        bare = blocks.select("theory").distinct().join(entities.select("theory").distinct(), "theory", "left_anti")
+        for r in bare.toLocalIterator():
+            self._drop(name, "entities", r.theory)
+
+    def _drop(self, name: str, table: str, theory: str) -> None:
+        """Removes the partition of a theory, by the name that Spark gives its folder."""
+        escaped = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(theory)
+        path, fs = self._path(name, table, f"theory={escaped}")
+        fs.delete(path, True)
 
     def delete(self, name: str, where: Column) -> None:
         """Removes the blocks that match and their entities, by rewriting the theories that lose any."""
@@ -71,8 +81,7 @@ class Catalog:
         entities.write.mode("overwrite").parquet(f"{staged}/entities")
         for theory in gone:
             for table in ("blocks", "entities"):
-                path, fs = self._path(name, table, f"theory={theory}")
-                fs.delete(path, True)
+                self._drop(name, table, theory)
         self.write(name, self.spark.read.parquet(f"{staged}/blocks"), self.spark.read.parquet(f"{staged}/entities"))
         path, fs = self._path(f".staged-{name}")
         fs.delete(path, True)
@@ -157,7 +166,7 @@ def symbol_synonyms(lines: DataFrame, column: str = "value") -> DataFrame:
 def read_synonyms(spark: SparkSession, path: str) -> dict[str, str]:
     """Rules ``a,b => c`` of a file, one a line, as a table of words; a file of rules is small by nature."""
     out: dict[str, str] = {}
-    for r in spark.read.text(path).filter(F.col("value").contains("=>") & ~F.col("value").startswith("#")).limit(10_000).collect():
+    for r in spark.read.text(path).filter(F.col("value").contains("=>") & ~F.col("value").startswith("#")).toLocalIterator():
         words, _, target = r.value.partition(" => ")
         for w in words.split(","):
             out[w.strip().replace("\\\\", "\\")] = target.strip()

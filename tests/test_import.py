@@ -137,6 +137,19 @@ def test_import(spark, tmp_path):
         store.corpus("none")
 
 
+def test_reimport_without_entities(spark, tmp_path):
+    """A theory that is written again without entities loses those it had; other theories keep theirs."""
+    store = catalog.Catalog(spark, str(tmp_path / "indexes"))
+    store.create("default_R_2020")
+    blocks = spark.createDataFrame([(f"{t}.1.2", t, 1, "fun", "x") for t in ("A b", "C")], "id string, theory string, start_line int, command string, src string")
+    entities = spark.createDataFrame([(f"Const.{t}.c", f"{t}.1.2", "Constant", "c", []) for t in ("A b", "C")], "id string, block_id string, kind string, name string, uses array<string>")
+    store.write("default_R_2020", blocks, entities)
+    assert store.table("default_R_2020", "entities").count() == 2
+    store.write("default_R_2020", blocks.filter("theory = 'A b'"), entities.limit(0))
+    assert [r.block_id for r in store.table("default_R_2020", "entities").collect()] == ["C.1.2"]
+    assert store.table("default_R_2020", "blocks").count() == 2
+
+
 def test_sanity(spark):
     rows = spark.createDataFrame([("a", "Fact", "x", ["u", "u"]), ("b", "Fact", "y", []), ("b", "Fact", "z", [])], "id string, kind string, name string, uses array<string>")
     assert sorted((r.entity, r.message) for r in ingest.sanity(rows).collect()) == [("a", "uses repeat"), ("b", "id repeats")]
