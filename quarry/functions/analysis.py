@@ -8,7 +8,9 @@ token's position.
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -26,22 +28,38 @@ SOURCE_REPLACEMENTS = (
 TOKEN_REPLACEMENTS = (("==>", "⟹"), ("=>", "⇒"))
 
 
-def _folding() -> tuple[str, str]:
-    """Characters of Latin scripts whose compatibility decomposition is one ASCII letter and marks, and those letters."""
-    found = []
-    for cp in [*range(0xA0, 0x250), *range(0x1E00, 0x1F00)]:
-        base = [c for c in unicodedata.normalize("NFKD", chr(cp)) if not unicodedata.combining(c)]
-        if len(base) == 1 and base[0].isascii() and base[0].isalnum():
-            found.append((chr(cp), base[0]))
-    return "".join(a for a, _ in found), "".join(b for _, b in found)
+def _base(char: str) -> str:
+    """The ASCII letters or digits that a character of a Latin script stands for, empty if there are none.
 
+    First by its compatibility decomposition, then by its name: a letter with a
+    stroke, hook or tail is that letter, a dotless one too, and a ligature is its letters.
+    """
+    plain = "".join(c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c))
+    if plain.isascii() and plain.isalnum():
+        return plain
+    named = re.fullmatch(r"LATIN (SMALL|CAPITAL) (?:LETTER|LIGATURE) (?:DOTLESS )?([A-Z]{1,2})(?: WITH .*)?", unicodedata.name(char, ""))
+    if not named:
+        return {"ß": "ss", "ẞ": "SS", "þ": "th", "Þ": "TH", "ð": "d", "Ð": "D"}.get(char, "")
+    return named[2].lower() if named[1] == "SMALL" else named[2]
 
-_ACCENTED, _PLAIN = _folding()
+
+def _folding() -> dict[str, str]:
+    """Characters beyond ASCII of the Latin blocks with what they fold to."""
+    found = {chr(cp): _base(chr(cp)) for cp in [*range(0xA0, 0x250), *range(0x1E00, 0x1F00), *range(0xFB00, 0xFB07), *range(0xFF10, 0xFF5B)]}
+    return {a: b for a, b in found.items() if b}
+
+
+_FOLDED = _folding()
+_ACCENTED = "".join(a for a, b in _FOLDED.items() if len(b) == 1)
+_PLAIN = "".join(b for b in _FOLDED.values() if len(b) == 1)
+_SEVERAL = {a: b for a, b in _FOLDED.items() if len(b) > 1}
 
 
 def folded(token: Column) -> Column:
-    """``token`` with accents removed and ß as ss."""
-    return F.translate(F.replace(token, F.lit("ß"), F.lit("ss")), _ACCENTED, _PLAIN)
+    """``token`` with the ASCII letters that its accented letters, strokes and ligatures stand for."""
+    several = F.create_map(*[F.lit(x) for pair in sorted(_SEVERAL.items()) for x in pair])
+    spelt = F.array_join(F.transform(F.split(token, ""), lambda c: F.coalesce(F.element_at(several, c), c)), "")
+    return F.translate(F.when(token.rlike(f"[{''.join(_SEVERAL)}]"), spelt).otherwise(token), _ACCENTED, _PLAIN)
 
 
 def parts(token: Column) -> Column:
@@ -49,12 +67,29 @@ def parts(token: Column) -> Column:
     return F.regexp_extract_all(token, F.lit(PART_PATTERN), F.lit(1))
 
 
+#: Named character references of HTML 4 with their characters; a space that doesn't break is a space.
+_NAMED = {name: " " if name == "nbsp" else chr(code) for name, code in name2codepoint.items()}
+
+
+def references_decoded(text: Column) -> Column:
+    """``text`` with character references, by name or number, as characters, each decoded once; what is none stays as it is."""
+    named = F.create_map(*[F.lit(x) for pair in sorted(_NAMED.items()) for x in pair])
+
+    def char(piece: Column) -> Column:
+        reference = F.regexp_extract(piece, "^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z0-9]{2,8});", 1)
+        code = F.when(reference.startswith("#x") | reference.startswith("#X"), F.conv(F.substring(reference, 3, 6), 16, 10)).when(reference.startswith("#"), F.substring(reference, 2, 7)).cast("int")
+        valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        decoded = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(F.element_at(named, reference))
+        return F.coalesce(F.concat(decoded, F.substr(piece, F.char_length(reference) + 2)), F.concat(F.lit("&"), piece))
+
+    pieces = F.split(text, "&")
+    joined = F.concat(F.get(pieces, F.lit(0)), F.array_join(F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), char), ""))
+    return F.when(F.contains(text, F.lit("&")), joined).otherwise(text)
+
+
 def html_stripped(text: Column) -> Column:
-    """``text`` without markup: a space for each tag, comment, script and style; then entities decoded."""
-    text = F.regexp_replace(text, r"(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->|<[^>]*>", " ")
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+    """``text`` without markup: a space for each tag, comment, script and style; then character references decoded."""
+    return references_decoded(F.regexp_replace(text, r"(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->|<[^>]*>", " "))
 
 
 def base_tokens(text: Column, kind: str) -> Column:

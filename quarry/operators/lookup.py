@@ -19,8 +19,11 @@ def block_of(corpus: Corpus, id_: object) -> DataFrame:
 
 def resolved(corpus: Corpus, entities: DataFrame) -> DataFrame:
     """Entities with what they use as an array of (id, kind, name), in order of id; ids that nothing has are left out."""
-    short = corpus.entities.select(F.col("id").alias("__id"), F.struct("id", "kind", "name").alias("__short")).dropDuplicates(["__id"])
-    used = entities.select("id", F.explode(F.array_distinct("uses")).alias("__used")).join(short, F.col("__used") == F.col("__id"))
+    edges = entities.select("id", F.explode("uses").alias("__used")).distinct()
+    # only what is used is shuffled, not every entity
+    wanted = edges.select(F.col("__used").alias("__wanted")).distinct()
+    short = corpus.entities.select("id", "kind", "name").join(wanted, F.col("id") == F.col("__wanted"), "left_semi").dropDuplicates(["id"])
+    used = edges.join(short.select(F.col("id").alias("__id"), F.struct("id", "kind", "name").alias("__short")), F.col("__used") == F.col("__id"))
     lists = used.groupBy(F.col("id").alias("__owner")).agg(F.array_sort(F.collect_list("__short")).alias("__uses"))
     joined = entities.join(lists, F.col("id") == F.col("__owner"), "left")
     return joined.withColumn("uses", F.coalesce("__uses", F.array().cast(lists.schema["__uses"].dataType))).drop("__owner", "__uses")

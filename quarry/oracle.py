@@ -39,6 +39,15 @@ def _score(token: str) -> str:
     return f"ln(1 + ({n} - {df} + 0.5) / ({df} + 0.5)) * {tf} / ({tf} + 1.2 * (1 - 0.75 + 0.75 * len(b.ts) / {avg}))"
 
 
+#: The continuations of segments, as a pattern of its own.
+_CONTINUATION = (
+    r"^\s*$|^\s*@?(also|and|apply|assume|back|by|case|\}|consider|defer|define|done|\.|\.\.|finally|fix|focus|from|guess|have|hence|let|moreover|next|nitpick|note|obtain|oops|prefer|presume|proof"
+    r"|qed|quickcheck|refute|schematic_goal|show|sledgehammer|sorry|subgoal|supply|termination|then|thus|try0|ultimately|unfolding|using|where|with)"
+)
+_SEGMENT_CONTINUATIONS = "WITH {} SELECT theory, start, stop, start_line, md5(src) AS h FROM segments".format(
+    _SEGMENTS.replace("turn AS n, text,", "turn AS n, lower(text) AS text,").replace("WHEN role = 'user' OR", f"WHEN NOT regexp_matches(lower(text), '{_CONTINUATION}') OR")
+)
+
 ORACLE_SQL = {
     "minimum_slice": f"{_BOTH}, hit AS (SELECT id FROM blocks b WHERE command = '1-URGENT' AND EXISTS (SELECT 1 FROM entities e WHERE e.block_id = b.id AND kind = 'R')) SELECT id, (SELECT count(*) FROM hit) AS total FROM hit ORDER BY id LIMIT 10",
     "filter_exact_parent": f"{_BOTH} SELECT id FROM blocks WHERE command = '1-URGENT'",
@@ -84,6 +93,41 @@ ORACLE_SQL = {
       SELECT unnest(regexp_extract_all({_QUERY}, '(::|[(){{}}\[\].,:"]|[^\x00-\x7F]|[^(){{}}\[\].,:"\s\x{{80}}-\x{{10FFFF}}]+)', 1)) AS t FROM documents)) GROUP BY token""",
     "command_kinds": r"""SELECT CASE WHEN starts_with(t, '{') THEN '{' WHEN starts_with(t, '(*') THEN '(*' ELSE string_split_regex(t, '\s+|\(|"|\.|‹|\{|\[|%|✐|―')[1] END AS command, count(*) AS n FROM (SELECT regexp_replace(text, '^\s+', '') AS t FROM documents) GROUP BY 1""",
     "drop_first_component": r"SELECT page_id, array_to_string(string_split(h, '.')[2:], '.') AS name, 'Fact.' || h AS id FROM (SELECT page_id, regexp_extract(url, '//([^/]+)', 1) AS h FROM pages)",
+    "resolve_all_uses": "SELECT used, count(DISTINCT l_orderkey) AS n FROM (SELECT l_orderkey, unnest([l_partkey, l_suppkey]) AS used FROM lineitem) WHERE used IN (SELECT p_partkey FROM part) GROUP BY used",
+    "theory_listing_whole": "SELECT doc_id AS id, CAST(n_chars AS INT) AS start_line FROM documents WHERE source = 'src3' ORDER BY n_chars, doc_id LIMIT 10000",
+    "resolved_entities": f"{_BOTH} SELECT e.id, CAST(CASE WHEN p_name IS NULL THEN 0 ELSE 1 END AS BIGINT) AS n_uses, p_name AS name FROM entities e LEFT JOIN part ON CAST(p_partkey AS VARCHAR) = e.uses[1]",
+    "best_child_score": """WITH w AS (SELECT p_size, string_split(p_name, ' ') AS t FROM part), s AS (SELECT count(*) AS n, avg(len(t)) AS a, count(*) FILTER (list_contains(t, 'small')) AS x, count(*) FILTER (list_contains(t, 'bolt')) AS y FROM w),
+      g AS (SELECT p_size, round((ln(1 + (n - x + 0.5) / (x + 0.5)) * CAST(list_contains(t, 'small') AS INT) + ln(1 + (n - y + 0.5) / (y + 0.5)) * CAST(list_contains(t, 'bolt') AS INT)) / (1 + 1.2 * (0.25 + 0.75 * len(t) / a)), 6) AS g FROM w, s WHERE list_has_any(t, ['small', 'bolt']))
+      SELECT CAST(p_size AS BIGINT) AS id, round(1 + max(g), 6) AS score FROM g GROUP BY p_size""",
+    "or_ranks_both_first": rf"WITH {_SOURCE}, hit AS (SELECT DISTINCT doc_id FROM forms WHERE list_has_any(f, ['idiot', 'scum'])) SELECT b.doc_id AS id, round({_score('idiot')} + {_score('scum')}, 6) AS score FROM base b JOIN hit USING (doc_id) ORDER BY score DESC, id LIMIT 10",
+    "facet_other_field": "SELECT 'SourceTheoryFacet' AS field, p_name AS value, count(*) AS count FROM part WHERE list_contains(string_split(p_name, ' '), 'small') GROUP BY p_name",
+    "facet_without_values": f"{_BOTH} SELECT 'Command' AS field, command AS value, count(*) AS count FROM blocks WHERE line BETWEEN 0 AND 1500 GROUP BY command",
+    "inner_query_of_texts": "SELECT p_partkey AS id FROM part WHERE list_has_any(string_split(p_name, ' '), (SELECT string_split(p_name, ' ') FROM part WHERE p_partkey = 7))",
+    "filter_int_values": f"{_BOTH} SELECT id FROM blocks WHERE line IN (36901, 173665) OR line BETWEEN 90000 AND 91000",
+    "term_blank": rf"WITH {_SOURCE} SELECT DISTINCT doc_id AS id FROM forms WHERE list_contains(f, 'idiot')",
+    "tree_references": "SELECT DISTINCT CAST(p_partkey AS VARCHAR) AS root, unnest(['Constant', 'Type', 'Type']) AS kind, unnest([p_brand, p_type, 'size' || p_size]) AS name FROM part",
+    "proof_references": "SELECT kind, name, count(*) AS n FROM (SELECT unnest(['Fact', 'Fact', 'Fact', 'Type']) AS kind, unnest(['clerk' || o_custkey, o_orderpriority, 'trusted', o_orderstatus]) AS name FROM orders) GROUP BY kind, name",
+    "type_printer": "SELECT c_custkey, '(?a' || CASE WHEN c_nationkey = 0 THEN '' ELSE CAST(c_nationkey AS VARCHAR) END || ' :: ' || c_mktsegment || ' ⇒ nat) ⇒ t' || c_nationkey || ' list' AS printed FROM customer",
+    "pure_names": "SELECT name, count(*) AS n FROM (SELECT unnest([CASE WHEN l_returnflag = 'R' THEN NULL ELSE l_returnflag END, CASE WHEN l_linestatus = 'O' THEN NULL ELSE 'funs' END]) AS name FROM lineitem) WHERE name IS NOT NULL GROUP BY name",
+    "last_blank_lines": r"SELECT doc_id, md5(regexp_replace(coalesce(text, '') || chr(10) || '  ' || chr(10) || chr(10) || ' ', '(\n\s*)+$', '')) AS h FROM documents",
+    "segment_continuations": _SEGMENT_CONTINUATIONS,
+    "adjacency": "SELECT theory, start, expected FROM (SELECT o_custkey AS theory, o_orderkey AS start, lag(o_orderkey + CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 9 END) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS expected FROM orders) WHERE expected <> start",
+    "extract_blocks": r"""WITH t AS (SELECT conv_id, turn, role, CASE WHEN role = 'user' THEN ' ' || chr(10) ELSE text END AS src FROM conversations),
+      b AS (SELECT *, 1 + coalesce(sum(length(src)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, regexp_replace(src, '^\s+', '') AS s FROM t)
+      SELECT 'T' || conv_id || '.' || CAST(start AS BIGINT) || '.' || CAST(start + length(src) AS BIGINT) AS id, CASE WHEN s = '' THEN NULL WHEN starts_with(s, '{') THEN '{' WHEN starts_with(s, '(*') THEN '(*' ELSE string_split_regex(s, '\s+|\(|"|\.|‹|\{|\[|%|✐|―')[1] END AS command, CASE WHEN s = '' THEN 'blank block' END AS message FROM b""",
+    "extract_types": "SELECT 'Type.T.' || n_nationkey AS id, CAST(n_nationkey AS VARCHAR) AS name, 'Constant.C.' || n_regionkey || ',Type.A.' || n_regionkey || ',Type.R.' || n_regionkey AS uses FROM nation",
+    "extract_constants": "SELECT 'Constant.T.' || c_custkey AS id, CAST(c_custkey AS VARCHAR) AS name, array_to_string(list_sort(['Constant.C.' || c_nationkey, 'Type.' || c_mktsegment, 'Type.N.' || c_nationkey]), ',') AS uses FROM customer",
+    "extract_facts": """WITH i AS (SELECT l_orderkey AS k, list(DISTINCT 'Fact.part' || l_partkey) AS parts FROM lineitem GROUP BY l_orderkey)
+      SELECT 'Fact.T.' || o_orderkey AS id, CAST(o_orderkey AS VARCHAR) AS name, array_to_string(list_sort(list_concat(['Constant.' || o_orderstatus, 'Fact.cust' || o_custkey], coalesce(parts, []))), ',') AS uses FROM orders LEFT JOIN i ON k = o_orderkey
+      UNION ALL SELECT 'Fact.S.' || s_suppkey, CAST(s_suppkey AS VARCHAR), 'Type.N.' || s_nationkey FROM supplier WHERE s_acctbal >= 0 AND s_nationkey <> 3""",
+    "sanity_warnings": """WITH e AS (SELECT CAST(l_partkey AS VARCHAR) AS entity, l_returnflag, l_linestatus, l_suppkey, l_linenumber FROM lineitem)
+      SELECT entity, 'id repeats' AS message, 1 AS n FROM (SELECT DISTINCT * FROM e) GROUP BY entity HAVING count(*) > 1 UNION ALL SELECT entity, 'uses repeat', count(*) FROM e WHERE l_suppkey = l_linenumber GROUP BY entity""",
+    "symbol_rules": r"""SELECT '\<n' || n_nationkey || '>' AS word, chr(CAST(8704 + n_nationkey AS INT)) AS replacement FROM nation UNION ALL SELECT '/' || n_nationkey, chr(CAST(8704 + n_nationkey AS INT)) FROM nation
+      UNION ALL SELECT '&' || n_regionkey, min(chr(CAST(8704 + n_nationkey AS INT))) FROM nation GROUP BY n_regionkey HAVING count(*) = 1""",
+    "catalog_upsert": """WITH o AS (SELECT c_nationkey AS k, count(*) AS entities FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1)
+      SELECT 'T' || c_nationkey AS theory, count(*) AS blocks, CASE WHEN c_nationkey = 3 THEN 'again ' ELSE '' END || min(c_name) AS first, CASE WHEN c_nationkey = 3 THEN 0 ELSE coalesce(max(entities), 0) END AS entities FROM customer LEFT JOIN o ON k = c_nationkey GROUP BY c_nationkey""",
+    "catalog_delete": """WITH o AS (SELECT c_nationkey AS k, count(*) AS entities FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment <> 'BUILDING' GROUP BY 1)
+      SELECT 'T' || c_nationkey AS theory, count(*) AS blocks, min(c_name) AS first, coalesce(max(entities), 0) AS entities FROM customer LEFT JOIN o ON k = c_nationkey WHERE c_mktsegment <> 'BUILDING' GROUP BY c_nationkey""",
     "term_any_token": rf"WITH {_SOURCE} SELECT DISTINCT doc_id AS id FROM forms WHERE list_has_any(f, ['idiot', 'scum'])",
     "term_wildcard_token": rf"WITH {_SOURCE} SELECT DISTINCT doc_id AS id FROM forms WHERE len(list_filter(f, lambda x: regexp_full_match(x, 'path.t.*'))) > 0",
     "phrase_slop": rf"WITH {_SOURCE} SELECT DISTINCT a.doc_id AS id FROM forms a JOIN forms b ON a.doc_id = b.doc_id AND list_contains(a.f, 'than') AND list_contains(b.f, 'with') AND abs(a.k - (b.k - 1)) <= 10",

@@ -290,16 +290,13 @@ def with_children(corpus: Corpus, page: DataFrame) -> DataFrame:
 # facets
 
 
-def facet(corpus: Corpus, filters: tuple[FieldFilter, ...], name: str, max_facets: int = 100) -> DataFrame:
-    """Counts of blocks by value of a field: columns field, value (string), count.
+def facet_counts(corpus: Corpus, filters: tuple[FieldFilter, ...], name: str) -> DataFrame:
+    """Counts of blocks by value of a field: columns value (string) and count.
 
     Filters on a column of the same name don't restrict it, so that several of
-    its values can be chosen. A field of entities counts each block once. A
-    field with ``max_facets`` values or more gives nothing.
+    its values can be chosen. A field of entities counts each block once.
     """
     f = field(name)
-    if max_facets < 0:
-        raise InvalidQuery(f"{max_facets} facets")
     if not f.facetable:
         raise InvalidQuery(f"{name} can't be counted")
     parent, child = route(filters)
@@ -323,7 +320,14 @@ def facet(corpus: Corpus, filters: tuple[FieldFilter, ...], name: str, max_facet
     else:
         value = F.col(f.column).cast("string")
     # distinct pairs first: the counts then add up in parts before they meet
-    counts = rows.select(value.alias("value"), owner.alias("owner")).filter("value is not null").distinct().groupBy("value").agg(F.count(F.lit(1)).alias("count"))
+    return rows.select(value.alias("value"), owner.alias("owner")).filter("value is not null").distinct().groupBy("value").agg(F.count(F.lit(1)).alias("count"))
+
+
+def facet(corpus: Corpus, filters: tuple[FieldFilter, ...], name: str, max_facets: int = 100) -> DataFrame:
+    """``facet_counts`` with the field's name as field; a field with ``max_facets`` values or more gives nothing."""
+    if max_facets < 0:
+        raise InvalidQuery(f"{max_facets} facets")
+    counts = facet_counts(corpus, filters, name)
     size = counts.limit(max_facets).agg((F.count(F.lit(1)) < max_facets).alias("__few"))
     return counts.crossJoin(F.broadcast(size)).filter("__few").select(F.lit(name).alias("field"), "value", "count")
 
@@ -340,4 +344,4 @@ def facets_with_selection(counts: DataFrame, selected: DataFrame) -> DataFrame:
     return both.select("field", "value", F.coalesce("count", F.lit(0)).alias("count"), F.coalesce("selected", F.lit(False)).alias("selected"))
 
 
-__all__ = ["FIELDS", "Compiler", "Corpus", "blocks", "documents", "facet", "facets", "facets_with_selection", "glob_pattern", "inner_values", "matching", "phrase", "route", "scored", "with_children"]
+__all__ = ["FIELDS", "Compiler", "Corpus", "blocks", "documents", "facet", "facet_counts", "facets", "facets_with_selection", "glob_pattern", "inner_values", "matching", "phrase", "route", "scored", "with_children"]

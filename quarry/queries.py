@@ -8,7 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarry import import_queries
 from quarry.functions import analysis
+from quarry.import_queries import table
 from quarry.operators import ingest, lookup, paging
 from quarry.plans import compiler
 from quarry.plans.compiler import Corpus
@@ -16,10 +18,6 @@ from quarry.plans.query import And, Exact, FieldFilter, InRange, InResult, Not,
 from quarry.sources import catalog
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def orders(spark: SparkSession, sf_dir: str) -> Corpus:
     """Orders as blocks, line items as entities."""
     o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
@@ -369,7 +367,58 @@ def delete_by_query(spark: SparkSession, d: str) -> DataFrame:
     return c.blocks.join(gone, "id", "left_anti").groupBy("command").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {
+def resolve_all_uses(spark: SparkSession, d: str) -> DataFrame:
+    """What orders use among all parts."""
+    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.array("l_partkey", "l_suppkey").alias("uses"))
+    return lookup.resolve_edges(li, table(spark, d, "part").select(F.col("p_partkey").alias("id"))).groupBy("used").agg(F.count(F.lit(1)).alias("n"))
+
+
+def theory_listing_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The listing of a source at its own limit."""
+    c = texts(spark, d)
+    return lookup.theory_listing(Corpus(c.blocks.withColumn("theory", F.col("theory_facet")), c.entities), "src3").select("id", "start_line")
+
+
+def resolved_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Line items with the parts that they use in short."""
+    c = _parts_as_entities(spark, d)
+    items = orders(spark, d).entities.withColumn("uses", F.array((-F.col("uses")[0].cast("long")).cast("string"), F.lit("7")))
+    return lookup.resolved(Corpus(c.blocks, c.entities.filter("kind = 'Type'")), items).select("id", F.size("uses").cast("long").alias("n_uses"), F.get("uses", F.lit(0))["name"].alias("name"))
+
+
+def best_child_score(spark: SparkSession, d: str) -> DataFrame:
+    """Sizes by the best rank of their parts' names."""
+    p = table(spark, d, "part")
+    c = Corpus(p.select(F.col("p_size").cast("long").alias("id")).distinct(), p.select(F.col("p_partkey").alias("id"), F.col("p_size").cast("long").alias("block_id"), F.col("p_name").alias("name")))
+    return compiler.blocks(c, (FieldFilter("Name", Term("small bolt")),)).select("id", "score")
+
+
+def or_ranks_both_first(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with both of two words rank before those with one."""
+    found = compiler.blocks(texts(spark, d), (FieldFilter("SourceCode", Or(Exact("idiot"), Exact("scum"))),))
+    return paging.page(found, 10).select("id", "score")
+
+
+def facet_other_field(spark: SparkSession, d: str) -> DataFrame:
+    """A filter on a name's text restricts the facet of the whole name, as they are different fields."""
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("theory"), F.col("p_name").alias("theory_facet"))
+    return compiler.facet(Corpus(p, p.select("id", F.col("id").alias("block_id"))), (FieldFilter("SourceTheory", Term("small")), FieldFilter("SourceTheoryFacet", Exact("small bolt"))), "SourceTheoryFacet")
+
+
+def facet_without_values(spark: SparkSession, d: str) -> DataFrame:
+    """Only values that occur are counted; a field without any gives no row."""
+    filters = (FieldFilter("StartLine", InRange(0, 1500)),)
+    return compiler.facets(orders(spark, d), filters, ("Command", "ConstantTypeFacet"))
+
+
+def inner_query_of_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Parts whose name shares a word with what an inner query finds."""
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_partkey").alias("block_id"), F.col("p_name").alias("name"), F.col("p_brand").alias("name_facet"))
+    c = Corpus(p.limit(0).select("id"), p)
+    return _ids(compiler.matching(c, p, [FieldFilter("Name", InResult("Name", (FieldFilter("Id", Exact("7")),)))]))
+
+
+QUERIES = import_queries.QUERIES | {
     "minimum_slice": minimum_slice,
     "filter_exact_parent": _blocks(("Command", Exact("1-URGENT"))),
     "filter_exact_int": _blocks(("StartLine", Exact("1234"))),
@@ -411,6 +460,16 @@ QUERIES = {
     "query_replacements": query_replacements,
     "command_kinds": command_kinds,
     "drop_first_component": drop_first_component,
+    "resolve_all_uses": resolve_all_uses,
+    "theory_listing_whole": theory_listing_whole,
+    "resolved_entities": resolved_entities,
+    "best_child_score": best_child_score,
+    "or_ranks_both_first": or_ranks_both_first,
+    "facet_other_field": facet_other_field,
+    "facet_without_values": facet_without_values,
+    "inner_query_of_texts": inner_query_of_texts,
+    "filter_int_values": _blocks(("StartLine", Or(Exact("36901"), Exact("173665"), InRange(90000, 91000)))),
+    "term_blank": _blocks(("SourceCode", Or(Term("  "), Term("idiot"))), corpus=texts),
     "term_any_token": term_any_token,
     "term_wildcard_token": term_wildcard_token,
     "phrase_slop": phrase_slop,

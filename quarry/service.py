@@ -17,6 +17,10 @@ from quarry.plans.query import FacetQuery, FilterQuery
 from quarry.sources.catalog import Catalog
 
 
+#: Rows of a page (id and score) that are sent to all executors at most; larger ones meet their blocks in a shuffled join.
+MAX_SENT_PAGE = 100_000
+
+
 @dataclass
 class ResultList:
     """A page of results, how many there are in all, and the cursor behind the page."""
@@ -76,7 +80,10 @@ class Engine:
     def search(self, index: str, q: FilterQuery) -> ResultList:
         """Blocks by rank, each with all its entities in short."""
         corpus = self.corpus(index)
-        page, count = self._page(compiler.blocks(corpus, q.filters), q)
+        page, count = self._page(compiler.blocks(corpus, q.filters).select("id", "score"), q)
+        if q.page_size <= MAX_SENT_PAGE:
+            page = F.broadcast(page)
+        page = corpus.blocks.join(page, "id")  # wide columns of this page's blocks alone
         short = [c for c in ("id", "kind", "name") if c in corpus.entities.columns]
         nested = compiler.with_children(Corpus(corpus.blocks, corpus.entities.select("block_id", *short)), page)
         rows = nested.orderBy(F.desc("score"), "id").collect()
@@ -97,8 +104,8 @@ class Engine:
             raise InvalidQuery(f"{q.max_facets} facets")
         out: dict[str, dict[str, int]] = {}
         for name in q.fields:
-            found = {r.value: r["count"] for r in compiler.facet(corpus, q.filters, name, q.max_facets).collect()}
-            if found or compiler.facet(corpus, q.filters, name, 2_000_000_000).isEmpty():
+            found = {r.value: r["count"] for r in compiler.facet_counts(corpus, q.filters, name).limit(q.max_facets).collect()}
+            if len(found) < q.max_facets:
                 out[name] = found
         return out
 
