@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import checkpointed, in_batches
+from quarry.llm.common import checkpointed, if_small, in_batches
 
 #: Characters that count as symbols.
 SYMBOLS = b"#*$%&|<>"
@@ -30,10 +30,12 @@ WINDOW = 5
 SKETCH_ERROR = 0.01
 #: Fewer texts than this don't make a sketch to go by; the language's is used, then that of all.
 LEAST_TEXTS = 200
-#: How many times the distance from the median to the 90 % quantile a text may lie beyond that quantile.
-DISTANCE = 4.0
+#: The quantile from which limits are counted: junk moves them only where it is more than the rest, a quarter of a group.
+UPPER = 0.75
+#: How many times the distance from the median to the upper quantile a text may lie beyond that quantile.
+DISTANCE = 8.0
 #: By ratio, the least such distance, where texts hardly differ.
-LEAST_SPREAD = {"symbols_per_word": 0.05, "dup_lines_per_line": 0.1, "repeats_per_word": 0.05, "chars_per_word": 2.0}
+LEAST_SPREAD = {"symbols_per_word": 0.025, "dup_lines_per_line": 0.05, "repeats_per_word": 0.025, "chars_per_word": 1.0}
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 
@@ -128,7 +130,7 @@ def thresholds(sketches: DataFrame, by: list[str], prefix: str) -> DataFrame:
     spread = F.lit(0.0)
     for name, least in LEAST_SPREAD.items():
         spread = F.when(F.col("name") == name, least).otherwise(spread)
-    limits = quantiles(sketches, by, {"middle": 0.5, "high": 0.9}).withColumn("limit", F.col("high") + DISTANCE * F.greatest(F.col("high") - F.col("middle"), spread))
+    limits = quantiles(sketches, by, {"middle": 0.5, "high": UPPER}).withColumn("limit", F.col("high") + DISTANCE * F.greatest(F.col("high") - F.col("middle"), spread))
     return limits.groupBy(*[F.col(c).alias(f"{prefix}_{c}") for c in by]).agg(
         F.max("texts").alias(f"{prefix}_texts"), *[F.max(F.when(F.col("name") == name, F.col("limit"))).alias(f"{prefix}_{name}") for name in LEAST_SPREAD]
     )
@@ -139,29 +141,30 @@ def base_failed() -> Column:
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
-def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least_texts: int = LEAST_TEXTS) -> DataFrame:
     """Every row of ``docs`` with its measures and the verdict.
 
     Columns: ``id_col``, the measures, base_failed and kept. Rows that fail the
-    base rules are in no sketch. A null language or source is a group of its
-    own; a null text has no words and fails. An empty table gives an empty table.
+    base rules are in no sketch. A language and source with fewer than
+    ``least_texts`` rows in its sketch takes the limits of its language, and
+    that those of all. A value equal to its limit is kept. A null language or
+    source is a group of its own; a null text has no words and fails. Texts of
+    any length are measured whole, repeated rows count each, an empty table
+    gives an empty table.
     """
     rows = checkpointed(measured(docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), F.col(text_col).alias("text")), ["id", "lang", "source"]))
     values = ratios()
     own = checkpointed(sketch(rows.filter(~base_failed()), ["lang", "source"], values))
-    # limits meet in the small table of groups; rows then need one join
-    every = own.withColumn("every", F.lit("every"))
-    groups = every.select("every", "lang", "source").distinct()
-    for sketches, by, prefix in ((own, ["lang", "source"], "s"), (merged(own, ["lang"]), ["lang"], "l"), (merged(every, ["every"]), ["every"], "a")):
-        limits = thresholds(sketches, by, prefix)
-        same = F.lit(True)
-        for c in by:
-            same = same & groups[c].eqNullSafe(limits[f"{prefix}_{c}"])
-        groups = groups.join(limits, same, "left")
-    groups = groups.withColumnsRenamed({"lang": "g_lang", "source": "g_source"})
-    out = rows.withColumn("base_failed", base_failed()).join(groups, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left")
+    # limits meet in the small table of groups, those of all as one row of numbers; rows then need one join
+    every = thresholds(merged(own, []), [], "a").first()
+    groups = thresholds(own, ["lang", "source"], "s").join(thresholds(merged(own, ["lang"]), ["lang"], "l"), F.col("s_lang").eqNullSafe(F.col("l_lang")), "left")
+    limit = {
+        name: F.when(F.col("s_texts") >= least_texts, F.col(f"s_{name}")).when(F.col("l_texts") >= least_texts, F.col(f"l_{name}")).otherwise(F.lit(every[f"a_{name}"]).cast("double"))
+        for name in values
+    }
+    groups = if_small(checkpointed(groups.select("s_lang", "s_source", *[x.alias(f"most_{name}") for name, x in limit.items()])))
+    out = rows.withColumn("base_failed", base_failed()).join(groups, F.col("lang").eqNullSafe(F.col("s_lang")) & F.col("source").eqNullSafe(F.col("s_source")), "left")
     verdict = ~F.col("base_failed")
     for name, value in values.items():
-        limit = F.when(F.col("s_texts") >= LEAST_TEXTS, F.col(f"s_{name}")).when(F.col("l_texts") >= LEAST_TEXTS, F.col(f"l_{name}")).otherwise(F.col(f"a_{name}"))
-        verdict = verdict & ~F.coalesce(value > limit, F.lit(False))
+        verdict = verdict & ~F.coalesce(value > F.col(f"most_{name}"), F.lit(False))
     return out.select(F.col("id").alias(id_col), *MEASURES, "base_failed", verdict.alias("kept"))

@@ -1,4 +1,8 @@
-"""The registered queries of this subpackage, each one operator over its whole table."""
+"""The registered queries of this subpackage, each one operator over its whole table.
+
+What each does with nulls, empty and long texts, ties, repeated rows and empty
+tables is what its operator's docstring says; columns beyond those read don't matter.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm import bpe, exactdedup, html, langid, linededup, mixing, quality, sharding, simhash, toxicity
 from quarry.llm.common import held_out, table
+from quarry.llm.oracle import ORACLE_SQL  # noqa: F401
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,4 +72,3 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_sharding, op2_langid, op3_linededup, op4_mixing, op5_bpe, op6_exact_dedup, op7_toxicity, op8_simhash, op9_quality, op10_html)}
-ORACLE_SQL: dict[str, str] = {}
