@@ -82,7 +82,7 @@ def test_wildcards_and_blank_terms(engine):
     assert found(engine, ("Name", Term("const?"))) == [FUN]
     assert found(engine, ("Name", Term("con* x"))) == []
     assert found(engine, ("SourceCode", Term(" "))) == []
-    assert found(engine, ("SourceCode", Term("LEMMA fun"))) == [FUN, LEMMA] or len(found(engine, ("SourceCode", Term("LEMMA fun")))) == 2
+    assert sorted(found(engine, ("SourceCode", Term("LEMMA fun")))) == sorted([FUN, LEMMA])
 
 
 def test_not_needs_a_value(engine):
