@@ -6,14 +6,13 @@ source and encoded. Every stage but the last returns the columns of documents.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm import bpe, exactdedup, mixing, similar, toxicity
-from quarry.llm.common import table
+from quarry.llm.common import shared_folder, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +54,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to ``documents``; between them the rows are written as Parquet in the shared folder and read again."""
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quarry-pipeline-")
+    base = spark.sparkContext.getCheckpointDir() or shared_folder(spark)
     docs = table(spark, sf_dir, "documents")
     at = f"{base.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     before = None
