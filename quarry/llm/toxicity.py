@@ -23,11 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import draw, held_out, in_batches
+from quarry.llm.common import checkpointed, draw, held_out, in_batches
 
 #: Labelled documents of each label that a model is fitted on, at most.
 MAX_TRAINING_DOCS = 2_500
-#: Characters of training texts that go to the driver, at most; a document beyond it is left out of the sample as a whole.
+#: Characters of training texts that go to the driver, at most; a document that doesn't fit any more is left out of the sample as a whole.
 MAX_TRAINING_CHARS = 12_000_000
 #: Features of a model, at most, so that its size is bounded wherever it is sent.
 MAX_FEATURES = 1_500
@@ -106,8 +106,8 @@ class Model:
         return float(min(1.0, max(0.0, -np.expm1(clean.sum())))), spans
 
 
-def informative(texts: list[str], y: np.ndarray) -> list[str]:
-    """Features that at least 3 toxic documents hold, and 3 times their share of all that hold it; the most telling first."""
+def informative(texts: list[str], y: np.ndarray, max_features: int = MAX_FEATURES) -> list[str]:
+    """Features that at least 3 toxic documents hold, and 3 times their share of all that hold it; the ``max_features`` most telling, these first."""
     counts = (Counter(), Counter())
     known: dict[str, list[str]] = {}
     for text, label in zip(texts, y, strict=True):
@@ -120,10 +120,10 @@ def informative(texts: list[str], y: np.ndarray) -> list[str]:
     toxic = y.sum()
     odds = (toxic + 1) / (len(y) - toxic + 1)
     telling = {f: (n - 3 * odds * (counts[0][f] + 2)) / np.sqrt(n) for f, n in counts[1].items() if n >= 3}
-    return sorted((f for f, x in telling.items() if x > 0), key=lambda f: (-telling[f], f))[:MAX_FEATURES]
+    return sorted((f for f, x in telling.items() if x > 0), key=lambda f: (-telling[f], f))[:max_features]
 
 
-def fit(texts: list[str], labels: list[int], steps: int = 300, rate: float = 0.1, l1: float = 1e-3) -> Model:
+def fit(texts: list[str], labels: list[int], steps: int = 300, rate: float = 0.1, l1: float = 1e-3, max_features: int = MAX_FEATURES) -> Model:
     """Fits by proximal Adam steps on the likelihood of the documents' labels; all documents take part in every step.
 
     With labels of one kind only, the model is constant: that label.
@@ -131,7 +131,7 @@ def fit(texts: list[str], labels: list[int], steps: int = 300, rate: float = 0.1
     y = np.array(labels, float)
     if len(y) == 0 or y.min() == y.max():
         return Model({}, constant=float(y[0]) if len(y) else 0.0)
-    names = informative(texts, y)
+    names = informative(texts, y, max_features)
     if not names:
         return Model({}, constant=float(y.mean() >= 0.5))
     number = {f: k for k, f in enumerate(names)}
@@ -164,11 +164,26 @@ def fit(texts: list[str], labels: list[int], steps: int = 300, rate: float = 0.1
     return Model({f: float(x) for f, x in zip(names, w, strict=True) if x})
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_docs: int = MAX_TRAINING_DOCS, seed: int = 7) -> Model:
-    """Fits on labelled documents outside the held-out fold, at most ``max_docs`` of each label, drawn by a seed.
-
-    Null labels and ids count as none; of an id with several labels, any 1 counts.
-    Null texts are empty. Without labels of both kinds the model is constant.
+def train(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "toxic",
+    max_docs: int = MAX_TRAINING_DOCS,
+    seed: int = 7,
+    max_chars: int = MAX_TRAINING_CHARS,
+    max_features: int = MAX_FEATURES,
+) -> Model:
+    """Fits on labelled documents outside the held-out fold, drawn by a seed.
+
+    The sample holds at most ``max_docs`` documents of each label and
+    ``max_chars`` characters of whole texts, which are counted before any text
+    leaves its executor; the model has at most ``max_features`` weights. Null
+    labels and ids count as none; of an id with several labels, any 1 counts. Of
+    rows that repeat an id, the one with the smallest text (by its hash, then
+    itself) is drawn. Null texts are empty. Without labels of both kinds, as in
+    empty tables, the model is constant.
     """
     marked = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(id_col).agg((F.max(label_col) == 1).cast("int").alias("y"))
     drawn = None
@@ -176,17 +191,20 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         part = marked.filter(F.col("y") == y).orderBy(draw(seed, F.col(id_col)), id_col).limit(max_docs)
         drawn = part if drawn is None else drawn.unionByName(part)
     # at most 2 * max_docs rows of two numbers, whatever the size of the tables
-    rows = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(F.broadcast(drawn), id_col)
-    rows = rows.dropDuplicates([id_col]).orderBy(draw(seed, F.col(id_col)), id_col)
-    texts, y, chars = [], [], 0
-    for r in rows.select("t", "y").toLocalIterator():
-        chars += len(r.t)
-        if chars > MAX_TRAINING_CHARS:
-            chars -= len(r.t)
-            continue
-        texts.append(r.t)
-        y.append(r.y)
-    return fit(texts, y)
+    drawn = checkpointed(drawn.withColumnsRenamed({id_col: "__id"}))
+    text = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).withColumn("h", F.xxhash64("t"))
+    light = text.join(F.broadcast(drawn), "__id").groupBy("__id", "y").agg(F.min(F.struct("h", F.char_length("t").alias("n"))).alias("first"))
+    light = light.select("__id", "y", "first.*").orderBy(draw(seed, F.col("__id")), "__id")
+    chosen, chars = [], 0
+    for r in light.collect():
+        if chars + r.n <= max_chars:
+            chars += r.n
+            chosen.append((r["__id"], r.h, len(chosen), r.y))
+    if not chosen:
+        return fit([], [])
+    wanted = docs.sparkSession.createDataFrame(chosen, T.StructType([T.StructField("__id", light.schema["__id"].dataType), T.StructField("h", T.LongType()), T.StructField("k", T.IntegerType()), T.StructField("y", T.IntegerType())]))
+    texts = text.join(F.broadcast(wanted), ["__id", "h"]).groupBy("k").agg(F.min("t").alias("t"), F.first("y").alias("y")).orderBy("k").collect()
+    return fit([r.t for r in texts], [r.y for r in texts], max_features=max_features)
 
 
 def score(docs: DataFrame, model: Model, keys: list[str], text_col: str = "text") -> DataFrame:

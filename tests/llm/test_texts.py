@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -188,6 +189,26 @@ def test_toxicity(spark, odd, odd_rows, none, labels):
     assert 0 <= toxicity.train(odd, labels).score("alpha beta")[0] <= 1
 
 
+def test_toxicity_sample(spark, labels):
+    """The training texts are whole, within their bound, and of rows that repeat an id one is drawn, in whatever order they come."""
+    docs = spark.createDataFrame([(k, ("foul " if k % 2 else "fair ") * (k % 7 + 1) + "word " * 3) for k in range(200, 230)] + [(k, f"repeat {k}") for k in range(200, 210)], "doc_id long, text string")
+    seen = []
+    fit = toxicity.fit
+    try:
+        toxicity.fit = lambda texts, y, **more: seen.append((texts, y)) or fit(texts, y, **more)
+        for rows in (docs, docs.orderBy("text", ascending=False).repartition(7)):
+            for bound in (10_000, 120, 0):
+                toxicity.train(rows, labels, max_chars=bound)
+    finally:
+        toxicity.fit = fit
+    assert seen[:3] == seen[3:]
+    whole = {r.text for r in docs.collect()}
+    assert [sum(map(len, texts)) <= bound for (texts, _), bound in zip(seen, (10_000, 120, 0))] == [True] * 3
+    assert all(t in whole for texts, _ in seen for t in texts)
+    held = [k for k in range(200, 230) if zlib.crc32(str(k).encode()) % 5 == 0]
+    assert len(seen[0][0]) == 30 - len(held) and 0 < len(seen[1][0]) < 30 and seen[2] == ([], [])
+
+
 def test_fit_without_contrast():
     assert toxicity.fit([], []).score("x")[0] == 0.0
     assert toxicity.fit(["a", "b"], [1, 1]).score("x")[0] == 1.0
