@@ -94,3 +94,22 @@ MAX_SENT_ROWS = 200_000
 def if_small(keys: DataFrame) -> DataFrame:
     """A checkpointed table of keys, marked to be sent to all executors if it is small; else it is joined by shuffling."""
     return F.broadcast(keys) if keys.count() <= MAX_SENT_ROWS else keys
+
+
+#: Rows of one group that are shuffled to one task, at most, until groups are so many that more must be.
+MAX_ROWS_OF_A_KEY = 1_000
+
+
+def with_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined (inner or left) with ``groups``, checkpointed and one for each value of ``keys``, that count their rows in ``size``.
+
+    Few groups are sent to all executors. Of many, those so large that there
+    can't be more than ``MAX_SENT_ROWS`` of them are: their rows stay where they
+    are, and the others meet their groups by shuffling, a bounded number a key.
+    """
+    if groups.count() <= MAX_SENT_ROWS:
+        return rows.join(F.broadcast(groups), keys, how)
+    large = F.col(size) > max(MAX_ROWS_OF_A_KEY, rows.count() // MAX_SENT_ROWS)
+    sent = F.broadcast(groups.filter(large))
+    rest = rows.join(sent.select(keys), keys, "left_anti").join(groups.filter(~large), keys, how)
+    return rows.join(sent, keys).unionByName(rest)

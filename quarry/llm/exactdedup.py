@@ -16,14 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import MAX_SENT_ROWS, checkpointed, if_small, in_batches, without_space
+from quarry.llm.common import checkpointed, if_small, in_batches, with_groups, without_space
 
 #: Fingerprints that one range of quotients is meant to hold over the whole table.
 RANGE_FINGERPRINTS = 400_000
 #: Repeated fingerprints (8 bytes each) that are sent to all executors at most; with more, texts meet them in a shuffled join.
 MAX_SENT_FINGERPRINTS = 2_000_000
-#: Rows of one group that are shuffled to one task, at most, until groups are so many that more must be.
-MAX_ROWS_OF_A_KEY = 1_000
 #: Bits of the remainder in a slot; the other 32 bits of a fingerprint are its quotient.
 REMAINDER_BITS = 32
 
@@ -149,7 +147,7 @@ def _classified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     # copies merge before the join, so that a large group is one row there
     best = light.groupBy("fp", "sha").agg(F.count(F.lit(1)).alias("rows"), F.min(first).alias("best")).filter("rows > 1").join(equal, ["fp", "sha"])
     alone = F.col("group_size").isNull()
-    return _with_groups(light, checkpointed(best.drop("rows"))).select(
+    return with_groups(light, checkpointed(best.drop("rows")), ["fp", "sha"], "group_size", "left").select(
         "id",
         F.when(alone, F.col("id")).otherwise(F.col("best.id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
@@ -158,22 +156,6 @@ def _classified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def _with_groups(light: DataFrame, groups: DataFrame) -> DataFrame:
-    """``light`` with its row of ``groups``, if there is one.
-
-    Few groups are sent to all executors. Of many, those so large that there
-    can't be more than ``MAX_SENT_ROWS`` of them are: their rows stay where they
-    are, and the others meet their groups by shuffling, a bounded number a key.
-    """
-    keys = ["fp", "sha"]
-    if groups.count() <= MAX_SENT_ROWS:
-        return light.join(F.broadcast(groups), keys, "left")
-    large = F.col("group_size") > max(MAX_ROWS_OF_A_KEY, light.count() // MAX_SENT_ROWS)
-    sent = F.broadcast(groups.filter(large))
-    rest = light.join(sent.select(keys), keys, "left_anti").join(groups.filter(~large), keys, "left")
-    return light.join(sent, keys).unionByName(rest)
-
-
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row of ``docs`` with the class of equal texts that it belongs to.
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import checkpointed, if_small, in_batches
+from quarry.llm.common import checkpointed, if_small, in_batches, with_groups
 from quarry.llm.components import components
 
 SEGMENTS, SEGMENT_BITS = 4, 16
@@ -123,12 +123,12 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     empty table; rows that repeat an id are rows of one document each.
     """
     prints = checkpointed(fingerprints(docs, [id_col, *(extra or [])], text_col, words))
-    own = prints.groupBy("fp").agg(F.min(id_col).alias("low"))
+    own = checkpointed(prints.groupBy("fp").agg(F.min(id_col).alias("low"), F.count(F.lit(1)).alias("n_equal")))
     near = components(links(prints, within)).withColumnRenamed("node", "fp")
     linked = near.join(own, "fp")
     lowest = linked.groupBy("component").agg(F.min("low").alias("component_low"))
-    reached = own.join(near, "fp", "left").join(lowest, "component", "left").select("fp", F.coalesce(F.least("component_low", "low"), "low").alias("component_id"))
-    return prints.join(reached, "fp").select(id_col, *(extra or []), "fp", "component_id")
+    reached = own.join(near, "fp", "left").join(lowest, "component", "left").select("fp", "n_equal", F.coalesce(F.least("component_low", "low"), "low").alias("component_id"))
+    return with_groups(prints, checkpointed(reached), ["fp"], "n_equal").select(id_col, *(extra or []), "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

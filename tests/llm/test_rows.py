@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.llm import exactdedup, linededup, mixing, sharding
+from quarry.llm import common, exactdedup, linededup, mixing, sharding
 from quarry.llm.components import components
 from quarry.llm.queries import QUERIES
 
@@ -129,14 +129,14 @@ def test_quotient_filter():
     assert len(exactdedup.QuotientFilter.from_bytes(empty.to_bytes()).entries()[0]) == 0
 
 
-@pytest.mark.parametrize("sent", [exactdedup.MAX_SENT_ROWS, 3, 0])
+@pytest.mark.parametrize("sent", [None, 3, 0])
 def test_exact_dedup(odd, odd_rows, none, monkeypatch, sent):
     """Few groups, groups of which the large ones are sent to executors, and groups of which none is."""
     import hashlib
 
-    if sent != exactdedup.MAX_SENT_ROWS:
-        monkeypatch.setattr(exactdedup, "MAX_SENT_ROWS", max(1, sent))
-        monkeypatch.setattr(exactdedup, "MAX_ROWS_OF_A_KEY", 2 if sent else 1_000)
+    if sent is not None:
+        monkeypatch.setattr(common, "MAX_SENT_ROWS", max(1, sent))
+        monkeypatch.setattr(common, "MAX_ROWS_OF_A_KEY", 2 if sent else 1_000)
     bare = lambda t: re.sub(r"[\x20\x09-\x0D]", "", t or "")
     groups = defaultdict(list)
     for r in odd_rows:

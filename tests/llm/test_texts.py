@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quarry.llm import bpe, html, langid, quality, simhash, toxicity
+from quarry.llm import bpe, common, html, langid, quality, simhash, toxicity
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -51,7 +51,11 @@ def plain_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)) if hashes else 0
 
 
-def test_simhash(odd, odd_rows, none):
+@pytest.mark.parametrize("sent", [None, 3])
+def test_simhash(odd, odd_rows, none, monkeypatch, sent):
+    if sent is not None:
+        monkeypatch.setattr(common, "MAX_SENT_ROWS", sent)
+        monkeypatch.setattr(common, "MAX_ROWS_OF_A_KEY", 2)
     out = simhash.near_classes(odd).collect()
     prints = [plain_fingerprint(r[1]) for r in odd_rows]
     assert Counter((r.doc_id, r.fp & (2**64 - 1)) for r in out) == Counter((r[0], p) for r, p in zip(odd_rows, prints, strict=True))
