@@ -39,4 +39,22 @@ beyond AS (SELECT DISTINCT doc_id FROM ratios r JOIN every ON every.ratio = r.ra
   LEFT JOIN tongue ON tongue.ratio = r.ratio AND tongue.lang IS NOT DISTINCT FROM r.lang WHERE v > CASE WHEN own.texts >= 200 THEN own.most WHEN tongue.texts >= 200 THEN tongue.most ELSE every.most END)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM beyond) AS kept FROM base"""
 
-ORACLE_SQL = {"op6_exact_dedup": _EXACT, "op9_quality": _QUALITY}
+#: crc32 of a decimal, bit by bit, as unsigned number.
+_CRC = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST({} AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+  lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
+
+_TRIE = f"""
+WITH t AS (SELECT conv_id AS c, turn, strlen(coalesce(text, '')) AS b, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS m FROM conversations WHERE conv_id IS NOT NULL),
+n AS (SELECT c, b, m, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, m) AS at FROM t),
+f AS (SELECT c, c - c % 5 AS p, {_CRC.format("c")} % 9 AS h FROM (SELECT DISTINCT c FROM t)),
+l AS (SELECT f.*, (SELECT count(*) FROM n WHERE n.c = f.p AND n.at <= f.h) AS given FROM f),
+r AS (SELECT l.c, n.at AS d, b, m FROM l JOIN n ON n.c = l.p AND n.at <= h UNION ALL SELECT l.c, n.at - h + given, b, m FROM l JOIN n ON n.c = l.c AND n.at > h),
+s AS (SELECT c, d, b, string_agg(m, '') OVER (PARTITION BY c ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM r UNION ALL SELECT c, 0, 0, '' FROM f),
+nodes AS (SELECT k, CAST(d AS BIGINT) AS d, any_value(b) AS b, min(c) AS conv_id, count(*) AS n FROM s GROUP BY k, d),
+kids AS (SELECT left(k, 32 * (d - 1)) AS k, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1),
+ends AS (SELECT k, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c)) AS h FROM (SELECT c, max_by(k, d) AS k FROM s GROUP BY c) GROUP BY k),
+up AS (SELECT left(x.k, 32 * e) AS k, count(*) FILTER (kids.k IS NULL) AS n_leaves, sum((x.n - 1) * b) AS saved FROM (SELECT *, unnest(range(d + 1)) AS e FROM nodes) x LEFT JOIN kids ON kids.k = x.k GROUP BY 1)
+SELECT x.conv_id, x.d AS depth, y.conv_id AS parent_conv_id, x.n AS n_convs, coalesce(kids.n, 0) AS n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, coalesce(h, sha256('')) AS ends_sha256
+FROM nodes x JOIN up ON up.k = x.k LEFT JOIN nodes y ON x.d > 0 AND y.k = left(x.k, 32 * (x.d - 1)) LEFT JOIN kids ON kids.k = x.k LEFT JOIN ends ON ends.k = x.k"""
+
+ORACLE_SQL = {"op11_conversation_trie": _TRIE, "op6_exact_dedup": _EXACT, "op9_quality": _QUALITY}

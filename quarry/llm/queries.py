@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, exactdedup, html, langid, linededup, mixing, quality, sharding, simhash, suffixes, toxicity
+from quarry.llm import bpe, exactdedup, html, langid, linededup, mixing, quality, sharding, simhash, suffixes, toxicity, tries
 from quarry.llm.common import held_out, table
 from quarry.llm.oracle import ORACLE_SQL  # noqa: F401
 
@@ -71,10 +71,14 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffixes.without_repeats(table(spark, sf_dir, "documents"))
     n_removed = F.col("n_bytes") - F.octet_length("kept")
     return found.select("doc_id", "n_bytes", n_removed.cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_langid, op3_linededup, op4_mixing, op5_bpe, op6_exact_dedup, op7_toxicity, op8_simhash, op9_quality, op10_html, op13_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_langid, op3_linededup, op4_mixing, op5_bpe, op6_exact_dedup, op7_toxicity, op8_simhash, op9_quality, op10_html, op11_conversation_trie, op13_suffix_dedup)}

@@ -38,8 +38,9 @@ def rows(df, names):
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_sql(spark, sf, name):
     con = duckdb.connect()
-    path = f"{sf}/documents.parquet"
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}{'/*.parquet' if os.path.isdir(path) else ''}'")
+    for t in ("documents", "conversations"):
+        path = f"{sf}/{t}.parquet"
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{path}{'/*.parquet' if os.path.isdir(path) else ''}'")
     said = con.execute(ORACLE_SQL[name])
     names = [d[0] for d in said.description]
     got = QUERIES[name](spark, sf)
