@@ -6,12 +6,14 @@ tables is what its operator's docstring says; columns beyond those read don't ma
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, exactdedup, html, langid, linededup, mixing, quality, sharding, simhash, suffixes, toxicity, tries
-from quarry.llm.common import held_out, table
+from quarry.llm import bpe, exactdedup, html, langid, linededup, mixing, quality, sharding, simhash, suffixes, toxicity, tries, upsert
+from quarry.llm.common import held_out, shared_folder, table
 from quarry.llm.oracle import ORACLE_SQL  # noqa: F401
 
 
@@ -75,10 +77,31 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tries.conversation_trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clients, changes = table(spark, sf_dir, "clients"), table(spark, sf_dir, "client_changes")
+    crc = lambda c: F.crc32(F.coalesce(F.col(c).cast("string"), F.lit("")))
+    max_rows = 1 + clients.count() // 1000
+    folder = f"{shared_folder(spark)}/upsert-{uuid.uuid4().hex}"
+    upsert.write_files(clients.filter("client_id is not null").filter(crc("client_id") % 7 > 3), folder, "client_id", max_rows)
+
+    def action(low):
+        h = F.crc32(low.cast("string")) % 16
+        deletes = F.coalesce(F.col("op") == "D", F.lit(False)) | (crc("change_id") % 8 < h)
+        return F.when(h > 7, F.lit(None)).when(deletes, "D").otherwise("S")
+
+    sets = ["source", "segment", "city", "balance"]
+    upsert.apply_changes(spark, folder, clients.schema, upsert.newest(changes, "client_id", ["seq", "change_id"]), "client_id", max_rows, sets, action)
+    rows = upsert.upserted(spark, folder, clients.schema)
+    text = F.concat_ws("|", *[F.coalesce(F.col(c), F.lit("")) for c in ("source", "segment", "city")])
+    rows = rows.withColumn("cents", F.coalesce(F.floor(100 * F.col("balance") + 0.5), F.lit(0)).cast("long")).withColumn("rows_crc", F.crc32(text))
+    found = upsert.file_digests(rows, "client_id", ["cents", "rows_crc"])
+    return found.select("first_id", "n_rows", "cents", "rows_crc", "ids_sha256", F.lit(",".join(clients.columns)).alias("columns"), "path", "rewritten")
+
+
 def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffixes.without_repeats(table(spark, sf_dir, "documents"))
     n_removed = F.col("n_bytes") - F.octet_length("kept")
     return found.select("doc_id", "n_bytes", n_removed.cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_langid, op3_linededup, op4_mixing, op5_bpe, op6_exact_dedup, op7_toxicity, op8_simhash, op9_quality, op10_html, op11_conversation_trie, op13_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_langid, op3_linededup, op4_mixing, op5_bpe, op6_exact_dedup, op7_toxicity, op8_simhash, op9_quality, op10_html, op11_conversation_trie, op12_upsert, op13_suffix_dedup)}

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.llm.common import checkpointed, if_small, in_batches
 
@@ -72,7 +73,7 @@ def write_files(rows: DataFrame, folder: str, key: str, max_rows: int) -> None:
 
 def read_files(spark: SparkSession, folder: str, schema) -> DataFrame:
     """All rows below ``folder``, with the file's name in ``FILE``."""
-    return spark.read.schema(type(schema)([*schema.fields]).add(FILE, "string")).parquet(folder)
+    return spark.read.schema(T.StructType([*schema.fields]).add(FILE, "string")).parquet(folder)
 
 
 def fences(spark: SparkSession, folder: str, schema, key: str) -> DataFrame:
@@ -114,24 +115,16 @@ def _homes(changes: DataFrame, files: DataFrame, key: str) -> DataFrame:
                 seen = int(running[-1])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(running, pa.int64())], names=[*names, "__seen"])
 
-    counted = in_batches(parts).mapInArrow(count, parts.schema.add("__seen", "long")).filter("__fence = 0")
+    counted = in_batches(parts).mapInArrow(count, T.StructType([*parts.schema.fields]).add("__seen", "long")).filter("__fence = 0")
     home = F.greatest(F.col("__seen") + F.col("__before") - 1, F.lit(0))
     return counted.join(F.broadcast(before), "__part").withColumn("home", home).drop("__fence", "__later", "__part", "__seen", "__before")
 
 
-def _marks(key: str, words: int) -> tuple[Column, Column]:
-    """The word of a key in its file's Bloom filter, and its bits there."""
-    bits = F.xxhash64(F.lit(2), F.col(key))
-    one = lambda k: F.expr("shiftleft(1L, CAST(shiftright(__bits, {}) & 63 AS INT))".format(6 * k))
-    mask = one(0)
-    for k in range(1, MARKS):
-        mask = mask.bitwiseOR(one(k))
-    return F.pmod(F.xxhash64(F.lit(1), F.col(key)), F.lit(words)).alias("__word"), bits.alias("__bits"), mask.alias("__mask")
-
-
 def _marked(rows: DataFrame, key: str, words: int) -> DataFrame:
-    word, bits, mask = _marks(key, words)
-    return rows.select("*", word, bits).select("*", mask).drop("__bits")
+    """``rows`` with the word of their key in its file's Bloom filter, and its bits there."""
+    word, bits = F.pmod(F.xxhash64(F.lit(1), F.col(key)), F.lit(words)), F.xxhash64(F.lit(2), F.col(key))
+    mask = " | ".join(f"shiftleft(1L, CAST(shiftright(__bits, {6 * k}) & 63 AS INT))" for k in range(MARKS))
+    return rows.withColumn("__word", word).withColumn("__bits", bits).withColumn("__mask", F.expr(mask)).drop("__bits")
 
 
 def bloom_filters(rows: DataFrame, key: str, max_rows: int) -> DataFrame:
