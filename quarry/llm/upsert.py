@@ -24,8 +24,8 @@ from quarry.llm.common import checkpointed, if_small, in_batches
 #: Bits of a Bloom filter for each row that a file may have, in words of 64; a key has ``MARKS`` bits in one word.
 BITS_A_ROW = 12
 MARKS = 4
-#: Folder names of files: file=<generation>-<number>.
-FILE = "file"
+#: Column of files' names, <generation>-<number>, in the names of their folders.
+FILE = "quarry_file"
 
 
 def ranked(rows: DataFrame, keys: list[str], at: str = "at") -> DataFrame:
@@ -67,8 +67,8 @@ def write_files(rows: DataFrame, folder: str, key: str, max_rows: int) -> None:
     if FILE in rows.columns:
         raise ValueError(f"a column named {FILE}")
     columns = rows.columns
-    placed = ranked(rows.filter(F.col(key).isNotNull()).withColumn("__tie", _tie(columns, dict(rows.dtypes))), [key, "__tie"])
-    _write(placed.withColumn(FILE, F.format_string("0-%012d", F.floor(F.col("at") / max_rows))), folder, key, columns)
+    placed = ranked(rows.filter(F.col(key).isNotNull()).withColumn("__tie", _tie(columns, dict(rows.dtypes))), [key, "__tie"], "__at")
+    _write(placed.withColumn(FILE, F.format_string("0-%012d", F.floor(F.col("__at") / max_rows))), folder, key, columns)
 
 
 def read_files(spark: SparkSession, folder: str, schema) -> DataFrame:
@@ -100,7 +100,7 @@ def _homes(changes: DataFrame, files: DataFrame, key: str) -> DataFrame:
     Changes and files are sorted together by ranges; the home is a running
     count of files, within a partition and over those before it.
     """
-    both = changes.withColumn("__fence", F.lit(0).cast("long")).unionByName(files.select(F.col("low").alias(key), F.lit(1).cast("long").alias("__fence")), allowMissingColumns=True)
+    both = changes.withColumn("__fence", F.lit(0).cast("long")).unionByName(files.select(F.col("__low").alias(key), F.lit(1).cast("long").alias("__fence")), allowMissingColumns=True)
     both = both.withColumn("__later", -F.col("__fence"))  # a file comes before changes of its first key
     parts = checkpointed(both.repartitionByRange(key, "__later").sortWithinPartitions(key, "__later")).withColumn("__part", F.spark_partition_id())
     before = _before(parts.groupBy("__part").agg(F.sum("__fence").alias("__n")))
@@ -117,7 +117,7 @@ def _homes(changes: DataFrame, files: DataFrame, key: str) -> DataFrame:
 
     counted = in_batches(parts).mapInArrow(count, T.StructType([*parts.schema.fields]).add("__seen", "long")).filter("__fence = 0")
     home = F.greatest(F.col("__seen") + F.col("__before") - 1, F.lit(0))
-    return counted.join(F.broadcast(before), "__part").withColumn("home", home).drop("__fence", "__later", "__part", "__seen", "__before")
+    return counted.join(F.broadcast(before), "__part").withColumn("__home", home).drop("__fence", "__later", "__part", "__seen", "__before")
 
 
 def _marked(rows: DataFrame, key: str, words: int) -> DataFrame:
@@ -147,15 +147,15 @@ def _joined_files(sizes: DataFrame, max_rows: int) -> DataFrame:
         for b in batches:
             rows, leaders = b.to_pylist(), []
             for r in rows:
-                if r["run"] == run and total + r["size"] <= max_rows:
-                    total += r["size"]
+                if r["__run"] == run and total + r["__size"] <= max_rows:
+                    total += r["__size"]
                 else:
-                    run, total, leader = r["run"], r["size"], (r["home"], r["piece"])
+                    run, total, leader = r["__run"], r["__size"], (r["__home"], r["__piece"])
                 leaders.append(leader)
-            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), *(pa.array([x[k] for x in leaders], pa.int64()) for k in range(2))], names=["home", "piece", "leader_home", "leader_piece"])
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), *(pa.array([x[k] for x in leaders], pa.int64()) for k in range(2))], names=["__home", "__piece", "__leader_home", "__leader_piece"])
 
-    ordered = sizes.select("run", "home", "piece", "size").repartition("run").sortWithinPartitions("run", "home", "piece")
-    return ordered.mapInArrow(greedy, "home long, piece long, leader_home long, leader_piece long")
+    ordered = sizes.select("__run", "__home", "__piece", "__size").repartition("__run").sortWithinPartitions("__run", "__home", "__piece")
+    return ordered.mapInArrow(greedy, "__home long, __piece long, __leader_home long, __leader_piece long")
 
 
 def apply_changes(spark: SparkSession, folder: str, schema, changes: DataFrame, key: str, max_rows: int, sets: list[str], action: Callable[[Column], Column]) -> None:
@@ -172,16 +172,16 @@ def apply_changes(spark: SparkSession, folder: str, schema, changes: DataFrame,
     has to wait for the end.
     """
     columns, kinds = [f.name for f in schema.fields], {f.name: f.dataType.simpleString() for f in schema.fields}
-    files = ranked(fences(spark, folder, schema, key), ["low", "high", FILE], "home")
-    files = checkpointed(files)
+    files = ranked(fences(spark, folder, schema, key), ["low", "high", FILE], "__home")
+    files = checkpointed(files.withColumnsRenamed({"low": "__low", "high": "__high"}).drop("n"))
     if files.isEmpty():
         return
     # one short row a file
-    placed = _homes(changes.filter(F.col(key).isNotNull()), files, key).join(if_small(files), "home")
-    decided = checkpointed(placed.withColumn("__does", action(F.col("low"))).filter("__does is not null").select("home", FILE, "low", "high", key, *sets, "__does"))
+    placed = _homes(changes.filter(F.col(key).isNotNull()), files, key).join(if_small(files), "__home")
+    decided = checkpointed(placed.withColumn("__does", action(F.col("__low"))).filter("__does is not null").select("__home", FILE, "__low", "__high", key, *sets, "__does"))
 
     # absent deletes: by fences, then by Bloom filters of the files that are asked
-    asked = decided.filter((F.col("__does") == "D") & F.col(key).between(F.col("low"), F.col("high")))
+    asked = decided.filter((F.col("__does") == "D") & F.col(key).between(F.col("__low"), F.col("__high")))
     stored = read_files(spark, folder, schema)
     of_asked = stored.select(FILE, key).join(if_small(checkpointed(asked.select(FILE).distinct())), FILE, "left_semi")
     deletes = maybe_there(asked, bloom_filters(of_asked, key, max_rows), key, max_rows)
@@ -192,30 +192,30 @@ def apply_changes(spark: SparkSession, folder: str, schema, changes: DataFrame,
     base = stored.select(FILE, key, F.struct(*sets).alias("__old"), F.lit(True).alias("__there")).join(touched, FILE, "left_semi")
     held = F.coalesce("__there", F.lit(False))
     differs = F.when(F.col("__does") == "D", held).otherwise(~held | ~F.struct(*sets).eqNullSafe(F.col("__old")))
-    differing = remaining.join(base, [FILE, key], "left").filter(differs).dropDuplicates([FILE, key]).select("home", FILE, key, F.struct(*sets).alias("__new"), "__does")
+    differing = remaining.join(base, [FILE, key], "left").filter(differs).dropDuplicates([FILE, key]).select("__home", FILE, key, F.struct(*sets).alias("__new"), "__does")
     differing = checkpointed(differing)
 
     # read, merge, write: the files that differ
-    rewritten = checkpointed(differing.select(FILE, "home").distinct())
-    old = stored.join(if_small(rewritten), FILE)
-    merged = old.drop("home").withColumn("__there", F.lit(True)).join(differing.drop("home"), [FILE, key], "full").filter("__does is null or __does = 'S'")
+    rewritten = checkpointed(differing.select(FILE, "__home").distinct())
+    old = stored.join(if_small(rewritten), FILE, "left_semi")
+    merged = old.withColumn("__there", F.lit(True)).join(differing.drop("__home"), [FILE, key], "full").filter("__does is null or __does = 'S'")
     value = lambda c: F.when(F.col("__does") == "S", F.col("__new")[c]).otherwise(F.col(c)).alias(c) if c in sets else F.col(c)
-    merged = merged.join(if_small(rewritten), FILE).select("home", *[value(c) for c in columns])
-    rows = ranked(merged.withColumn("__tie", _tie(columns, kinds)), ["home", key, "__tie"])
+    merged = merged.join(if_small(rewritten), FILE).select("__home", *[value(c) for c in columns])
+    rows = ranked(merged.withColumn("__tie", _tie(columns, kinds)), ["__home", key, "__tie"], "__at")
     rows = checkpointed(rows)
 
-    runs = ranked(rewritten.select("home"), ["home"], "nth").select("home", (F.col("home") - F.col("nth")).alias("run"))  # of neighbours that are all rewritten
-    sizes = checkpointed(rows.groupBy("home").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("begin")))
-    pieces, each = F.ceil(F.col("n") / max_rows).cast("long"), F.floor(F.col("n") / F.col("pieces")).cast("long")
-    sizes = sizes.withColumn("pieces", pieces).withColumn("each", each).withColumn("longer", F.col("n") - F.col("each") * F.col("pieces"))
-    listed = sizes.join(runs, "home").select("run", "home", "each", "longer", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("piece"))
-    leaders = checkpointed(_joined_files(listed.withColumn("size", F.col("each") + (F.col("piece") < F.col("longer")).cast("long")), max_rows))
+    runs = ranked(rewritten.select("__home"), ["__home"], "__nth").select("__home", (F.col("__home") - F.col("__nth")).alias("__run"))  # of neighbours that are all rewritten
+    sizes = checkpointed(rows.groupBy("__home").agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__begin")))
+    pieces, each = F.ceil(F.col("__n") / max_rows).cast("long"), F.floor(F.col("__n") / F.col("__pieces")).cast("long")
+    sizes = sizes.withColumn("__pieces", pieces).withColumn("__each", each).withColumn("__longer", F.col("__n") - F.col("__each") * F.col("__pieces"))
+    listed = sizes.join(runs, "__home").select("__run", "__home", "__each", "__longer", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__pieces") - 1)).alias("__piece"))
+    leaders = checkpointed(_joined_files(listed.withColumn("__size", F.col("__each") + (F.col("__piece") < F.col("__longer")).cast("long")), max_rows))
 
-    there, cut = F.col("at") - F.col("begin"), F.col("longer") * (F.col("each") + 1)
-    piece = F.when(there < cut, F.floor(there / (F.col("each") + 1))).otherwise(F.col("longer") + F.floor((there - cut) / F.greatest("each", F.lit(1))))
-    cutted = rows.join(if_small(checkpointed(sizes)), "home").withColumn("piece", piece.cast("long"))
+    there, cut = F.col("__at") - F.col("__begin"), F.col("__longer") * (F.col("__each") + 1)
+    piece = F.when(there < cut, F.floor(there / (F.col("__each") + 1))).otherwise(F.col("__longer") + F.floor((there - cut) / F.greatest("__each", F.lit(1))))
+    cutted = rows.join(if_small(checkpointed(sizes)), "__home").withColumn("__piece", piece.cast("long"))
     generation = files.agg(F.max(F.split(FILE, "-")[0].cast("long"))).first()[0] + 1
-    named = cutted.join(if_small(leaders), ["home", "piece"]).withColumn(FILE, F.format_string(f"{generation}-%012d-%06d", "leader_home", "leader_piece"))
+    named = cutted.join(if_small(leaders), ["__home", "__piece"]).withColumn(FILE, F.format_string(f"{generation}-%012d-%06d", "__leader_home", "__leader_piece"))
     _write(named, folder, key, columns)
     for r in rewritten.select(FILE).toLocalIterator():  # a name a rewritten file
         path, fs = _folder(spark, f"{folder}/{FILE}={r[FILE]}")

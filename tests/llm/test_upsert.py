@@ -125,7 +125,7 @@ def test_repeated_keys(spark, tmp_path):
 
 def test_filters(spark):
     """A Bloom filter loses no key and rules out most others; fences come from footers."""
-    rows = spark.range(20_000).select(F.format_string("f%d", F.floor(F.col("id") / 1000)).alias("file"), (F.col("id") * 7).alias("id"))
+    rows = spark.range(20_000).select(F.format_string("f%d", F.floor(F.col("id") / 1000)).alias(upsert.FILE), (F.col("id") * 7).alias("id"))
     filters = upsert.bloom_filters(rows, "id", 1000)
     assert upsert.maybe_there(rows, filters, "id", 1000).count() == 20_000
     absent = rows.withColumn("id", F.col("id") + 1)
