@@ -150,12 +150,13 @@ def _repeated_anchors(texts: DataFrame, window: int) -> DataFrame:
         def settled() -> pa.RecordBatch:
             hashes, keys = np.concatenate([h for h, _ in held]), np.concatenate([np.full(len(h), k) for h, k in held])
             order = np.argsort(hashes, kind="stable")
-            hashes, keys = hashes[order], keys[order]
-            new = np.append(True, hashes[1:] != hashes[:-1])
+            new = np.append(True, hashes[order[1:]] != hashes[order[:-1]])
             run = np.cumsum(new) - 1
-            twice = np.bincount(run)[run] > 1
-            asked = np.where(new, hashes, hashes ^ keys * np.int64(0x9E3779B9))
-            return pa.RecordBatch.from_pydict({"asked": pa.array(asked), "hash": pa.array(hashes), "tk": pa.array(keys), "known": pa.array(twice), "own": pa.array(new)})
+            own, known = np.empty(len(order), bool), np.empty(len(order), bool)
+            own[order], known[order] = new, np.bincount(run)[run] > 1
+            # rows stay in order of texts, and an own row leaves out what it asks for: both make shuffled blocks smaller
+            asked = np.where(own, hashes, hashes ^ keys * np.int64(0x9E3779B9))
+            return pa.RecordBatch.from_pydict({"asked": pa.array(asked), "hash": pa.array(np.where(own, 0, hashes)), "tk": pa.array(keys), "state": pa.array((own + 2 * known).astype(np.int8))})
 
         for b in batches:
             for key, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
@@ -169,11 +170,12 @@ def _repeated_anchors(texts: DataFrame, window: int) -> DataFrame:
         if held:
             yield settled()
 
-    light = in_batches(texts.select("tk", "text")).mapInArrow(find, "asked long, hash long, tk long, known boolean, own boolean")
+    light = in_batches(texts.select("tk", "text")).mapInArrow(find, "asked long, hash long, tk long, state tinyint")
     together = Window.partitionBy("asked")
-    several = light.withColumn("several", F.max("known").over(together) | (F.sum(F.col("own").cast("int")).over(together) > 1))
+    own, known = F.col("state") % 2 == 1, F.col("state") >= 2
+    several = light.withColumn("several", F.max(known).over(together) | (F.sum(own.cast("int")).over(together) > 1))
     # where a bypassing row meets another's key by chance, it is kept needlessly at worst
-    again = several.filter("several").select("hash", "tk")
+    again = several.filter("several").select(F.when(own, F.col("asked")).otherwise(F.col("hash")).alias("hash"), "tk")
     return again.groupBy("tk").agg(F.collect_list("hash").alias("hashes"))
 
 
