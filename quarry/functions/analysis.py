@@ -118,18 +118,18 @@ def may_hold(text: Column, kind: str, piece: Column) -> Column:
     return F.contains(F.lower(plain), piece) | (accented & F.contains(F.lower(folded(plain)), piece))
 
 
-def index_positions(text: Column, kind: str) -> Column:
-    """Array of positions, each the array of its token's lower-case forms; null stays null."""
-    text = index_text(text, kind)
+def token_forms(t: Column, kind: str) -> Column:
+    """The lower-case forms of a token: itself, its ASCII form, its parts of letters or digits."""
+    found = F.array(t) if kind == "name_text" else F.array(t, folded(t))
+    more = parts(t) if kind == "name_text" else F.concat(parts(t), parts(folded(t)))
+    # most tokens are plain words, numbers or signs, which have no form but themselves
+    plain = t.rlike(r"^(?:[A-Za-z]+|[0-9]+|[^\p{L}\p{N}])$")
+    return F.when(plain, F.array(F.lower(t))).otherwise(F.transform(F.array_distinct(F.concat(found, more)), lambda x: F.lower(x)))
 
-    def forms(t: Column) -> Column:
-        found = F.array(t) if kind == "name_text" else F.array(t, folded(t))
-        more = parts(t) if kind == "name_text" else F.concat(parts(t), parts(folded(t)))
-        # most tokens are plain words, numbers or signs, which have no form but themselves
-        plain = t.rlike(r"^(?:[A-Za-z]+|[0-9]+|[^\p{L}\p{N}])$")
-        return F.when(plain, F.array(F.lower(t))).otherwise(F.transform(F.array_distinct(F.concat(found, more)), lambda x: F.lower(x)))
 
-    return F.transform(base_tokens(text, kind), forms)
+def index_positions(text: Column, kind: str) -> Column:
+    """Array of positions, each the array of its token's lower-case forms; null stays null."""
+    return F.transform(base_tokens(index_text(text, kind), kind), lambda t: token_forms(t, kind))
 
 
 def index_tokens(text: Column, kind: str) -> Column:

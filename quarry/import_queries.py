@@ -160,7 +160,7 @@ def symbol_rules(spark: SparkSession, d: str) -> DataFrame:
     return catalog.symbol_synonyms(n.select(line.alias("value")))
 
 
-def _scratch(spark: SparkSession) -> str:
+def scratch(spark: SparkSession) -> str:
     """A new folder in the store that the cluster shares."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/indexes-{uuid.uuid4().hex}"
@@ -181,7 +181,7 @@ def _left(store: catalog.Catalog) -> DataFrame:
 
 def catalog_upsert(spark: SparkSession, d: str) -> DataFrame:
     """An index of customers by nation, of which one nation is imported again, renamed and without its orders."""
-    store = catalog.Catalog(spark, _scratch(spark))
+    store = catalog.Catalog(spark, scratch(spark))
     blocks, entities = _customers(spark, d)
     store.create("x")
     store.write("x", blocks, entities)
@@ -192,7 +192,7 @@ def catalog_upsert(spark: SparkSession, d: str) -> DataFrame:
 
 def catalog_delete(spark: SparkSession, d: str) -> DataFrame:
     """An index of customers by nation after those of a segment are deleted with their orders."""
-    store = catalog.Catalog(spark, _scratch(spark))
+    store = catalog.Catalog(spark, scratch(spark))
     store.create("x")
     store.write("x", *_customers(spark, d))
     store.delete("x", F.col("command") == "BUILDING")

@@ -18,27 +18,29 @@ from pyspark.sql import functions as F
 
 from quarry.errors import InvalidQuery
 from quarry.functions.analysis import index_length, index_positions, may_hold, query_tokens
+from quarry.plans.terms import B, K1, TextIndex
 from quarry.plans.query import FIELDS, And, Exact, Field, FieldFilter, Filter, InRange, InResult, Not, Or, Term, field
 
 #: How far apart the tokens of an exact match in a text may lie.
 SLOP = 10
 #: Documents of an inner query whose values count.
 INNER_LIMIT = 1_000
-#: Parameters of the ranking function.
-K1, B = 1.2, 0.75
 
 
 @dataclass(frozen=True)
 class Corpus:
-    """Tables of blocks and entities, and synonyms for queries of source code.
+    """Tables of blocks and entities, synonyms for queries of source code, and stored indexes of their texts.
 
     ``blocks`` has id; ``entities`` has id and block_id; other fields' columns
-    may be missing, and then hold nothing.
+    may be missing, and then hold nothing. Ids are unique. Without an index
+    of theirs, texts are analysed where a filter asks for them.
     """
 
     blocks: DataFrame
     entities: DataFrame
     synonyms: dict[str, str] = default(default_factory=dict)
+    block_terms: TextIndex | None = None
+    entity_terms: TextIndex | None = None
 
     def documents(self) -> DataFrame:
         """Blocks and entities in one table, told apart by doc_kind."""
@@ -84,10 +86,10 @@ def phrase(positions: Column, tokens: Column, slop: int = SLOP) -> Column:
 
 
 class Compiler:
-    """Compiles the filters of one table; inner queries add columns to it, which ``rows`` carries."""
+    """Compiles the filters of one table; inner queries and stored indexes add columns to it, which ``rows`` carries."""
 
-    def __init__(self, corpus: Corpus, rows: DataFrame):
-        self.corpus, self.rows, self.added = corpus, rows, []
+    def __init__(self, corpus: Corpus, rows: DataFrame, terms: TextIndex | None = None):
+        self.corpus, self.rows, self.added, self.terms = corpus, rows, [], terms
 
     def value(self, f: Field) -> Column:
         if f.kind == "children":
@@ -125,6 +127,11 @@ class Compiler:
             case Term(inner) if f.is_text:
                 if not inner.strip():
                     return F.lit(False)
+                if self.terms is not None:
+                    if _wild(inner):
+                        return self._marked(self.terms.like(f.column, inner.lower(), glob_pattern))
+                    found = self.query(f, inner)
+                    return self._marked(self.terms.any_of(f.column, found)) if found else F.lit(False)
                 positions = self.positions(f)
                 if _wild(inner):  # one pattern, white space and all
                     piece = max(re.split(r"[*?]", inner.lower()), key=len)
@@ -136,6 +143,9 @@ class Compiler:
                     return self._any(f, lambda v: v.cast("string").rlike(glob_pattern(inner)))
                 return self._any(f, self._same(f, inner))
             case Exact(inner) if f.is_text:
+                if self.terms is not None:
+                    found = self.query(f, inner)
+                    return self._marked(self.terms.near(f.column, found, SLOP)) if found else F.lit(False)
                 tokens = self._query(f, inner)
                 return F.forall(tokens, lambda t: self.may_hold(f, t)) & phrase(self.positions(f), tokens)
             case Exact(inner):
@@ -154,6 +164,14 @@ class Compiler:
                 return self._in_result(f, filter_)
         raise InvalidQuery(f"not a filter: {filter_!r}")
 
+    def _marked(self, ids: DataFrame) -> Column:
+        """True for the rows with one of some distinct ids."""
+        name = f"__in{len(self.added)}"
+        self.added.append(name)
+        ids = ids.select(F.col("id").alias(f"{name}_id"), F.lit(True).alias(name))
+        self.rows = self.rows.join(ids, F.col("id") == F.col(f"{name}_id"), "left").drop(f"{name}_id")
+        return F.coalesce(F.col(name), F.lit(False))
+
     def query(self, f: Field, s: str) -> list[str]:
         """Tokens of a query's own text; the optimiser works them out without a job."""
         one = self.rows.sparkSession.sql("SELECT 1 AS x")
@@ -165,16 +183,20 @@ class Compiler:
 
     def _in_result(self, f: Field, filter_: InResult) -> Column:
         values = inner_values(self.corpus, filter_)
+        if f.is_text:
+            tokens = values.select(F.explode(query_tokens(F.col("value").cast("string"), f.kind, self.corpus.synonyms)).alias("token")).distinct()
+            if self.terms is not None:
+                return self._marked(self.terms.with_any(f.column, tokens))
+            held = self.rows.select("id", F.explode(F.flatten(self.positions(f))).alias("token"))
+            return self._marked(held.join(tokens, "token", "left_semi").select("id").distinct())
+        values = values.select(F.col("value").cast("string").alias("__value"))
+        if f.kind == "strings":  # at most 1000 documents' values, met by each value of a row
+            held = self.rows.select("id", F.explode(self.value(f).cast("array<string>")).alias("__value"))
+            return self._marked(held.join(values, "__value", "left_semi").select("id").distinct())
         name = f"__in{len(self.added)}"
         self.added.append(name)
-        if f.is_text:
-            values = values.select(F.explode(query_tokens(F.col("value").cast("string"), f.kind, self.corpus.synonyms)).alias("value")).distinct()
-        if f.is_text or f.kind == "strings":
-            # at most 1000 documents' values, as one row
-            self.rows = self.rows.crossJoin(F.broadcast(values.agg(F.collect_set("value").alias(name))))
-            return F.arrays_overlap(F.flatten(self.positions(f)) if f.is_text else self.value(f), F.col(name))
-        values = values.select(F.col("value").alias(f"{name}_value"), F.lit(True).alias(name))
-        self.rows = self.rows.join(values, self.value(f).cast("string") == F.col(f"{name}_value").cast("string"), "left").drop(f"{name}_value")
+        values = values.select(F.col("__value").alias(f"{name}_value"), F.lit(True).alias(name))
+        self.rows = self.rows.join(values, self.value(f).cast("string") == F.col(f"{name}_value"), "left").drop(f"{name}_value")
         return F.coalesce(F.col(name), F.lit(False))
 
     def all(self, filters: list[FieldFilter]) -> DataFrame:
@@ -187,8 +209,8 @@ class Compiler:
         return rows.select(columns)
 
 
-def matching(corpus: Corpus, rows: DataFrame, filters: list[FieldFilter]) -> DataFrame:
-    return Compiler(corpus, rows).all(filters)
+def matching(corpus: Corpus, rows: DataFrame, filters: list[FieldFilter], terms: TextIndex | None = None) -> DataFrame:
+    return Compiler(corpus, rows, terms).all(filters)
 
 
 def inner_values(corpus: Corpus, filter_: InResult) -> DataFrame:
@@ -220,16 +242,16 @@ def _leaves(filter_: Filter) -> list[Filter]:
     return [filter_]
 
 
-def scored(corpus: Corpus, rows: DataFrame, everything: DataFrame, filter_: FieldFilter | None) -> DataFrame:
+def scored(corpus: Corpus, rows: DataFrame, everything: DataFrame, filter_: FieldFilter | None, terms: TextIndex | None = None) -> DataFrame:
     """``rows``, which match one filter, with a score for it, to 6 digits: BM25 on texts, 1 for each other part that matches.
 
     Numbers of documents, their lengths and how many hold a token come from
-    ``everything``, as one row beside the plan.
+    the stored index, or else from ``everything``, as one row beside the plan.
     """
     if filter_ is None:
         return rows.withColumn("score", F.lit(1.0))
     f = field(filter_.field)
-    compiler = Compiler(corpus, rows)
+    compiler = Compiler(corpus, rows, terms)
     columns = rows.columns
     leaves = _leaves(filter_.filter)
     total = F.lit(0.0)
@@ -242,6 +264,12 @@ def scored(corpus: Corpus, rows: DataFrame, everything: DataFrame, filter_: Fiel
             total = total + F.when(matched_, 1.0).otherwise(0.0)
             continue
         tokens = list(dict.fromkeys(compiler.query(f, leaf.inner)))
+        if terms is not None:
+            gained = terms.gains(f.column, tokens).select(F.col("id").alias(f"__id{k}"), F.col("gain").alias(f"__gain{k}")) if tokens else None
+            if gained is not None:
+                compiler.rows = compiler.rows.join(gained, F.col("id") == F.col(f"__id{k}"), "left")
+                total = total + F.when(matched_, F.coalesce(f"__gain{k}", F.lit(0.0))).otherwise(0.0)
+            continue
         positions = own.positions(f)
         held = [F.sum((own.may_hold(f, F.lit(t)) & F.exists(positions, lambda p: F.array_contains(p, t))).cast("long")).alias(f"__df{k}_{i}") for i, t in enumerate(tokens)]  # noqa: B023
         stats = everything.filter(own.value(f).isNotNull()).agg(F.count(F.lit(1)).alias(f"__n{k}"), F.avg(own.length(f)).alias(f"__avg{k}"), *held)
@@ -262,11 +290,11 @@ def scored(corpus: Corpus, rows: DataFrame, everything: DataFrame, filter_: Fiel
 def blocks(corpus: Corpus, filters: tuple[FieldFilter, ...]) -> DataFrame:
     """Blocks that match, with their score: that of the first filter of blocks plus the best entity's for the first filter of entities."""
     parent, child = route(filters)
-    rows = matching(corpus, corpus.blocks, parent)
-    rows = scored(corpus, rows, corpus.blocks, parent[0] if parent else None)
+    rows = matching(corpus, corpus.blocks, parent, corpus.block_terms)
+    rows = scored(corpus, rows, corpus.blocks, parent[0] if parent else None, corpus.block_terms)
     if not child:
         return rows
-    hits = scored(corpus, matching(corpus, corpus.entities, child), corpus.entities, child[0])
+    hits = scored(corpus, matching(corpus, corpus.entities, child, corpus.entity_terms), corpus.entities, child[0], corpus.entity_terms)
     best = hits.groupBy(F.col("block_id").alias("__block")).agg(F.max("score").alias("__best"))
     return rows.join(best, F.col("id") == F.col("__block")).withColumn("score", F.round(F.col("score") + F.col("__best"), 6)).drop("__block", "__best")
 
@@ -302,16 +330,16 @@ def facet_counts(corpus: Corpus, filters: tuple[FieldFilter, ...], name: str) ->
     parent, child = route(filters)
     others = lambda xs: [x for x in xs if field(x.field).column != f.column]
     if f.child:
-        rows = matching(corpus, corpus.entities, others(child))
+        rows = matching(corpus, corpus.entities, others(child), corpus.entity_terms)
         if f.column == "doc_kind" and "doc_kind" not in rows.columns:
             rows = rows.withColumn("doc_kind", F.lit("Child"))
         if others(parent):
-            rows = rows.join(matching(corpus, corpus.blocks, others(parent)).select(F.col("id").alias("__block")), F.col("block_id") == F.col("__block"), "left_semi")
+            rows = rows.join(matching(corpus, corpus.blocks, others(parent), corpus.block_terms).select(F.col("id").alias("__block")), F.col("block_id") == F.col("__block"), "left_semi")
         owner = F.col("block_id")
     else:
-        rows = matching(corpus, corpus.blocks, others(parent))
+        rows = matching(corpus, corpus.blocks, others(parent), corpus.block_terms)
         if child:
-            rows = rows.join(matching(corpus, corpus.entities, child).select(F.col("block_id").alias("__block")), F.col("id") == F.col("__block"), "left_semi")
+            rows = rows.join(matching(corpus, corpus.entities, child, corpus.entity_terms).select(F.col("block_id").alias("__block")), F.col("id") == F.col("__block"), "left_semi")
         owner = F.col("id")
     if f.column not in rows.columns:
         rows = rows.withColumn(f.column, F.lit(None).cast("string"))
