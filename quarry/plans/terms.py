@@ -131,13 +131,18 @@ class TextIndex:
         return found.join(F.broadcast(held), "token").crossJoin(F.broadcast(all_)).groupBy("id").agg(F.sum(gain).alias("gain"))
 
 
-def write_terms(postings: DataFrame, lengths: DataFrame, path: str, mode: str = "error") -> None:
-    """Writes an index below ``path``; folders with very frequent tokens get several files."""
+def write_parts(postings: DataFrame, lengths: DataFrame, place) -> None:
+    """Writes postings, grams and lengths to the folders that ``place`` gives by these names; very frequent tokens get several files."""
     dealt = postings.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "column", "token")
-    dealt.write.mode(mode).partitionBy("bucket").parquet(f"{path}/postings")
-    stored = postings.sparkSession.read.parquet(f"{path}/postings")
-    grams_of(stored).sortWithinPartitions("column", "gram").write.mode(mode).parquet(f"{path}/grams")
-    lengths.write.mode(mode).parquet(f"{path}/lengths")
+    dealt.write.partitionBy("bucket").parquet(place("postings"))
+    stored = postings.sparkSession.read.schema(postings.schema).parquet(place("postings"))
+    grams_of(stored).sortWithinPartitions("column", "gram").write.parquet(place("grams"))
+    lengths.write.parquet(place("lengths"))
+
+
+def write_terms(postings: DataFrame, lengths: DataFrame, path: str) -> None:
+    """Writes an index below ``path``."""
+    write_parts(postings, lengths, lambda part: f"{path}/{part}")
 
 
 def read_terms(spark: SparkSession, path: str) -> TextIndex:

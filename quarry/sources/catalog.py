@@ -6,14 +6,33 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.errors import UnknownIndex
+from quarry.plans import terms
 from quarry.plans.compiler import Corpus
+from quarry.plans.terms import TextIndex
 
 BLOCKS = "id string, theory string, theory_facet string, start_line int, command string, src_before string, src string, src_after string"
 ENTITIES = "id string, block_id string, kind string, name string, name_facet string, type string, type_facet string, uses array<string>, theory string"
+POSTINGS = "column string, token string, id string, theory string, positions array<int>, length int, bucket int"
+LENGTHS = "column string, theory string, docs bigint, total bigint"
+GRAMS = "column string, gram string, token string"
+
+
+#: Text columns of each table with their analyses, which get stored indexes.
+TEXTS = {"blocks": {"src": "source_text", "theory": "name_text"}, "entities": {"name": "name_text", "type": "type_text"}}
 
 
 class Catalog:
-    """Creates, lists, writes and opens the indexes below ``root``; files are partitioned by theory."""
+    """Creates, lists, writes and opens the indexes below ``root``.
+
+    An index is a row of versions. Each write adds files of its theories under
+    its own number to the tables blocks, entities and those of their stored
+    indexes, then a manifest that says for every theory of the index which
+    version holds it, and last a mark, made at once, that the version is whole. A
+    reader takes the last marked version and sees all tables as that one left
+    them, whatever is written meanwhile; a write that fails leaves no trace but
+    files that no manifest names. A write costs what its theories hold, and a row
+    a theory for the manifest.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -30,9 +49,8 @@ class Catalog:
         """True if the index is new."""
         if self.exists(name):
             return False
-        for table in ("blocks", "entities"):
-            path, fs = self._path(name, table)
-            fs.mkdirs(path)
+        path, fs = self._path(name, "_versions")
+        fs.mkdirs(path)
         return True
 
     def names(self) -> list[str]:
@@ -40,51 +58,98 @@ class Catalog:
         found = sorted(s.getPath().getName() for s in fs.listStatus(path) if s.isDirectory()) if fs.exists(path) else []
         return default_first(found)
 
-    def table(self, name: str, table: str) -> DataFrame:
-        if not self.exists(name):
-            raise UnknownIndex(name)
-        schema = BLOCKS if table == "blocks" else ENTITIES
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}/{table}")
-
-    def corpus(self, name: str, synonyms: dict[str, str] | None = None) -> Corpus:
-        return Corpus(self.table(name, "blocks"), self.table(name, "entities"), synonyms or {})
-
-    def write(self, name: str, blocks: DataFrame, entities: DataFrame) -> None:
-        """Replaces the theories that ``blocks`` holds, one atomic partition each; writing nothing changes nothing."""
+    def version(self, name: str) -> int:
+        """The last version that is whole, 0 for a new index."""
         if not self.exists(name):
             raise UnknownIndex(name)
-        entities = entities.join(blocks.select(F.col("id").alias("__b"), F.col("theory").alias("__t")).distinct(), F.col("block_id") == F.col("__b")).withColumn("theory", F.col("__t"))
+        path, fs = self._path(name, "_versions")
+        return max([0, *(int(s.getPath().getName()) for s in fs.listStatus(path) if s.getPath().getName().isdigit())])
+
+    def _read(self, name: str, table: str, schema: str, version: int) -> DataFrame:
+        """A table as a version has it: rows of each theory from the version that the manifest names."""
+        path, fs = self._path(name, table)
+        if not version or not fs.exists(path):
+            return self.spark.createDataFrame([], schema)
+        rows = self.spark.read.schema(f"{schema}, version int").parquet(f"{self.root}/{name}/{table}").filter(F.col("version") <= version)
+        return rows.join(self.manifest(name, version), ["theory", "version"], "left_semi").select([c.split(" ")[0] for c in schema.split(", ")])
+
+    def manifest(self, name: str, version: int) -> DataFrame:
+        """For each theory of a version the one whose files hold it: columns theory and version."""
+        if not version:
+            return self.spark.createDataFrame([], "theory string, version int")
+        return self.spark.read.schema("theory string, version int").parquet(f"{self.root}/{name}/manifests/{version}")
+
+    def table(self, name: str, table: str, version: int | None = None) -> DataFrame:
+        """Blocks or entities of a version, of the last one if none is given."""
+        return self._read(name, table, BLOCKS if table == "blocks" else ENTITIES, self.version(name) if version is None else version)
+
+    def terms(self, name: str, table: str, version: int | None = None) -> TextIndex:
+        """The stored index of a table's texts. Grams may name tokens that have gone; postings decide."""
+        version = self.version(name) if version is None else version
+        postings = self._read(name, f"{table}_postings", POSTINGS, version)
+        lengths = self._read(name, f"{table}_lengths", LENGTHS, version)
+        path, fs = self._path(name, f"{table}_grams")
+        grams = self.spark.read.schema(f"{GRAMS}, version int").parquet(f"{self.root}/{name}/{table}_grams") if version and fs.exists(path) else self.spark.createDataFrame([], f"{GRAMS}, version int")
+        return TextIndex(postings, grams.filter(F.col("version") <= version).drop("version"), lengths)
+
+    def corpus(self, name: str, synonyms: dict[str, str] | None = None, version: int | None = None) -> Corpus:
+        """An index as of one version, with the stored indexes of its texts."""
+        version = self.version(name) if version is None else version
+        return Corpus(self.table(name, "blocks", version), self.table(name, "entities", version), synonyms or {}, self.terms(name, "blocks", version), self.terms(name, "entities", version))
+
+    def write(self, name: str, blocks: DataFrame, entities: DataFrame) -> int:
+        """Replaces the theories that ``blocks`` holds, all tables at once, and returns the version; writing nothing changes nothing.
+
+        Entities belong to the theory of their block; those of other blocks are
+        left out. Columns that an index doesn't have are dropped.
+        """
+        theories = blocks.select("theory").distinct()
+        return self._commit(name, blocks, entities, theories)
+
+    def _commit(self, name: str, blocks: DataFrame, entities: DataFrame, replaced: DataFrame) -> int:
+        """A version with ``blocks`` and their ``entities`` in place of the theories ``replaced``."""
+        before = self.version(name)
+        number = 1 + max([before, *self._numbers(name)])
+        entities = entities.drop("theory").join(blocks.select(F.col("id").alias("block_id"), "theory"), "block_id")
         for rows, table, schema in ((blocks, "blocks", BLOCKS), (entities, "entities", ENTITIES)):
             names = [c.split(" ")[0] for c in schema.split(", ")]
             missing = {c.split(" ")[0]: F.lit(None).cast(c.split(" ")[1]) for c in schema.split(", ") if c.split(" ")[0] not in rows.columns}
-            rows.withColumns(missing).select(names).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("theory").parquet(f"{self.root}/{name}/{table}")
-        # a theory that comes without entities loses those it had
-        bare = blocks.select("theory").distinct().join(entities.select("theory").distinct(), "theory", "left_anti")
-        for r in bare.toLocalIterator():
-            self._drop(name, "entities", r.theory)
-
-    def _drop(self, name: str, table: str, theory: str) -> None:
-        """Removes the partition of a theory, by the name that Spark gives its folder."""
-        escaped = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(theory)
-        path, fs = self._path(name, table, f"theory={escaped}")
-        fs.delete(path, True)
-
-    def delete(self, name: str, where: Column) -> None:
-        """Removes the blocks that match and their entities, by rewriting the theories that lose any."""
+            at = f"{self.root}/{name}/{table}/version={number}"
+            rows.withColumns(missing).select(names).write.partitionBy("theory").parquet(at)
+            stored = self.spark.read.schema(schema).parquet(at)
+            postings, lengths = terms.postings_of(stored.withColumn("__theory", F.col("theory")), TEXTS[table], ("__theory",)), terms.lengths_of(stored.withColumn("__theory", F.col("theory")), TEXTS[table], ("__theory",))
+            terms.write_parts(postings.withColumnRenamed("__theory", "theory"), lengths.withColumnRenamed("__theory", "theory"), lambda part, at=f"{self.root}/{name}/{table}": f"{at}_{part}/version={number}")
+        now = self.spark.read.schema(BLOCKS).parquet(f"{self.root}/{name}/blocks/version={number}").select("theory").distinct().withColumn("version", F.lit(number))
+        kept = self.manifest(name, before).join(replaced.select("theory").distinct(), "theory", "left_anti")
+        kept.unionByName(now).coalesce(1).write.parquet(f"{self.root}/{name}/manifests/{number}")
+        path, fs = self._path(name, "_versions", str(number))
+        fs.create(path, False).close()  # fails if another writer took the number
+        return number
+
+    def _numbers(self, name: str) -> list[int]:
+        """Versions that were begun, whole or not."""
+        path, fs = self._path(name, "blocks")
+        found = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+        return [int(n.removeprefix("version=")) for n in found if n.startswith("version=")]
+
+    def delete(self, name: str, where: Column) -> int:
+        """Removes the blocks that match and their entities: a version in which the theories that lose any are written anew."""
         corpus = self.corpus(name)
         touched = corpus.blocks.filter(where).select("theory").distinct()
         kept = corpus.blocks.join(touched, "theory", "left_semi").filter(~F.coalesce(where, F.lit(False)))
-        entities = corpus.entities.drop("theory").join(kept.select(F.col("id").alias("__b")), F.col("block_id") == F.col("__b"), "left_semi")
-        gone = [r.theory for r in touched.toLocalIterator()]
-        staged = f"{self.root}/.staged-{name}"
-        kept.write.mode("overwrite").parquet(f"{staged}/blocks")
-        entities.write.mode("overwrite").parquet(f"{staged}/entities")
-        for theory in gone:
-            for table in ("blocks", "entities"):
-                self._drop(name, table, theory)
-        self.write(name, self.spark.read.parquet(f"{staged}/blocks"), self.spark.read.parquet(f"{staged}/entities"))
-        path, fs = self._path(f".staged-{name}")
-        fs.delete(path, True)
+        return self._commit(name, kept, corpus.entities, touched)
+
+    def vacuum(self, name: str) -> None:
+        """Removes the files of versions that the last one doesn't name; earlier versions can't be read afterwards."""
+        last = self.version(name)
+        needed = {r.version for r in self.manifest(name, last).select("version").distinct().collect()}  # one row a version
+        for table in ("blocks", "entities"):
+            for part in (table, f"{table}_postings", f"{table}_lengths"):
+                path, fs = self._path(name, part)
+                for s in fs.listStatus(path) if fs.exists(path) else []:
+                    number = s.getPath().getName().removeprefix("version=")
+                    if number.isdigit() and int(number) not in needed and int(number) <= last:
+                        fs.delete(s.getPath(), True)
 
 
 def default_first(names: list[str]) -> list[str]:
