@@ -1,4 +1,4 @@
-"""The reference behaviours of search on a corpus of two blocks and two entities, and more."""
+"""Searches, facets, lookups and requests on a corpus of three blocks and four entities."""
 
 import pytest
 
@@ -9,22 +9,25 @@ from quarry.plans.compiler import Corpus
 from quarry.plans.query import And, Exact, FacetQuery, FieldFilter, FilterQuery, InRange, InResult, Not, Or, Term, form_filters, matched, next_mode, query_from_json, query_to_json, typed, used_by, uses_of
 from quarry.service import Engine
 
-FUN, LEMMA = "ExampleThy.1.11", "ExampleThy.12.14"
+RIPE, SOFT, JAR = "Orchard.40.95", "Orchard.95.160", "Cellar.1.30"
 
 
 @pytest.fixture(scope="module")
 def corpus(spark):
     blocks = spark.createDataFrame(
         [
-            (FUN, "ExampleThy", "ExampleThy", 1, "fun", "\n", "fun Example = ...", "\n..."),
-            (LEMMA, "ExampleThy", "ExampleThy", 3, "lemma", "\n...", "lemma example_lem...", "(* stuff *)"),
+            (RIPE, "Orchard", "Orchard", 4, "definition", "begin\n", "definition ripe where ripe = sweet + mellow", "\n"),
+            (SOFT, "Orchard", "Orchard", 9, "corollary", "\n", "corollary ripe_soft: soft apples are sweet", "(* so are pears *)"),
+            (JAR, "Cellar", "Cellar", 2, "datatype", "", "datatype jar = Empty | Full fruit", "end"),
         ],
         "id string, theory string, theory_facet string, start_line int, command string, src_before string, src string, src_after string",
     )
     entities = spark.createDataFrame(
         [
-            ("Const.ExampleThy.Const1", FUN, "Constant", "Const1", "Const1", "'a => 'b", "'a => 'b", ["someId"]),
-            ("Fact.ExampleThy.ConstIsFact", LEMMA, "Fact", "ConstIsFact", "ConstIsFact", None, None, ["Const.ExampleThy.Const1"]),
+            ("Type.jar", JAR, "Type", "jar", "jar", None, None, []),
+            ("Constant.Full", JAR, "Constant", "Full", "Full", "fruit => jar", "fruit => jar", ["Type.jar"]),
+            ("Constant.ripe", RIPE, "Constant", "ripe", "ripe", "'f => bool", "'f => bool", ["Type.jar", "Type.gone"]),
+            ("Fact.ripe_soft", SOFT, "Fact", "ripe_soft", "ripe_soft", None, None, ["Constant.ripe"]),
         ],
         "id string, block_id string, kind string, name string, name_facet string, type string, type_facet string, uses array<string>",
     )
@@ -33,118 +36,100 @@ def corpus(spark):
 
 @pytest.fixture(scope="module")
 def engine(spark, corpus):
-    return Engine(spark, corpora={"other": corpus, "my_default_x": corpus})
+    return Engine(spark, corpora={"fruit": corpus, "my_default_x": corpus})
 
 
 def found(engine, *filters):
-    return [r.id for r in engine.search("other", FilterQuery(tuple(FieldFilter(a, b) for a, b in filters))).values]
+    return [r.id for r in engine.search("fruit", FilterQuery(tuple(FieldFilter(a, b) for a, b in filters))).values]
 
 
-def test_all_documents(engine):
-    assert engine.search_documents("other", FilterQuery()).count == 4
-
-
-def test_range(engine):
-    r = engine.search("other", FilterQuery((FieldFilter("StartLine", InRange(2, 5)),)))
-    assert r.count == 1 and r.values[0].id == LEMMA and [e.name for e in r.values[0].entities] == ["ConstIsFact"]
-
-
-def test_child_filter(engine):
-    r = engine.search("other", FilterQuery((FieldFilter("Kind", Exact("Constant")),)))
-    assert [e.kind for b in r.values for e in b.entities] == ["Constant"]
+def test_lookups(engine):
+    assert engine.get_resolved("fruit", "Type.jar").uses == []
+    assert [u.name for u in engine.get_resolved("fruit", "Constant.ripe").uses] == ["jar"]
+    assert engine.get_short_block("fruit", "Constant.Full").id == JAR
+    assert [e.id for e in engine.get_block("fruit", JAR).entities] == ["Constant.Full", "Type.jar"]
+    for call in (engine.get_block, engine.get_resolved):
+        with pytest.raises(NotFound):
+            call("fruit", "Type.gone")
+    with pytest.raises(NotFound):
+        engine.get_resolved("fruit", JAR)
 
 
-def test_recursive(engine):
-    assert found(engine, ("Uses", InResult("Id", (FieldFilter("Kind", Exact("Constant")),)))) == [LEMMA]
+def test_wildcards_and_blank_terms(engine):
+    assert found(engine, ("Command", Term("*or*"))) == [SOFT]
+    assert found(engine, ("Name", Term("ful?"))) == [JAR]
+    assert found(engine, ("Name", Term("ripe* x"))) == []
+    assert found(engine, ("SourceCode", Term("\t "))) == []
+    assert sorted(found(engine, ("SourceCode", Term("FRUIT mellow")))) == sorted([JAR, RIPE])
 
 
-def test_facet(engine):
-    assert engine.facet("other", FacetQuery((), ("StartLine",))) == {"StartLine": {"1": 1, "3": 1}}
+def test_facets(engine, spark, corpus):
+    q = lambda *fields, n=100, **f: FacetQuery(tuple(FieldFilter(a, Exact(b)) for a, b in f.items()), fields, n)
+    commands = {"definition": 1, "corollary": 1, "datatype": 1}
+    assert engine.facet("fruit", q("Command", Command="datatype")) == {"Command": commands}
+    assert engine.facet("fruit", q("Kind", Command="datatype")) == {"Kind": {"Constant": 1, "Type": 1}}
+    assert engine.facet("fruit", q("Command", n=3)) == {}
+    assert engine.facet("fruit", q("Command", n=4)) == {"Command": commands}
+    assert engine.facet("fruit", q("StartLine", Kind="Constant")) == {"StartLine": {"2": 1, "4": 1}}
+    assert engine.facet("fruit", q("Command", Name="nothing")) == {"Command": {}}
+    assert engine.facet("fruit", FacetQuery()) == {}
+    assert engine.facet("fruit", q("SourceTheory")) == {"SourceTheory": {"orchard": 2, "cellar": 1}}
+    assert engine.facet("fruit", q("DocKind")) == {"DocKind": {"Child": 3}}
+    for bad in ("Id", "Uses", "SourceCode"):
+        with pytest.raises(InvalidQuery):
+            engine.facet("fruit", q(bad))
+    counts = compiler.facet(corpus, (), "Command")
+    chosen = spark.createDataFrame([("Command", "gone")], "field string, value string")
+    merged = {(r.value, r["count"], r.selected) for r in compiler.facets_with_selection(counts, chosen).collect()}
+    assert merged == {(c, 1, False) for c in commands} | {("gone", 0, True)}
 
 
-def test_connectives(engine):
-    assert found(engine, ("Kind", Not(Or(Exact("Fact"), Exact("Type"))))) == [FUN]
+def test_block_join_in_a_range_of_lines(engine):
+    r = engine.search("fruit", FilterQuery((FieldFilter("StartLine", InRange(3, 5)), FieldFilter("Kind", Exact("Constant")))))
+    assert r.count == 1 and r.values[0].id == RIPE and [(e.kind, e.name) for e in r.values[0].entities] == [("Constant", "ripe")]
+    assert sorted(found(engine, ("Kind", Exact("Constant")))) == [JAR, RIPE]
+    assert found(engine, ("Kind", Exact("Type")), ("NameFacet", Exact("Full"))) == []
 
 
 def test_ranking(engine):
-    assert found(engine, ("SourceCode", Or(Exact("example"), Exact("lemma")))) == [LEMMA, FUN]
+    assert found(engine, ("SourceCode", Or(Exact("sweet"), Exact("apples")))) == [SOFT, RIPE]
 
 
-def test_usage(engine):
-    assert found(engine, ("Uses", Term("Const.ExampleThy.Const1"))) == [LEMMA]
-    f = uses_of(["Fact.ExampleThy.ConstIsFact"])
-    assert found(engine, (f.field, f.filter)) == [FUN]
+def test_inner_queries(engine):
+    assert found(engine, ("Uses", InResult("Id", (FieldFilter("Kind", Exact("Constant")),)))) == [SOFT]
+    assert found(engine, ("Uses", Term("Constant.ripe"))) == [SOFT]
+    f = uses_of(["Fact.ripe_soft"])
+    assert found(engine, (f.field, f.filter)) == [RIPE]
     assert used_by(["a", "b"]).filter == Or(Term("a"), Term("b"))
-
-
-def test_wildcards_and_blank_terms(engine):
-    assert found(engine, ("Command", Term("lem*"))) == [LEMMA]
-    assert found(engine, ("Name", Term("const?"))) == [FUN]
-    assert found(engine, ("Name", Term("con* x"))) == []
-    assert found(engine, ("SourceCode", Term(" "))) == []
-    assert sorted(found(engine, ("SourceCode", Term("LEMMA fun")))) == sorted([FUN, LEMMA])
-
-
-def test_not_needs_a_value(engine):
-    assert found(engine, ("ConstantType", Not(Term("nothing")))) == [FUN]
-    assert found(engine, ("Uses", And(Term("someId"), Not(Term("x"))))) == [FUN]
-
-
-def test_inner_query_errors(engine, corpus):
+    assert found(engine, ("Name", InResult("Name", (FieldFilter("Kind", Exact("Fact")),)))) == [SOFT]
+    assert found(engine, ("Id", InResult("Uses", (FieldFilter("Kind", Exact("Type")),)))) == []
     with pytest.raises(InvalidQuery):
-        found(engine, ("Id", InResult("Children", (FieldFilter("Kind", Exact("Fact")),))))
+        found(engine, ("Id", InResult("Children", (FieldFilter("Kind", Exact("Type")),))))
     with pytest.raises(Exception, match="has no ConstantType"):
         found(engine, ("NameFacet", InResult("ConstantType", (FieldFilter("Kind", Exact("Fact")),))))
-    assert found(engine, ("Id", InResult("Uses", (FieldFilter("Kind", Exact("Type")),)))) == []
-    assert found(engine, ("Name", InResult("Name", (FieldFilter("Kind", Exact("Fact")),)))) == [LEMMA]
+
+
+def test_connectives(engine):
+    assert found(engine, ("Kind", Not(Or(Exact("Constant"), Exact("Type"))))) == [SOFT]
+    assert sorted(found(engine, ("ConstantType", Not(Term("bool"))))) == [JAR]
+    assert found(engine, ("Uses", And(Term("Type.gone"), Not(Term("x"))))) == [RIPE]
 
 
 def test_pages(engine):
-    q = FilterQuery((), 1)
-    first = engine.search("other", q)
-    second = engine.search("other", FilterQuery((), 1, first.next_cursor))
-    third = engine.search("other", FilterQuery((), 1, second.next_cursor))
-    assert [r.id for r in first.values + second.values] == [FUN, LEMMA] and first.count == 2
+    first = engine.search("fruit", FilterQuery((), 2))
+    second = engine.search("fruit", FilterQuery((), 2, first.next_cursor))
+    third = engine.search("fruit", FilterQuery((), 2, second.next_cursor))
+    assert [r.id for r in first.values] == [JAR, RIPE] and [r.id for r in second.values] == [SOFT] and first.count == 3
     assert third.values == [] and third.next_cursor == second.next_cursor
-    assert engine.search("other", FilterQuery((), 0)).count == 2
+    assert engine.search("fruit", FilterQuery((), 0)).count == 3 and engine.search_documents("fruit", FilterQuery()).count == 7
     assert pages(21, 10) == 3
 
 
-def test_facets(engine, spark, corpus):
-    q = lambda *fields, n=100, **f: FacetQuery(tuple(FieldFilter(a, Exact(b)) for a, b in f.items()), fields, n)
-    assert engine.facet("other", q("Command", Command="fun")) == {"Command": {"fun": 1, "lemma": 1}}
-    assert engine.facet("other", q("Kind", Command="fun")) == {"Kind": {"Constant": 1}}
-    assert engine.facet("other", q("Command", n=2)) == {}
-    assert engine.facet("other", q("Command", n=3)) == {"Command": {"fun": 1, "lemma": 1}}
-    assert engine.facet("other", q("Command", Kind="Type")) == {"Command": {}}
-    assert engine.facet("other", FacetQuery()) == {}
-    assert engine.facet("other", q("SourceTheory")) == {"SourceTheory": {"examplethy": 2}}
-    assert engine.facet("other", q("DocKind")) == {"DocKind": {"Child": 2}}
-    for bad in ("Id", "Uses", "SourceCode"):
-        with pytest.raises(InvalidQuery):
-            engine.facet("other", q(bad))
-    counts = compiler.facet(corpus, (), "Command")
-    chosen = spark.createDataFrame([("Command", "gone")], "field string, value string")
-    assert sorted((r.value, r["count"], r.selected) for r in compiler.facets_with_selection(counts, chosen).collect()) == [("fun", 1, False), ("gone", 0, True), ("lemma", 1, False)]
-
-
-def test_lookups(engine):
-    assert engine.get_block("other", FUN).command == "fun"
-    assert engine.get_short_block("other", "Fact.ExampleThy.ConstIsFact").id == LEMMA
-    assert [u.name for u in engine.get_resolved("other", "Fact.ExampleThy.ConstIsFact").uses] == ["Const1"]
-    assert engine.get_resolved("other", "Const.ExampleThy.Const1").uses == []
-    for call in (engine.get_block, engine.get_resolved):
-        with pytest.raises(NotFound):
-            call("other", "nothing")
-    with pytest.raises(NotFound):
-        engine.get_resolved("other", FUN)
-
-
 def test_requests(engine):
-    assert engine.list_indexes() == ["my_default_x", "other"]
+    assert engine.list_indexes() == ["my_default_x", "fruit"]
     with pytest.raises(UnknownIndex):
-        engine.get_block("none", FUN)
-    for bad in (lambda: engine.get_block("other", " "), lambda: engine.search("other", FilterQuery((), -1)), lambda: engine.search("other", FilterQuery((), 1, " ")), lambda: engine.facet("other", FacetQuery((), (), 0)), lambda: engine.search("other", FilterQuery((), 1, "###"))):
+        engine.get_block("none", RIPE)
+    for bad in (lambda: engine.get_block("fruit", " "), lambda: engine.search("fruit", FilterQuery((), -1)), lambda: engine.search("fruit", FilterQuery((), 1, " ")), lambda: engine.facet("fruit", FacetQuery((), (), 0)), lambda: engine.search("fruit", FilterQuery((), 1, "###"))):
         with pytest.raises(InvalidQuery):
             bad()
     assert engine.last_ms >= 0
@@ -153,7 +138,7 @@ def test_requests(engine):
 def test_json():
     q = FilterQuery((FieldFilter("Name", And(Term("*a*"), Or(Not(Exact("b")), Exact("c")), Exact("d"))), FieldFilter("StartLine", InRange(1, 2)), FieldFilter("Uses", InResult("Id", (FieldFilter("Kind", Exact("Fact")),)))), 5, "x")
     assert query_from_json(query_to_json(q)) == q
-    f = FacetQuery((FieldFilter("Name", Term("*gauss*")),), ("Kind", "NameFacet"), 10)
+    f = FacetQuery((FieldFilter("Name", Term("*pear*")),), ("Kind", "NameFacet"), 10)
     assert query_from_json(query_to_json(f)) == f
     assert query_from_json('{"filters": []}') == FilterQuery()
     for bad in ("{", "{}", '{"filters": [{"field": "X", "filter": {"Term": {"inner": "a"}}}]}', '{"filters": [{"field": "Name", "filter": {"Foo": {}}}]}', '{"filters": [{"field": "Name", "filter": {"Term": {}}}]}'):
