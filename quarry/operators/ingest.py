@@ -87,19 +87,25 @@ def extract_blocks(segments: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def contained(positions: DataFrame, blocks: DataFrame, by: list[str] = ("theory",), offset: str = "offset", end: str = "end_offset", stride: int = STRIDE) -> DataFrame:
-    """Every position with ``__block``, the first block that contains it, null if none does.
-
-    Blocks are listed under each stretch of places that they touch, so the join
-    has an equal key even within one long theory.
+    """Every position with ``__block``, the id of the block that contains it, null if none does.
+
+    Blocks (by, start, stop, id) don't overlap, as those of a segmentation
+    don't; of blocks that begin alike the last by id counts. An as-of join
+    without a join: positions and blocks are sorted together, and each position
+    takes the block that began last before it. Blocks are listed under each
+    stretch of places that they touch, so even one long theory is spread out,
+    and rows are shuffled once.
     """
     by = list(by)
-    keyed = positions.withColumn("__bucket", F.floor(F.col(offset) / stride)).withColumn("__row", F.monotonically_increasing_id())
-    listed = blocks.select(*[F.col(c).alias(f"__{c}") for c in by], "start", "stop", F.struct("start", "id").alias("__block"), F.explode(F.sequence(F.floor(F.col("start") / stride), F.floor((F.col("stop") - 1) / stride))).alias("__b"))
-    same = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"__{c}") for c in by], F.col("__bucket") == F.col("__b"))
-    inside = (F.col("start") <= F.col(offset)) & (F.col(end) <= F.col("stop"))
-    found = keyed.join(listed, same & inside, "left")
-    own = [c for c in positions.columns]
-    return found.groupBy("__row").agg(*[F.first(c).alias(c) for c in own], F.min("__block").alias("__first")).select(*own, F.col("__first.id").alias("__block"))
+    own = positions.columns
+    place = lambda c: F.floor(F.col(c) / stride)
+    points = positions.select(*by, place(offset).alias("__stretch"), F.col(offset).cast("long").alias("__at"), F.lit(1).alias("__kind"), F.struct(*own).alias("__row"))
+    begun = F.struct(F.col("stop").alias("stop"), F.col("id").alias("id"))
+    touched = F.sequence(place("start"), F.greatest(F.floor((F.col("stop") - 1) / stride), place("start")))
+    listed = blocks.select(*by, F.explode(touched).alias("__stretch"), F.col("start").cast("long").alias("__at"), F.lit(0).alias("__kind"), begun.alias("__begun"))
+    before = Window.partitionBy(*by, "__stretch").orderBy("__at", "__kind", "__begun").rowsBetween(Window.unboundedPreceding, 0)
+    met = points.unionByName(listed, allowMissingColumns=True).withColumn("__last", F.last("__begun", True).over(before)).filter("__kind = 1")
+    return met.select("__row.*", F.when(F.col(f"__row.{end}") <= F.col("__last.stop"), F.col("__last.id")).alias("__block"))
 
 
 def join_entities(entities: DataFrame, blocks: DataFrame) -> tuple[DataFrame, DataFrame]:

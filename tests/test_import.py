@@ -198,3 +198,14 @@ def test_stream(spark, tmp_path):
         spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(source)
         streaming.upsert_into(streaming.stream(spark, source, schema), table, state).awaitTermination()
     assert sorted(map(tuple, streaming.current(spark, table).collect())) == [("a", 3, "z"), ("b", 1, "x"), ("c", 1, "x")]
+
+
+def test_containment_shuffles_once(spark):
+    """The block around each position, also where a block lies over many stretches; rows are dealt out once."""
+    blocks = spark.createDataFrame([("t", 1, 50, "a"), ("t", 50, 51, "b"), ("t", 60, 9000, "c"), ("u", 1, 9, "d")], "theory string, start long, stop long, id string")
+    rows = [("t", 1, 3), ("t", 49, 50), ("t", 49, 51), ("t", 50, 51), ("t", 55, 56), ("t", 8999, 9000), ("t", 4100, 4100), ("u", 8, 9), ("u", 9, 10), ("v", 1, 2), ("t", 1, 3)]
+    points = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "theory string, offset int, end_offset int, __at int")
+    found = ingest.contained(points, blocks)
+    assert [r["__block"] for r in sorted(found.collect(), key=lambda r: r["__at"])] == ["a", "a", None, "b", None, "c", "c", "d", None, None, "a"]
+    planned = ingest.contained(points, blocks)._jdf.queryExecution().executedPlan().toString()
+    assert planned.count("Exchange hashpartitioning") == 1 and "Join" not in planned
