@@ -188,7 +188,7 @@ def _removed(texts: DataFrame, sets: DataFrame, window: int, hot_texts: int) ->
     else:
         marked = sets.select("tk", F.explode("hashes").alias("hash")).join(if_small(hot.withColumn("is_hot", F.lit(True))), "hash", "left")
         sets = marked.groupBy("tk").agg(F.collect_list(F.when(F.col("is_hot").isNull(), F.col("hash"))).alias("hashes"), F.collect_list(F.when(F.col("is_hot"), F.col("hash"))).alias("hot"))
-    wanted = texts.join(sets, "tk").select("holder", "tk", "text", "hashes", "hot")
+    wanted = texts.join(sets, "tk").select("holder", "tk", "text", "hashes", "hot", "id")
 
     def pieces(one_by_one: bool):
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,22 +291,25 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     copies = rows.groupBy("sha").agg(F.min("holder").alias("earliest"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     marked = with_groups(rows, checkpointed(copies), ["sha"], "n", "left")
     late = F.col("earliest").isNotNull() & (F.col("earliest") < F.col("holder")) & (F.octet_length("text") >= window)
-    own = marked.filter(~late).select("id", "holder", "text", "tk")
+    own = marked.filter(~late).select("id", "holder", "tk", "text")
     n_bytes = F.octet_length("text").cast("long").alias("n_bytes")
-    gone = marked.filter(late).select("id", n_bytes, F.array(F.struct(F.lit(0).cast("long").alias("start"), F.octet_length("text").cast("long").alias("stop"))).alias("spans"), F.unhex(F.lit("")).alias("kept"))
+    no_span = F.array().cast("array<struct<start: bigint, stop: bigint>>")
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.octet_length("text").cast("long").alias("stop")))
+    gone = marked.filter(late).select("id", n_bytes, whole.alias("spans"), F.unhex(F.lit("")).alias("kept"))
+    short = own.filter(F.octet_length("text") < window).select("id", n_bytes, no_span.alias("spans"), F.col("text").cast("binary").alias("kept"))
 
-    long = own.filter(F.octet_length("text") >= window).select("holder", "tk", "text")
+    # texts are shuffled once: both joins are by the same key and take the same columns
+    long = own.filter(F.octet_length("text") >= window)
     sets = checkpointed(_repeated_anchors(long, window))
-    removed = _removed(long, sets, window, hot_texts)
-    removed = removed.groupBy("tk", "holder").agg(F.collect_list(F.struct("start", "stop")).alias("found"))
-    joined = own.join(removed, ["tk", "holder"], "left").select("id", "text", "found")
+    removed = _removed(long, sets, window, hot_texts).groupBy("tk").agg(F.collect_list(F.struct("holder", "start", "stop")).alias("found"))
+    joined = long.join(removed, "tk", "left").select("id", "text", "found", "holder")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             spans, kept, sizes = [], [], []
-            for text, found in zip(b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist(), strict=True):
+            for text, found, holder in zip(b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 merged, out, at = [], [], 0
-                for x in sorted((x["start"], x["stop"]) for x in found or []):
+                for x in sorted((x["start"], x["stop"]) for x in found or [] if x["holder"] == holder):
                     if merged and x[0] <= merged[-1][1]:
                         merged[-1][1] = max(merged[-1][1], x[1])
                     else:
@@ -323,4 +326,4 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     kind = dict(docs.dtypes)[id_col]
     left = in_batches(joined).mapInArrow(cut, f"id {kind}, n_bytes long, spans array<struct<start: long, stop: long>>, kept binary")
-    return left.unionByName(gone).withColumnRenamed("id", id_col)
+    return left.unionByName(gone).unionByName(short).withColumnRenamed("id", id_col)
