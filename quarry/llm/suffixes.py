@@ -229,8 +229,18 @@ def _removed(texts: DataFrame, sets: DataFrame, window: int, hot_texts: int) ->
             distinct = coded.dictionary.to_pylist()
             smallest = np.full(len(distinct), _NO_ID)
             np.minimum.at(smallest, of, holder)
-            firsts, begins = first_holders(distinct, smallest, window)
             counts = np.array([len(p) for p in distinct], np.int64) - window + 1
+            begins = np.cumsum(counts) - counts
+            # a piece that is its anchor's only one repeats as a whole; the others' suffixes are sorted
+            anchor = np.empty(len(distinct), np.int64)
+            anchor[of] = t["hash"].to_numpy()
+            _, group, sizes = np.unique(anchor, return_inverse=True, return_counts=True)
+            several = np.flatnonzero(sizes[group] > 1)
+            firsts = np.repeat(smallest, counts)
+            if len(several):
+                at = np.repeat(begins[several], counts[several])
+                found, own = first_holders([distinct[k] for k in several.tolist()], smallest[several], window)
+                firsts[at + np.arange(len(found)) - np.repeat(own, counts[several])] = found
             # every place of every row, and whether an earlier holder has its window
             starts = t["starts"].chunk(0)
             row = np.repeat(np.arange(len(of)), np.diff(starts.offsets.to_numpy()))
