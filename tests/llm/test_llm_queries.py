@@ -17,6 +17,7 @@ COLUMNS = {
     "op7_toxicity": {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"},
     "op8_simhash": {"doc_id": "bigint", "fingerprint": "string", "component_id": "bigint"},
     "op9_quality": {"doc_id": "bigint", "n_words": "bigint", "word_chars": "bigint", "n_symbols": "bigint", "n_dup_lines": "bigint", "n_repeat_words": "bigint", "base_failed": "boolean", "kept": "boolean"},
+    "op13_suffix_dedup": {"doc_id": "bigint", "n_bytes": "bigint", "n_removed": "bigint", "n_spans": "bigint", "kept_sha256": "string"},
     "op10_html": {"page_id": "bigint", "url": "string", "text": "string", "n_chars": "bigint"},
 }
 
