@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from quarry.functions.analysis import base_tokens, index_text, token_forms
 
 #: Folders into which postings are dealt by their token.
-BUCKETS = 64
+BUCKETS = 16
 #: Letters of a gram; a token's begin and end count as letters.
 GRAM = 3
 BEGIN, END = "\x02", "\x03"
