@@ -14,12 +14,8 @@ r AS (SELECT *, first_value(doc_id) OVER (PARTITION BY h ORDER BY n DESC, doc_id
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, h AS text_sha256 FROM r"""
 
 
-def _limits(name: str, keys: str) -> str:
-    """Limits of groups: the 75 % quantile, and 8 times its distance from the median beyond it."""
-    by = f"{keys}, " if keys else ""
-    return f"""{name}q AS (SELECT {by}ratio, any_value(spread) AS spread, count(*) AS texts, list(b ORDER BY b) AS bs FROM sketch GROUP BY {by}ratio),
-{name} AS (SELECT {by}ratio, texts, bs[CAST(ceil(texts * CAST(0.75 AS DOUBLE)) AS BIGINT)] AS upper, bs[CAST(ceil(texts * CAST(0.5 AS DOUBLE)) AS BIGINT)] AS middle,
-  upper + CAST(8 AS DOUBLE) * greatest(upper - middle, spread) AS most FROM {name}q)"""
+#: Texts at equal steps of a sorted list of buckets, 50 of them.
+_STEPS = "list_transform(range(1, 51), lambda k: {0}[(k * len({0}) + 49) // 50])"
 
 
 _QUALITY = rf"""
@@ -34,9 +30,14 @@ base AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_f
 ratios AS (SELECT doc_id, lang, source, base_failed, unnest(['symbols', 'dup', 'repeats', 'chars']) AS ratio, unnest([CAST(0.025 AS DOUBLE), 0.05, 0.025, 1]) AS spread,
   unnest([n_symbols / greatest(n_words, 1), n_dup_lines / greatest(n_lines, 1), n_repeat_words / greatest(n_words, 1), word_chars / greatest(n_words, 1)]) AS v FROM base),
 sketch AS (SELECT lang, source, ratio, spread, CASE WHEN v > 0 THEN exp(ceil(ln(v) / CAST({_STEP!r} AS DOUBLE)) * CAST({_STEP!r} AS DOUBLE)) * CAST({_MIDDLE!r} AS DOUBLE) ELSE 0 END AS b FROM ratios WHERE NOT base_failed),
-{_limits('own', 'lang, source')}, {_limits('tongue', 'lang')}, {_limits('every', '')},
-beyond AS (SELECT DISTINCT doc_id FROM ratios r JOIN every ON every.ratio = r.ratio LEFT JOIN own ON own.ratio = r.ratio AND own.lang IS NOT DISTINCT FROM r.lang AND own.source IS NOT DISTINCT FROM r.source
-  LEFT JOIN tongue ON tongue.ratio = r.ratio AND tongue.lang IS NOT DISTINCT FROM r.lang WHERE v > CASE WHEN own.texts >= 200 THEN own.most WHEN tongue.texts >= 200 THEN tongue.most ELSE every.most END)
+every AS (SELECT ratio, list(b ORDER BY b) AS bs FROM sketch GROUP BY ratio),
+tongues AS (SELECT lang, ratio, list(b ORDER BY b) AS bs FROM sketch GROUP BY lang, ratio),
+tongue AS (SELECT lang, ratio, list_sort(t.bs || {_STEPS.format("e.bs")}) AS bs FROM tongues t JOIN every e USING (ratio)),
+owns AS (SELECT lang, source, ratio, any_value(spread) AS spread, list(b ORDER BY b) AS bs FROM sketch GROUP BY lang, source, ratio),
+own AS (SELECT o.lang, source, o.ratio, spread, list_sort(o.bs || {_STEPS.format("t.bs")}) AS bs FROM owns o JOIN tongue t ON t.ratio = o.ratio AND t.lang IS NOT DISTINCT FROM o.lang),
+quantiles AS (SELECT *, bs[CAST(ceil(len(bs) * CAST(0.75 AS DOUBLE)) AS BIGINT)] AS upper, bs[CAST(ceil(len(bs) * CAST(0.5 AS DOUBLE)) AS BIGINT)] AS middle FROM own),
+beyond AS (SELECT DISTINCT doc_id FROM ratios r JOIN quantiles q ON q.ratio = r.ratio AND q.lang IS NOT DISTINCT FROM r.lang AND q.source IS NOT DISTINCT FROM r.source
+  WHERE v > upper + CAST(8 AS DOUBLE) * greatest(upper - middle, q.spread))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM beyond) AS kept FROM base"""
 
 #: crc32 of a decimal, bit by bit, as unsigned number.

@@ -5,7 +5,9 @@ quantile sketch for every language and source: a count for each bucket of the
 logarithm, by which any quantile is known to a fixed relative error. Sketches
 merge by adding counts, in any order, to those of a language and of all texts.
 Thresholds read from them replace fixed cutoffs: a text is rejected that lies
-far outside what is usual in its own source. The verdicts come from a join of
+far outside what is usual in its own source. A source's sketch holds some texts
+of its language's distribution besides its own, and a language's some of all, so
+a source of few texts goes by its language, and by itself the more it has. The verdicts come from a join of
 measures and thresholds.
 """
 
@@ -28,8 +30,8 @@ SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
 #: Relative error of a sketch's quantiles.
 SKETCH_ERROR = 0.01
-#: Fewer texts than this don't make a sketch to go by; the language's is used, then that of all.
-LEAST_TEXTS = 200
+#: So many texts, at equal steps of its distribution, a language gives to the sketch of each of its sources, and all texts to that of each language.
+PARENT_TEXTS = 50
 #: The quantile from which limits are counted: junk moves them only where it is more than the rest, a quarter of a group.
 UPPER = 0.75
 #: How many times the distance from the median to the upper quantile a text may lie beyond that quantile.
@@ -125,15 +127,32 @@ def quantiles(sketches: DataFrame, by: list[str], wanted: dict[str, float]) -> D
     )
 
 
-def thresholds(sketches: DataFrame, by: list[str], prefix: str) -> DataFrame:
-    """One row a group: for each ratio, the value beyond which a text is rejected, and the number of texts."""
+def steps(sketches: DataFrame, by: list[str], texts: int) -> DataFrame:
+    """Sketches of ``texts`` texts each, which lie at equal steps of the given ones' distributions."""
+    group = Window.partitionBy(*by, "name")
+    upto, total = F.sum("n").over(group.orderBy(F.col("bucket").asc_nulls_first())), F.sum("n").over(group)
+    rows = sketches.withColumn("upto", upto).withColumn("total", total)
+    step = lambda x: F.call_function("div", x * texts, F.col("total"))
+    return rows.select(*by, "name", "bucket", (step(F.col("upto")) - step(F.col("upto") - F.col("n"))).alias("n")).filter("n > 0")
+
+
+def added(sketches: DataFrame, by: list[str], parents: DataFrame, on: list[str]) -> DataFrame:
+    """Sketches of the groups ``by``, each with the one of its parent added, whose group is ``on``."""
+    parents = parents.select(*[F.col(c).alias(f"p_{c}") for c in (*on, "name")], "bucket", "n")
+    same = F.col("name") == F.col("p_name")
+    for c in on:
+        same = same & F.col(c).eqNullSafe(F.col(f"p_{c}"))
+    given = sketches.select(*by, "name").distinct().join(if_small(checkpointed(parents)), same).select(*by, "name", "bucket", "n")
+    return merged(sketches.unionByName(given), by)
+
+
+def thresholds(sketches: DataFrame, by: list[str]) -> DataFrame:
+    """One row a group: ``by`` with s_ before the names, and for each ratio the value beyond which a text is rejected."""
     spread = F.lit(0.0)
     for name, least in LEAST_SPREAD.items():
         spread = F.when(F.col("name") == name, least).otherwise(spread)
     limits = quantiles(sketches, by, {"middle": 0.5, "high": UPPER}).withColumn("limit", F.col("high") + DISTANCE * F.greatest(F.col("high") - F.col("middle"), spread))
-    return limits.groupBy(*[F.col(c).alias(f"{prefix}_{c}") for c in by]).agg(
-        F.max("texts").alias(f"{prefix}_texts"), *[F.max(F.when(F.col("name") == name, F.col("limit"))).alias(f"{prefix}_{name}") for name in LEAST_SPREAD]
-    )
+    return limits.groupBy(*[F.col(c).alias(f"s_{c}") for c in by]).agg(*[F.max(F.when(F.col("name") == name, F.col("limit"))).alias(f"most_{name}") for name in LEAST_SPREAD])
 
 
 def base_failed() -> Column:
@@ -141,13 +160,13 @@ def base_failed() -> Column:
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
-def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least_texts: int = LEAST_TEXTS) -> DataFrame:
+def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", parent_texts: int = PARENT_TEXTS) -> DataFrame:
     """Every row of ``docs`` with its measures and the verdict.
 
     Columns: ``id_col``, the measures, base_failed and kept. Rows that fail the
-    base rules are in no sketch. A language and source with fewer than
-    ``least_texts`` rows in its sketch takes the limits of its language, and
-    that those of all. A value equal to its limit is kept. A null language or
+    base rules are in no sketch. Every language and source has limits of its own:
+    its sketch is of its own texts and ``parent_texts`` of its language's, whose
+    sketch likewise has as many of all. A value equal to its limit is kept. A null language or
     source is a group of its own; a null text has no words and fails. Texts of
     any length are measured whole, repeated rows count each, an empty table
     gives an empty table.
@@ -155,14 +174,10 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     rows = checkpointed(measured(docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), F.col(text_col).alias("text")), ["id", "lang", "source"]))
     values = ratios()
     own = checkpointed(sketch(rows.filter(~base_failed()), ["lang", "source"], values))
-    # limits meet in the small table of groups, those of all as one row of numbers; rows then need one join
-    every = thresholds(merged(own, []), [], "a").first()
-    groups = thresholds(own, ["lang", "source"], "s").join(thresholds(merged(own, ["lang"]), ["lang"], "l"), F.col("s_lang").eqNullSafe(F.col("l_lang")), "left")
-    limit = {
-        name: F.when(F.col("s_texts") >= least_texts, F.col(f"s_{name}")).when(F.col("l_texts") >= least_texts, F.col(f"l_{name}")).otherwise(F.lit(every[f"a_{name}"]).cast("double"))
-        for name in values
-    }
-    groups = if_small(checkpointed(groups.select("s_lang", "s_source", *[x.alias(f"most_{name}") for name, x in limit.items()])))
+    # sketches meet in the small tables of groups; rows then need one join
+    tongues = added(merged(own, ["lang"]), ["lang"], steps(merged(own, []), [], parent_texts), [])
+    groups = thresholds(added(own, ["lang", "source"], steps(tongues, ["lang"], parent_texts), ["lang"]), ["lang", "source"])
+    groups = if_small(checkpointed(groups))
     out = rows.withColumn("base_failed", base_failed()).join(groups, F.col("lang").eqNullSafe(F.col("s_lang")) & F.col("source").eqNullSafe(F.col("s_source")), "left")
     verdict = ~F.col("base_failed")
     for name, value in values.items():

@@ -123,6 +123,20 @@ def test_quality(spark, odd, odd_rows, none):
     assert all(kept[k] for k in range(400)) and not any(kept[k] for k in range(400, 412))
 
 
+def test_quality_of_groups(spark):
+    """Small groups have limits of their own, and a source whose texts change is judged otherwise."""
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9))) for _ in range(3000)]
+    marked = lambda part: " ".join(w + "#" * (rng.random() < part) for w in rng.sample(words, 60))
+    rows = [(k, marked(part), lang, source) for k, (lang, source, part) in enumerate((x for x in [("en", "code", 0.4), ("en", "web", 0.0), ("de", "web", 0.0)] for _ in range(150)))]
+    probes = [(1000, marked(0.45), "en", "code"), (1001, marked(0.45), "en", "web"), (1002, marked(0.45), "de", "web")]
+    judged = lambda rs: {r.doc_id: r.kept for r in quality.judged(spark.createDataFrame(rs, "doc_id long, text string, lang string, source string")).collect()}
+    kept = judged(rows + probes)
+    assert (kept[1000], kept[1001], kept[1002]) == (True, False, False) and all(kept[k] for k in range(450))
+    changed = [(k, marked(0.4) if source == "web" and lang == "de" else t, lang, source) for k, t, lang, source in rows]
+    assert judged(changed + probes)[1002]
+
+
 def test_sketches(spark):
     rng = random.Random(4)
     rows = [(rng.choice("ab"), rng.choice([0.0, rng.lognormvariate(0, 2)])) for _ in range(4000)]
