@@ -1,13 +1,14 @@
 """Line dedup by a segment-partition edit join, in DataFrame operations alone.
 
 Lines are compared without white space at their ends. Equal lines form one
-class at once. Two different lines are linked if at most ``threshold`` edits
-(insertions, deletions, substitutions of a code point) turn one into the other.
-A line is cut into threshold + 1 segments, so a linked line, which has
-threshold edits at most, holds one of them unchanged, and not far from its
-place. Segments are indexed by length of the line, number and content; a line
-probes the index with those of its substrings that can match, for its own length
-and for each length down to ``threshold`` less.
+class at once. Two different lines are linked if so few edits (insertions, deletions,
+substitutions of a code point) turn one into the other as the shorter allows: one
+for every ``EDIT_CHARS`` of its code points, ``THRESHOLD`` at most. Lines too
+short for an edit are only compared for equality. A line is cut into one segment
+more than it allows edits, so a linked longer line holds one of them unchanged,
+and not far from its place. Segments are indexed by length of the line, number
+and content; a line probes the index with those of its substrings that can match,
+for its own length and for each length that is less by what edits allow.
 
 Candidates must nearly agree in which letters occur an odd number of times
 before they are emitted, and in the counts of all letters before their texts
@@ -25,8 +26,8 @@ from quarry.llm.common import checkpointed, if_small
 from quarry.llm.components import components
 
 THRESHOLD = 2
-#: Shorter lines are only compared for equality: from here on every line has a character in each segment.
-MIN_CHARS = THRESHOLD + 1
+#: So many code points of the shorter line allow an edit; two edits on a word of three letters would link words that have nothing in common.
+EDIT_CHARS = 10
 #: Characters whose counts a pair of lines must nearly share before its edit distance is computed.
 COUNTED_CHARS = " etaoinshrdlucmfwypvbgkjqxz0123456789.,-"
 #: Lines that are indexed by one key in one place; where there are more, they are dealt out and what looks them up goes to all of these places.
@@ -73,12 +74,23 @@ def _places(length: Column, shorter: Column, i: Column, moved: Column, threshold
     return at, size, (other >= 0) & (at >= 1) & (at + size - 1 <= length)
 
 
-def _probes(line: Column, threshold: int, min_chars: int) -> Column:
-    """Keys of the substrings that can equal a segment of a line up to ``threshold`` shorter, in the order of ``_moves``; null where none fits."""
+def allowed(length: Column, threshold: int, edit_chars: int) -> Column:
+    """How many edits may part a line of ``length`` code points from one that isn't shorter."""
+    return F.least(F.call_function("div", length, F.lit(edit_chars)), F.lit(threshold)).cast("int")
+
+
+def _looks(threshold: int) -> list[tuple[int, int, int, int]]:
+    """Everything a line looks up: for lines that allow so many edits, the moves for that many."""
+    return [(edits, *move) for edits in range(1, threshold + 1) for move in _moves(edits)]
+
+
+def _probes(line: Column, threshold: int, edit_chars: int) -> Column:
+    """Keys of the substrings that can equal a segment of a line that isn't longer, in the order of ``_looks``; null where none fits."""
     length, keys = F.char_length(line), []
-    for shorter, i, moved in _moves(threshold):
-        at, size, fits = _places(length, F.lit(shorter), F.lit(i), F.lit(moved), threshold)
-        keys.append(F.when(fits & (length - shorter >= min_chars), F.xxhash64(F.lit(0).cast("long"), length - shorter, F.lit(i), F.substring(line, at, size))))
+    for edits, shorter, i, moved in _looks(threshold):
+        at, size, fits = _places(length, F.lit(shorter), F.lit(i), F.lit(moved), edits)
+        fits = fits & (allowed(length - shorter, threshold, edit_chars) == edits)
+        keys.append(F.when(fits, F.xxhash64(F.lit(0).cast("long"), length - shorter, F.lit(i), F.substring(line, at, size))))
     return F.array(*keys)
 
 
@@ -164,15 +176,24 @@ def edit_distance_within(a: Column, b: Column, threshold: int) -> Column:
     return F.when(F.abs(F.char_length(a) - F.char_length(b)) <= threshold, _let(_trimmed(a, b), whole))
 
 
-def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
-    """All pairs of different lines of ``min_chars`` code points or more that are linked, each once: a and b (keys), distance."""
+def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, edit_chars: int = EDIT_CHARS) -> DataFrame:
+    """All pairs of different lines that are linked, each once: a and b (keys), distance.
+
+    Two lines may differ by one edit for every ``edit_chars`` (two or more)
+    code points of the shorter, and by ``threshold`` at most. Null and empty
+    texts hold no line, lines of any length are compared as a whole, and
+    repeated rows add no link; of pairs at the same distance each counts. An
+    empty table gives an empty table.
+    """
+    if edit_chars < 2:
+        raise ValueError("an edit needs two code points or more, so that no segment is empty")
     line = F.col("line")
-    long = lines(docs, id_col, text_col).filter(F.char_length("line") >= min_chars)
+    long = lines(docs, id_col, text_col).filter(F.char_length("line") >= edit_chars)
     # copies go before anything is met; what a line is found by depends on the line alone. Half the key tells lines apart
     # here, and where it doesn't, all lines that share it are checked
-    probes = checkpointed(long.select("k1", _probes(line, threshold, min_chars).alias("probes")).distinct())
+    probes = checkpointed(long.select("k1", _probes(line, threshold, edit_chars).alias("probes")).distinct())
     looks = probes.select("k1", F.posexplode("probes").alias("move", "key")).filter("key is not null")
-    in_place = [k for k, (shorter, _, moved) in enumerate(_moves(threshold)) if shorter == moved == 0]
+    in_place = [k for k, (_, shorter, _, moved) in enumerate(_looks(threshold)) if shorter == moved == 0]
     looks = looks.select("k1", "key", F.col("move").isin(in_place).alias("own"))
     shared = _shared(looks)
     posts = checkpointed(looks.join(if_small(shared), "key"))
@@ -184,12 +205,14 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
     # counts first, texts for what is left
     side = lambda rows, x: rows.select(F.col("k1").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in rows.columns if c != "k1"])
     differ = F.aggregate(F.zip_with("a_counts", "b_counts", lambda x, y: F.abs(x - y)), F.lit(0), lambda x, y: x + y)
-    near = (F.abs(F.col("a_n") - F.col("b_n")) <= threshold) & (differ <= 2 * threshold)
+    most = allowed(F.least("a_n", "b_n"), threshold, edit_chars)
+    near = (F.abs(F.col("a_n") - F.col("b_n")) <= most) & (differ <= 2 * most)
     pairs = pairs.join(side(light.drop("odd"), "a"), "a").join(side(light.drop("odd"), "b"), "b").filter(near).select("a", "b").distinct()
     whole = texts.select("k1", F.struct("k1", "k2").alias("key"), "line")
     found = pairs.join(side(whole, "a"), "a").join(side(whole, "b"), "b").repartition(F.col("a"), F.col("b"))
-    checked = found.select(F.col("a_key").alias("a"), F.col("b_key").alias("b"), edit_distance_within(F.col("a_line"), F.col("b_line"), threshold).alias("distance"))
-    return checked.filter("distance is not null and a <> b").distinct()
+    most = allowed(F.least(F.char_length("a_line"), F.char_length("b_line")), threshold, edit_chars)
+    checked = found.select(F.col("a_key").alias("a"), F.col("b_key").alias("b"), edit_distance_within(F.col("a_line"), F.col("b_line"), threshold).alias("distance"), most.alias("most"))
+    return checked.filter("distance <= most and a <> b").select("a", "b", "distance").distinct()
 
 
 def _shared(looks: DataFrame) -> DataFrame:
@@ -207,17 +230,18 @@ def _met(posts: DataFrame, threshold: int) -> DataFrame:
     return own.join(looks, ["key", "place"]).filter(near & (F.col("x") != F.col("y"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, edit_chars: int = EDIT_CHARS) -> DataFrame:
     """One row for every distinct line with a word, and the class of linked lines that it belongs to.
 
     Columns: k1 and k2 (the line's key), doc_id (the smallest that holds it),
     n_copies (how often it occurs), n_links (different lines that it is linked
     to), class_k1 and class_k2 (the smallest key reachable), class_doc_id (the
     smallest id that holds a line of the class). Rows that repeat an id count
-    as they are; null ids hold lines, but name no class that has another id. An
-    empty table gives an empty table.
+    as they are; null ids hold lines, but name no class that has another id. Lines
+    of any length are compared as a whole; of equal ids or keys either names the
+    class. An empty table gives an empty table.
     """
-    found = checkpointed(links(docs, id_col, text_col, threshold, min_chars))
+    found = checkpointed(links(docs, id_col, text_col, threshold, edit_chars))
     key = F.struct("k1", "k2")
     degree = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     near = checkpointed(components(found.select("a", "b")).join(degree, "node", "left"))
@@ -230,7 +254,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     )
 
 
-def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, edit_chars: int = EDIT_CHARS) -> DataFrame:
     """One row for every line with a word in every document, and the class of linked lines that it belongs to.
 
     Columns: doc_id and at (the line's place from 0), k1 and k2 (its key),
@@ -241,7 +265,7 @@ def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows of one document. A null text has no line; an empty table gives an
     empty table.
     """
-    found = checkpointed(links(docs, id_col, text_col, threshold, min_chars))
+    found = checkpointed(links(docs, id_col, text_col, threshold, edit_chars))
     degree = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     near = components(found.select("a", "b")).join(degree, "node")
     near = if_small(checkpointed(near.select(F.col("node.k1").alias("k1"), F.col("node.k2").alias("k2"), F.col("component.k1").alias("c1"), F.col("component.k2").alias("c2"), "n_links")))
@@ -260,13 +284,13 @@ def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, edit_chars: int = EDIT_CHARS) -> DataFrame:
     """``docs`` without the lines whose class has an earlier line, by id and place in the text; columns stay as they are.
 
     Lines without a word stay. Ids are taken as unique; where one repeats, its
     rows lose what any of them would.
     """
-    classed = checkpointed(classes(docs, id_col, text_col, threshold, min_chars).filter("n_copies > 1 or n_links > 0").select("k1", "k2", "class_k1", "class_k2"))
+    classed = checkpointed(classes(docs, id_col, text_col, threshold, edit_chars).filter("n_copies > 1 or n_links > 0").select("k1", "k2", "class_k1", "class_k2"))
     placed = lines(docs, id_col, text_col).select("doc_id", "at", "k1", "k2").join(classed, ["k1", "k2"]).withColumn("place", F.struct("doc_id", "at"))
     first = placed.groupBy("class_k1", "class_k2").agg(F.min("place").alias("first"))
     later = placed.join(first, ["class_k1", "class_k2"]).filter(F.col("place") != F.col("first")).groupBy("doc_id").agg(F.collect_set("at").alias("__gone")).withColumnRenamed("doc_id", "__id")

@@ -188,17 +188,19 @@ def test_edit_distance(spark, threshold):
     assert all((distance(r.a, r.b) if distance(r.a, r.b) <= threshold else None) == r.d for r in rows)
 
 
-@pytest.mark.parametrize("threshold", [1, 2])
-def test_line_links(spark, threshold):
+@pytest.mark.parametrize(("threshold", "edit_chars"), [(linededup.THRESHOLD, linededup.EDIT_CHARS), (1, 4), (2, 4), (3, 5)])
+def test_line_links(spark, threshold, edit_chars):
     rng = random.Random(6)
-    base = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(8, 20))).strip() or "x" for _ in range(30)]
-    lines = [x for _ in range(160) if (x := edited(rng, rng.choice(base), "abcx").strip())]
+    base = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(2, 32))).strip() or "x" for _ in range(30)]
+    lines = [x for _ in range(220) if (x := edited(rng, rng.choice(base), "abcx").strip())]
     docs = spark.createDataFrame([(i, "\n".join(lines[4 * i : 4 * i + 4])) for i in range(-(-len(lines) // 4))], "doc_id long, text string")
-    found = linededup.links(docs, threshold=threshold, min_chars=6)
+    found = linededup.links(docs, threshold=threshold, edit_chars=edit_chars)
     text = {(r.k1, r.k2): r.line for r in linededup.lines(docs).collect()}
-    got = Counter(frozenset((text[tuple(r.a)], text[tuple(r.b)])) for r in found.collect())
+    got = Counter((frozenset((text[tuple(r.a)], text[tuple(r.b)])), r.distance) for r in found.collect())
     own = sorted(set(lines))
-    want = {frozenset((x, y)) for i, x in enumerate(own) for y in own[i + 1 :] if min(len(x), len(y)) >= 6 and distance(x, y) <= threshold}
+    most = lambda x, y: min(threshold, min(len(x), len(y)) // edit_chars)
+    want = {(frozenset((x, y)), d) for i, x in enumerate(own) for y in own[i + 1 :] if (d := distance(x, y)) <= most(x, y)}
+    assert {d for _, d in want} >= set(range(1, threshold))
     assert set(got) == want and set(got.values()) <= {1}
 
 
@@ -228,6 +230,6 @@ def test_line_occurrences(spark, none, tmp_path):
 
 
 def test_short_line_links(spark):
-    """By default lines are linked from three characters on."""
-    docs = spark.createDataFrame([(1, "Page 1 of 20\nabc"), (2, "Page 17 of 20\nxbc\nno")], "doc_id long, text string")
-    assert sorted(r.distance for r in linededup.links(docs).collect()) == [1, 1]
+    """Ten code points allow an edit, twenty two; shorter lines are linked to none."""
+    docs = spark.createDataFrame([(1, "Page 1 of 20\nLe.\nabc"), (2, "Page 17 of 20\nAs.\nxbc\nno"), (3, "Page 177 of 20"), (4, "Page 1 of 20 on paper"), (5, "Page 177 of 20 on paper")], "doc_id long, text string")
+    assert sorted(r.distance for r in linededup.links(docs).collect()) == [1, 1, 2]
