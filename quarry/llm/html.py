@@ -6,7 +6,7 @@ whose text is the same wherever it occurs is template; slots whose text varies
 hold content, and the container with most of it is the main slot. Each page is
 then aligned with its host's wrapper, and what isn't template inside the main
 slot becomes its text. Menus, adverts and the like vary as well; they are told
-by what their elements are and are called.
+by what their elements are and are called, where the alignment leaves that open.
 """
 
 from __future__ import annotations
@@ -26,10 +26,13 @@ from quarry.llm.common import checkpointed, draw, in_batches
 
 #: Pages of a host that teach its wrapper, about.
 PAGES_PER_HOST = 12
-#: A text is template if at least so many aligned pages have it and none has another.
+#: A text is template if at least so many aligned pages have it and none has another; inside the main slot, if it is a block that ``NEARLY_ALL`` of them have.
 LEAST_EQUAL = 4
-#: Nodes of a page that induction looks at; beyond it a page teaches nothing, but is extracted by its host's wrapper like any other.
-MAX_NODES = 4_000
+NEARLY_ALL = 0.9
+#: Characters of a block's text outside links from which on it counts as prose, and how much more such text weighs where the main slot is chosen.
+PROSE_FROM, PROSE_WEIGHT = 20, 10
+#: Pairs of siblings that are all compared; among more, those within a band about the diagonal, so wide that about ``BAND_PAIRS`` are compared.
+FULL_PAIRS, BAND, BAND_PAIRS = 10_000, 24, 500_000
 #: Levels of a page's tree; what is nested deeper lies side by side on the last level, in its order.
 MAX_DEPTH = 150
 #: Hosts whose shares (a name and a number) are sent to all executors at most; with more, pages meet them in a shuffled join.
@@ -56,6 +59,8 @@ ASIDE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising advertorial sponsor sponsored banner promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay nav navbar navigation menu breadcrumb breadcrumbs "
     "header masthead footer foot sidebar aside widget widgets related recommended share sharing social newsletter subscribe signup login search comment comments respond reply replies disqus discussion toolbar pagination pager skip legal copyright".split()
 )
+#: Those of them that name parts of an article as well: inside the main slot the alignment decides.
+WEAK_WORDS = frozenset("discussion legal copyright search alert header head foot reply replies".split())
 MAIN_TAGS = ("article", "main")
 HEADINGS = tuple(f"h{k}" for k in range(1, 7))
 MAIN_WORDS = frozenset("article content main post entry story body".split())
@@ -69,17 +74,19 @@ _WORD = re.compile(r"[a-z0-9]+")
 class Node:
     """An element: its tag, its label for matching, its children (nodes and strings)."""
 
-    __slots__ = ("tag", "label", "children", "leaf", "aside", "main")
+    __slots__ = ("tag", "label", "children", "leaf", "aside", "weak", "main", "volume")
 
     def __init__(self, tag: str, attributes: str = ""):
         self.tag, self.children, self.label, self.leaf = tag, [], tag, True
-        self.aside, self.main = tag in ASIDE_TAGS, tag in MAIN_TAGS
+        self.aside, self.weak, self.main, self.volume = tag in ASIDE_TAGS, False, tag in MAIN_TAGS, 0
         if attributes and not attributes.isspace():
             for m in _ATTRIBUTE.finditer(attributes):
                 name, value = m[1].lower(), next((x for x in m.groups()[1:] if x is not None), "")
                 if name in ("class", "id"):
                     words = _WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())
-                    self.aside |= not ASIDE_WORDS.isdisjoint(words) and tag not in ("html", "body", *MAIN_TAGS, *HEADINGS)
+                    said = ASIDE_WORDS.intersection(words) if tag not in ("html", "body", *MAIN_TAGS, *HEADINGS) else frozenset()
+                    self.aside |= not said <= WEAK_WORDS
+                    self.weak |= bool(said)
                     self.main |= tag in ("div", "section") and not MAIN_WORDS.isdisjoint(words)
                     if name == "class" and words:
                         self.label = f"{tag}.{words[0]}"
@@ -103,6 +110,29 @@ class Node:
     template_text = text
 
 
+def weigh(root: Node) -> None:
+    """Notes how much text each element holds, prose more than the rest; none in what is never main text."""
+    order, stack = [], [(root, None, False)]
+    while stack:
+        x, block, link = stack.pop()
+        if x.aside or x.weak or x.tag in RAW:
+            continue
+        link = link or x.tag == "a"
+        block = x if block is None or x.tag in BLOCKS else block
+        order.append((x, block, link))
+        stack += [(c, block, link) for c in x.children if not isinstance(c, str)]
+    prose: dict[int, int] = {}
+    for x, block, link in order:
+        own = sum(len(c.strip()) for c in x.children if isinstance(c, str))
+        x.volume = own
+        if not link:
+            prose[id(block)] = prose.get(id(block), 0) + own
+    for x, block, _ in reversed(order):  # children come behind their parents
+        if x is block:
+            x.volume += PROSE_WEIGHT * max(0, prose.get(id(x), 0) - PROSE_FROM)
+        x.volume += sum(c.volume for c in x.children if not isinstance(c, str))
+
+
 def parse(page: str) -> tuple[Node, int]:
     """The tree of a page and its number of nodes. Tags may be missing or cut off; comments and raw elements leave no text."""
     root = Node("#root")
@@ -192,8 +222,18 @@ class Wrapper:
         """What extraction needs of the tree: the way to the main slot, and template; None if there is neither."""
         if self.constant:
             return Wrapper(self.label, self.pages, self.text)
-        kept = [c for x in self.children if (c := x.pruned()) is not None]
-        return Wrapper(self.label, self.pages, slot=self.slot, children=kept) if kept or self.slot else None
+        found = [x.pruned() for x in self.children]
+        if not self.slot and all(c is None for c in found):
+            return None
+        # what could be taken for the way to the slot stays beside it, and what tells the slot from that
+        ways = {c.label for c in found if c is not None and not c.text}
+        like = lambda x: 2 * x.pages >= self.pages and (self.slot or x.label in ways)
+        children = [c or x.bare(1 if self.slot else 2) for x, c in zip(self.children, found, strict=True) if c is not None or like(x)]
+        return Wrapper(self.label, self.pages, slot=self.slot, children=children)
+
+    def bare(self, levels: int) -> Wrapper:
+        """The shape alone, of what most pages have."""
+        return Wrapper(self.label, self.pages, children=[c.bare(levels - 1) for c in self.children if levels and 2 * c.pages >= self.pages])
 
     def to_list(self) -> list:
         return [self.label, self.pages, self.text, self.slot, [c.to_list() for c in self.children]]
@@ -203,7 +243,7 @@ class Wrapper:
         return cls(x[0], x[1], x[2], slot=x[3], children=[cls.from_list(c) for c in x[4]])
 
 
-def _weight(w: Wrapper, n: Node, exact: bool) -> int:
+def _weight(w: Wrapper, n: Node) -> int:
     """Simple tree matching: the size of the largest match that keeps roots, levels and order."""
     if w.label != n.label:
         return 0
@@ -212,42 +252,56 @@ def _weight(w: Wrapper, n: Node, exact: bool) -> int:
     own = elements(n)
     if not own or not w.children:
         return 1
-    return 1 + _table(w, own, exact)[0][-1][-1]
+    return 1 + _table(w, own)[0][-1][-1]
+
+
+def _band(n: int, m: int) -> list[tuple[int, int]]:
+    """For each row of a table of n and m runs, the first and the last column that is looked at; neighbouring rows overlap."""
+    half = m if n * m <= FULL_PAIRS else max(m // n + 2, min(BAND, BAND_PAIRS // (2 * n)))
+    return [(max(0, i * m // n - half), min(m, i * m // n + half)) for i in range(n + 1)]
 
 
-def _table(w: Wrapper, own: list[Node], exact: bool):
+def _table(w: Wrapper, own: list[Node]):
     """Best total weights of aligning a wrapper node's children with a page node's, by runs; and the weights of run pairs.
 
-    If ``exact``, template meets nothing but its own text, in runs as well.
+    Template meets nothing but its own text, in runs as well.
     """
-    template = {(c.label, text) for c in w.children if exact and (text := c.template_text()) is not None}
+    template = {(c.label, text) for c in w.children if (text := c.template_text()) is not None}
     left, right = _runs(w.children, template), _runs(own, template)
-    best = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
-    pair = [[0] * len(right) for _ in left]
+    band = _band(len(left), len(right))
+    best, pair = [[0] * (band[0][1] + 1)], []
     for i, (a, xs) in enumerate(left):
-        above, here, weights = best[i], best[i + 1], pair[i]
-        for j, (b, ys) in enumerate(right):
-            if a == b:
-                weights[j] = min(len(xs), len(ys)) if len(xs) > 1 or len(ys) > 1 else 2 if a[1] is not None else _weight(xs[0], ys[0], exact)
-                here[j + 1] = max(above[j + 1], here[j], above[j] + weights[j])
-            else:
-                here[j + 1] = max(above[j + 1], here[j])
-    return best, pair, left, right
-
-
-def _aligned(w: Wrapper, own: list[Node], exact: bool = False) -> list[tuple[Wrapper | None, Node | None]]:
+        above, (low, high), (first, last) = best[i], band[i], band[i + 1]
+        here, weights, before = [], [], -1
+        for j in range(first, last + 1):
+            most, weight = max(before, above[j - low] if low <= j <= high else -1), 0
+            if j and low < j <= high + 1 and a == right[j - 1][0]:
+                ys = right[j - 1][1]
+                weight = min(len(xs), len(ys)) if len(xs) > 1 or len(ys) > 1 else 2 if a[1] is not None else _weight(xs[0], ys[0])
+                most = max(most, above[j - 1 - low] + weight)
+            here.append(most)
+            weights.append(weight)
+            before = most
+        best.append(here)
+        pair.append(weights)
+    return best, pair, left, right, band
+
+
+def _aligned(w: Wrapper, own: list[Node]) -> list[tuple[Wrapper | None, Node | None]]:
     """The children of both in order, matched ones together."""
     if not w.children or not own:
         return [(x, None) for x in w.children] + [(None, y) for y in own]
-    best, pair, left, right = _table(w, own, exact)
+    best, pair, left, right, band = _table(w, own)
+    at = lambda i, j: best[i][j - band[i][0]] if band[i][0] <= j <= band[i][1] else -1
     i, j, out = len(left), len(right), []
     while i or j:
-        if i and j and pair[i - 1][j - 1] and best[i][j] == best[i - 1][j - 1] + pair[i - 1][j - 1]:
+        weight = pair[i - 1][j - band[i][0]] if i and j else 0
+        if weight and at(i, j) == at(i - 1, j - 1) + weight:
             i, j = i - 1, j - 1
             xs, ys = left[i][1], right[j][1]
             n = min(len(xs), len(ys))
             out += [(None, y) for y in reversed(ys[n:])] + [(x, None) for x in reversed(xs[n:])] + list(zip(reversed(xs[:n]), reversed(ys[:n]), strict=True))
-        elif j and (not i or best[i][j] == best[i][j - 1]):
+        elif j and (not i or at(i, j) == at(i, j - 1)):
             j -= 1
             out += [(None, y) for y in reversed(right[j][1])]
         else:
@@ -262,8 +316,8 @@ def _learn(w: Wrapper, n: Node) -> None:
     w.text = text if w.pages == 0 or w.text == text else None
     w.pages += 1
     w.main |= n.main
-    if not n.aside and n.tag not in RAW:
-        w.volume += len(text)
+    w.volume += n.volume
+    if not n.aside and not n.weak and n.tag not in RAW:
         merged = []
         for x, y in _aligned(w, elements(n)):
             if y is not None:
@@ -278,10 +332,10 @@ def induce(pages: list[str]) -> Wrapper:
     """The wrapper of one host's pages. Of equal pages one counts."""
     root = Wrapper("#root")
     for page in sorted(set(pages)):
-        tree, count = parse(page)
-        if count <= MAX_NODES:
-            _learn(root, tree)
-    # the main slot: an element that says so, else the deepest that holds nearly all text that varies
+        tree, _ = parse(page)
+        weigh(tree)
+        _learn(root, tree)
+    # the main slot: an element that says so, else the deepest that holds nearly all text, prose above all
     best, stack = None, [(root, 0)]
     while stack:
         w, depth = stack.pop()
@@ -299,36 +353,46 @@ def induce(pages: list[str]) -> Wrapper:
         w = stack.pop()
         inside.append(w)
         if w.constant:
-            equal += len(w.text) * w.pages
+            equal += w.volume
         else:
             stack += w.children
     if 2 * equal >= best.volume:
         for w in inside:
             w.text = None
+    # template are only whole blocks of the slot that nearly all pages have; what some share is their own, and so are headings
+    # and pieces of blocks that vary
+    stack = [(w, True) for w in best.children]
+    while stack:
+        w, whole = stack.pop()
+        if w.constant and (not whole or w.pages < NEARLY_ALL * best.pages or w.label.split(".")[0] in HEADINGS):
+            w.text = None
+        if not w.constant:
+            stack += [(c, whole and w.volume >= 0.8 * best.volume) for c in w.children]
     return root.pruned() or Wrapper(root.label, slot=best is root)
 
 
 def _match(w: Wrapper, n: Node, found: dict[int, Wrapper]) -> bool:
     """Notes the wrapper's node for every node of a page that is aligned with one; true if the main slot is among them."""
     found[id(n)] = w
-    if n.aside:
+    if n.aside or n.weak and not w.slot:
         return False
     slot = w.slot
     if w.children and (own := elements(n)):
-        for x, y in _aligned(w, own, exact=True):
+        for x, y in _aligned(w, own):
             if x is not None and y is not None:
                 slot |= _match(x, y, found)
     return slot
 
 
-def _collect(node: Node, found: dict[int, Wrapper], inside: bool, blocks: list[list[str]]) -> None:
-    if node.aside or node.tag in RAW:
+def _collect(node: Node, found: dict[int, Wrapper], inside: bool, blocks: list[list[str]], weak: bool = True) -> None:
+    """Adds the text of what isn't template or aside; ``weak`` says whether weak words count."""
+    if node.aside or node.tag in RAW or weak and node.weak:
         return
     w = found.get(id(node))
     if w is not None:
         if inside and w.constant and node.text() == w.text:
             return  # the same on all pages
-        inside = inside or w.slot
+        inside, weak = inside or w.slot, weak and not w.slot
     block = node.tag in BLOCKS
     if block:
         blocks.append([])
@@ -339,7 +403,7 @@ def _collect(node: Node, found: dict[int, Wrapper], inside: bool, blocks: list[l
         elif c.tag == "br":
             blocks[-1].append(" ")
         else:
-            _collect(c, found, inside, blocks)
+            _collect(c, found, inside, blocks, weak)
     if block:
         blocks.append([])
 
@@ -349,7 +413,7 @@ def _mains(node: Node) -> list[Node]:
     found, stack = [], [node]
     while stack:
         n = stack.pop()
-        if n.aside:
+        if n.aside or n.weak:
             continue
         if n.main:
             found.append(n)
@@ -366,9 +430,10 @@ def extract(page: str | None, wrapper: Wrapper | None) -> str:
     if wrapper is not None and _match(wrapper, tree, found):
         _collect(tree, found, False, blocks)
     else:  # unlike its host's other pages
-        for n in _mains(tree) or [tree]:
+        mains = _mains(tree)
+        for n in mains or [tree]:
             blocks.append([])
-            _collect(n, {}, True, blocks)
+            _collect(n, {}, True, blocks, weak=not mains)
     return "\n".join(line for b in blocks if (line := " ".join("".join(b).split())))
 
 

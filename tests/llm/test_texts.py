@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -267,6 +268,35 @@ def test_shared_article():
     assert html.extract(page(9), wrapper).endswith("Heading\nParagraph one.\nParagraph two.\nSeen 9 times")
 
 
+def test_text_of_some_pages():
+    """A heading that half of a host's articles have is theirs, and so is what an article calls discussion or legal; a box on all pages goes."""
+    page = lambda k: f"<body><nav>menu {k}</nav><article><h1>Title {k}</h1><div class='box'><h2>Follow us</h2><p>every day</p></div><p>Text {k} says more than the boxes around it.</p>{'<h2>References</h2><p>One source</p>' if k % 2 else ''}<div class='discussion'>We find {k}</div><p class='legal'>Law {k}</p></article></body>"
+    wrapper = html.Wrapper.from_list(html.induce([page(k) for k in range(12)]).to_list())
+    for k in (3, 4, 77):
+        assert html.extract(page(k), wrapper) == "\n".join([f"Title {k}", f"Text {k} says more than the boxes around it.", *(["References", "One source"] if k % 2 else []), f"We find {k}", f"Law {k}"])
+    assert html.extract(page(3), None).endswith("We find 3\nLaw 3")
+
+
+@pytest.mark.parametrize("menu", ["<div>Menu {0} item</div>", "<div><p>Menu {0} a</p><p>Menu {0} b</p></div>", "<ul><li>Menu {0}</li></ul>", "<div>" + "".join(f"<a>Menu {{0}} item {i}</a>" for i in range(40)) + "</div>"])
+def test_article_beside_varying_menu(menu):
+    """The article that all pages of a host share is kept, not the menu that varies, though both are plain elements."""
+    lines = ["A long sentence of the article, and another of its sentences after it. " * 4, "The second paragraph, with less to say."]
+    page = lambda k: f"<body>{menu.format(k)}<div>{''.join(f'<p>{x}</p>' for x in lines)}</div></body>"
+    wrapper = html.Wrapper.from_list(html.induce([page(k) for k in range(8)]).to_list())
+    assert html.extract(page(2), wrapper) == "\n".join(x.strip() for x in lines)
+
+
+def test_many_siblings():
+    """Thousands of siblings are aligned within a band: the work grows with their number, and template among them is still found."""
+    page = lambda k, n: "<body><article>" + "".join(f"<h2>h {k} {i}</h2><p>p <b>{k} {i}</b></p>" for i in range(n)) + "</article><div><p>Read also</p></div></body>"
+    began = time.process_time()
+    wrapper = html.induce([page(k, 1300) for k in range(2)])
+    assert time.process_time() - began < 10
+    assert html.extract(page("Z", 1300), wrapper) == "\n".join(x for i in range(1300) for x in (f"h Z {i}", f"p Z {i}"))
+    band = html._band(3, 40_000)
+    assert band[0][0] == 0 and band[-1][1] == 40_000 and all(low <= high for (_, high), (low, _) in zip(band, band[1:], strict=False))
+
+
 def test_odd_markup():
     """Deep nesting, quotes in unquoted values, an unclosed value, a heading that names itself a header."""
     deep = "<div>" * 50_000 + "<p>one</p>two" + "</div>" * 50_000
