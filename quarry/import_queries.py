@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import analysis, trees
 from quarry.operators import ingest
-from quarry.sources import catalog
+from quarry.sources import catalog, reader
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -199,10 +199,31 @@ def catalog_delete(spark: SparkSession, d: str) -> DataFrame:
     return _left(store)
 
 
+def _stored_orders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Orders as stored documents: the flags of their finished lines must be one, their priority's digits a number, comments of lines may be any."""
+    done = table(spark, sf_dir, "lineitem").filter("l_linestatus = 'F'").groupBy(F.col("l_orderkey").alias("order")).agg(F.array_sort(F.collect_set("l_returnflag")).alias("kind"))
+    line = F.array(F.expr("substring(o_orderpriority, 1, CAST(o_orderkey % 2 AS INT) + 1)"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), line.alias("start_line"), F.array("o_orderstatus", "o_orderpriority").alias("uses"))
+    rows = rows.join(done, F.col("id") == F.col("order"), "left").drop("order")
+    return reader.read(rows, {"kind": reader.Need(), "start_line": reader.Need("int"), "uses": reader.Need(many=True), "type": reader.Need(required=False)})
+
+
+def read_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with stored documents, by field and problem."""
+    _, errors = _stored_orders(spark, sf_dir)
+    return errors.groupBy("field", "problem").agg(F.count(F.lit(1)).alias("documents"), F.sum("found").alias("found"))
+
+
+def read_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored documents that hold what they must, typed."""
+    good, _ = _stored_orders(spark, sf_dir)
+    return good.select("id", "kind", "start_line", F.array_join("uses", ",").alias("uses"), "type")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         tree_references, proof_references, type_printer, pure_names, last_blank_lines, segment_continuations, adjacency, extract_blocks, extract_types, extract_constants, extract_facts,
-        sanity_warnings, symbol_rules, catalog_upsert, catalog_delete,
+        sanity_warnings, symbol_rules, catalog_upsert, catalog_delete, read_errors, read_valid,
     )
 }

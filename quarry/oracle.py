@@ -151,3 +151,13 @@ ORACLE_SQL = {
     "session_selection": r"SELECT DISTINCT string_split(regexp_extract(url, '//([^/]+)', 1), '.')[1] AS session FROM pages",
     "delete_by_query": "SELECT o_orderpriority AS command, count(*) AS n FROM orders WHERE o_orderpriority <> '1-URGENT' GROUP BY 1",
 }
+
+_STORED = """WITH done AS (SELECT l_orderkey, list_sort(list(DISTINCT l_returnflag)) AS kinds FROM lineitem WHERE l_linestatus = 'F' GROUP BY l_orderkey),
+stored AS (SELECT o_orderkey AS id, coalesce(kinds, []) AS kinds, substring(o_orderpriority, 1, CAST(o_orderkey % 2 AS INT) + 1) AS line, o_orderstatus || ',' || o_orderpriority AS uses
+  FROM orders LEFT JOIN done ON o_orderkey = l_orderkey)"""
+ORACLE_SQL |= {
+    "read_errors": f"""{_STORED}, errors AS (SELECT 'kind' AS field, CASE WHEN len(kinds) = 0 THEN 'missing' ELSE 'multiple' END AS problem, len(kinds) AS found FROM stored WHERE len(kinds) <> 1
+  UNION ALL SELECT 'start_line', CASE WHEN line IS NULL THEN 'missing' ELSE 'malformed' END, CASE WHEN line IS NULL THEN 0 ELSE 1 END FROM stored WHERE try_cast(line AS INT) IS NULL)
+SELECT field, problem, count(*) AS documents, CAST(sum(found) AS BIGINT) AS found FROM errors GROUP BY field, problem""",
+    "read_valid": f"""{_STORED} SELECT id, kinds[1] AS kind, CAST(line AS INT) AS start_line, uses, CAST(NULL AS VARCHAR) AS type FROM stored WHERE len(kinds) = 1 AND try_cast(line AS INT) IS NOT NULL""",
+}

@@ -70,19 +70,24 @@ class Engine:
         return default_first([*self.corpora, *(self.catalog.names() if self.catalog else [])])
 
     def _page(self, rows: DataFrame, q: FilterQuery) -> tuple[DataFrame, int]:
+        """Id and score of a page's rows, and the number of all; the search itself runs once for both."""
         if q.page_size < 0:
             raise InvalidQuery(f"a page of {q.page_size}")
         if q.cursor is not None and not q.cursor.strip():
             raise InvalidQuery("a blank cursor")
-        return paging.page(rows, q.page_size, q.cursor), rows.count()
+        hits = rows.select("id", "score").persist()
+        try:
+            page, count = paging.page(hits, q.page_size, q.cursor).collect(), hits.count()
+        finally:
+            hits.unpersist()
+        page = self.spark.createDataFrame(page, hits.schema)
+        return F.broadcast(page) if q.page_size <= MAX_SENT_PAGE else page, count
 
     @timed
     def search(self, index: str, q: FilterQuery) -> ResultList:
         """Blocks by rank, each with all its entities in short."""
         corpus = self.corpus(index)
-        page, count = self._page(compiler.blocks(corpus, q.filters).select("id", "score"), q)
-        if q.page_size <= MAX_SENT_PAGE:
-            page = F.broadcast(page)
+        page, count = self._page(compiler.blocks(corpus, q.filters), q)
         page = corpus.blocks.join(page, "id")  # wide columns of this page's blocks alone
         short = [c for c in ("id", "kind", "name") if c in corpus.entities.columns]
         nested = compiler.with_children(Corpus(corpus.blocks, corpus.entities.select("block_id", *short)), page)
@@ -92,8 +97,9 @@ class Engine:
     @timed
     def search_documents(self, index: str, q: FilterQuery) -> ResultList:
         """Blocks and entities by rank, each by its own fields."""
-        page, count = self._page(compiler.documents(self.corpus(index), q.filters), q)
-        rows = page.collect()
+        corpus = self.corpus(index)
+        page, count = self._page(compiler.documents(corpus, q.filters), q)
+        rows = corpus.documents().join(page, "id").orderBy(F.desc("score"), "id").collect()
         return ResultList(rows, count, paging.next_cursor(rows, q.cursor))
 
     @timed

@@ -209,3 +209,18 @@ def test_containment_shuffles_once(spark):
     assert [r["__block"] for r in sorted(found.collect(), key=lambda r: r["__at"])] == ["a", "a", None, "b", None, "c", "c", "d", None, None, "a"]
     planned = ingest.contained(points, blocks)._jdf.queryExecution().executedPlan().toString()
     assert planned.count("Exchange hashpartitioning") == 1 and "Join" not in planned
+
+
+def test_reader(spark):
+    from quarry.sources.reader import Need, read
+
+    rows = spark.createDataFrame(
+        [(1, ["a"], ["7"], None, "x"), (2, [], ["7", "8"], ["u", None], None), (3, ["a", "b"], ["seven"], [], "y"), (4, [None], None, ["v"], "z"), (4, [None], None, ["v"], "z")],
+        "id int, kind array<string>, line array<string>, uses array<string>, other string",
+    )
+    good, errors = read(rows, {"kind": Need(), "line": Need("int", required=False), "uses": Need(required=False, many=True), "none": Need(required=False), "other": Need(required=False)})
+    assert [tuple(r) for r in good.collect()] == [(1, "a", 7, [], None, "x")]
+    wrong = [(2, "kind", "missing", 0), (2, "line", "multiple", 2), (3, "kind", "multiple", 2), (3, "line", "malformed", 1), (4, "kind", "missing", 0), (4, "kind", "missing", 0)]
+    assert sorted(tuple(r) for r in errors.collect()) == wrong
+    good, errors = read(rows.limit(0), {"kind": Need()})
+    assert good.count() == errors.count() == 0
