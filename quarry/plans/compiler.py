@@ -13,7 +13,7 @@ import re
 from dataclasses import dataclass, field as default
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.errors import InvalidQuery
@@ -318,52 +318,109 @@ def with_children(corpus: Corpus, page: DataFrame) -> DataFrame:
 # facets
 
 
-def facet_counts(corpus: Corpus, filters: tuple[FieldFilter, ...], name: str) -> DataFrame:
-    """Counts of blocks by value of a field: columns value (string) and count.
+def facet_counts(corpus: Corpus, filters: tuple[FieldFilter, ...], names: tuple[str, ...]) -> DataFrame:
+    """Counts of blocks by value of several fields: columns field, value (string) and count. Each table is read once, whatever the number of fields.
 
-    Filters on a column of the same name don't restrict it, so that several of
-    its values can be chosen. A field of entities counts each block once.
+    Filters on a column of the same name don't restrict a field, so that several
+    of its values can be chosen. A field of entities counts each block once.
+    Every row says by a bit a column which filters it fails, and counts for the
+    fields whose own bit is all that is set; blocks and entities meet in a
+    window by block, over distinct values only. A block with very many entities
+    so has a row for each distinct value in one task, which spills.
     """
-    f = field(name)
-    if not f.facetable:
-        raise InvalidQuery(f"{name} can't be counted")
+    names = tuple(dict.fromkeys(names))
+    fields = [field(n) for n in names]
+    for f in fields:
+        if not f.facetable:
+            raise InvalidQuery(f"{f.name} can't be counted")
     parent, child = route(filters)
-    others = lambda xs: [x for x in xs if field(x.field).column != f.column]
-    if f.child:
-        rows = matching(corpus, corpus.entities, others(child), corpus.entity_terms)
-        if f.column == "doc_kind" and "doc_kind" not in rows.columns:
+    own = {f.column for f in fields}
+    of_blocks = [(k, f) for k, f in enumerate(fields) if not f.child]
+    of_entities = [(k, f) for k, f in enumerate(fields) if f.child]
+    # a pair of a field's number and a value; -1 stands for the entity that a block needs, -2 for the block itself
+    parts = []
+    if of_entities or (of_blocks and child):
+        rows, failed = _failed(corpus, corpus.entities, child, own, corpus.entity_terms)
+        if "doc_kind" not in rows.columns:
             rows = rows.withColumn("doc_kind", F.lit("Child"))
-        if others(parent):
-            rows = rows.join(matching(corpus, corpus.blocks, others(parent), corpus.block_terms).select(F.col("id").alias("__block")), F.col("block_id") == F.col("__block"), "left_semi")
-        owner = F.col("block_id")
-    else:
-        rows = matching(corpus, corpus.blocks, others(parent), corpus.block_terms)
-        if child:
-            rows = rows.join(matching(corpus, corpus.entities, child, corpus.entity_terms).select(F.col("block_id").alias("__block")), F.col("id") == F.col("__block"), "left_semi")
-        owner = F.col("id")
-    if f.column not in rows.columns:
-        rows = rows.withColumn(f.column, F.lit(None).cast("string"))
+        pairs = [_values(corpus, rows, k, f, failed(f.column)) for k, f in of_entities]
+        if of_blocks and child:
+            pairs.append(_mark(-1, failed(None)))
+        parts.append(rows.select(F.col("block_id").alias("owner"), F.lit(None).cast("long").alias("failed"), F.inline(F.concat(*pairs))).distinct())
+    if of_blocks or (of_entities and parent):
+        rows, failed = _failed(corpus, corpus.blocks, parent, own, corpus.block_terms)
+        pairs = [_values(corpus, rows, k, f, failed(f.column)) for k, f in of_blocks]
+        if of_entities and parent:
+            pairs.append(_mark(-2, F.lit(0)))
+        parts.append(rows.select(F.col("id").alias("owner"), failed(None).alias("failed"), F.inline(F.concat(*pairs))).distinct())
+    pairs = reduce(DataFrame.unionByName, parts) if parts else None
+    if pairs is None:
+        raise InvalidQuery("facets of no fields")
+    if (of_blocks and child) or (of_entities and parent):
+        whole = Window.partitionBy("owner")
+        met = F.max(F.col("number") == -1).over(whole)
+        block = F.max(F.when(F.col("number") == -2, F.col("failed"))).over(whole)
+        pairs = pairs.withColumns({"__met": met, "__block": block})
+        bits = _bits(parent, own)
+        for k, f in of_entities:
+            if any(field(x.field).column != f.column for x in parent):
+                pairs = pairs.filter((F.col("number") != k) | F.coalesce(F.col("__block").bitwiseAND(~bits.get(f.column, 0)) == 0, F.lit(False)))
+        if of_blocks and child:
+            pairs = pairs.filter(~F.col("number").isin([k for k, _ in of_blocks]) | F.col("__met"))
+    name = F.element_at(F.array(*map(F.lit, names)), F.col("number") + 1)
+    counted = pairs.filter("number >= 0 AND value IS NOT NULL").groupBy("number", "value").agg(F.count(F.lit(1)).alias("count"))
+    return counted.select(name.alias("field"), "value", "count")
+
+
+def _bits(filters: list[FieldFilter], own: set[str]) -> dict[str, int]:
+    """A bit for each column that is filtered and also counted."""
+    return {c: 1 << k for k, c in enumerate(dict.fromkeys(field(x.field).column for x in filters if field(x.field).column in own))}
+
+
+def _failed(corpus: Corpus, rows: DataFrame, filters: list[FieldFilter], own: set[str], terms: TextIndex | None):
+    """Rows that match the filters on columns that aren't counted, and the bits of the others that a row fails, as a function of a column whose bit doesn't matter."""
+    bits = _bits(filters, own)
+    rows = matching(corpus, rows, [x for x in filters if field(x.field).column not in bits], terms)
+    compiler = Compiler(corpus, rows, terms)
+    fails = F.lit(0).cast("long")
+    for column, bit in bits.items():
+        same = [F.coalesce(compiler.compile(field(x.field), x.filter), F.lit(False)) for x in filters if field(x.field).column == column]
+        fails = fails + F.when(reduce(lambda a, b: a & b, same), 0).otherwise(bit)
+    return compiler.rows.withColumn("__failed", fails), lambda column: F.col("__failed").bitwiseAND(~bits.get(column, 0))
+
+
+def _values(corpus: Corpus, rows: DataFrame, number: int, f: Field, failed: Column) -> Column:
+    """A row's distinct values of a field as pairs with its number, none where a filter of another column fails."""
     if f.is_text:  # its values are the tokens of the index
-        value = F.explode(F.array_distinct(F.flatten(Compiler(corpus, rows).positions(f))))
+        values = F.array_distinct(F.flatten(Compiler(corpus, rows).positions(f)))
     else:
-        value = F.col(f.column).cast("string")
-    # distinct pairs first: the counts then add up in parts before they meet
-    return rows.select(value.alias("value"), owner.alias("owner")).filter("value is not null").distinct().groupBy("value").agg(F.count(F.lit(1)).alias("count"))
+        values = F.array(F.col(f.column).cast("string") if f.column in rows.columns else F.lit(None).cast("string"))
+    pairs = F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda v: F.struct(F.lit(number).alias("number"), v.alias("value")))
+    return F.when(failed == 0, F.filter(pairs, lambda p: p["value"].isNotNull())).otherwise(F.array().cast("array<struct<number:int,value:string>>"))
+
+
+def _mark(number: int, failed: Column) -> Column:
+    one = F.array(F.struct(F.lit(number).alias("number"), F.lit(None).cast("string").alias("value")))
+    return F.when(failed == 0, one).otherwise(F.array().cast("array<struct<number:int,value:string>>"))
+
+
+def few(counts: DataFrame, max_facets: int) -> DataFrame:
+    """The counts of the fields with fewer than ``max_facets`` values, the others give nothing. Both uses of ``counts`` read the same shuffle."""
+    sizes = counts.groupBy("field").agg(F.count(F.lit(1)).alias("__n"), F.max("count").alias("__most"), F.max(F.char_length("value")).alias("__longest"))
+    sizes = sizes.filter((F.col("__n") < max_facets) & (F.col("__most") > 0) & (F.col("__longest") >= 0)).select("field")
+    return counts.join(F.broadcast(sizes), "field", "left_semi")  # one row a field
 
 
 def facet(corpus: Corpus, filters: tuple[FieldFilter, ...], name: str, max_facets: int = 100) -> DataFrame:
-    """``facet_counts`` with the field's name as field; a field with ``max_facets`` values or more gives nothing."""
-    if max_facets < 0:
-        raise InvalidQuery(f"{max_facets} facets")
-    counts = facet_counts(corpus, filters, name)
-    size = counts.limit(max_facets).agg((F.count(F.lit(1)) < max_facets).alias("__few"))
-    return counts.crossJoin(F.broadcast(size)).filter("__few").select(F.lit(name).alias("field"), "value", "count")
+    """``facet_counts`` of one field; one with ``max_facets`` values or more gives nothing."""
+    return facets(corpus, filters, (name,), max_facets)
 
 
 def facets(corpus: Corpus, filters: tuple[FieldFilter, ...], names: tuple[str, ...], max_facets: int = 100) -> DataFrame | None:
     """Facets of several fields as one table, None for no fields."""
-    plans = [facet(corpus, filters, n, max_facets) for n in names]
-    return reduce(DataFrame.unionByName, plans) if plans else None
+    if max_facets < 0:
+        raise InvalidQuery(f"{max_facets} facets")
+    return few(facet_counts(corpus, filters, names), max_facets) if names else None
 
 
 def facets_with_selection(counts: DataFrame, selected: DataFrame) -> DataFrame:
@@ -372,4 +429,4 @@ def facets_with_selection(counts: DataFrame, selected: DataFrame) -> DataFrame:
     return both.select("field", "value", F.coalesce("count", F.lit(0)).alias("count"), F.coalesce("selected", F.lit(False)).alias("selected"))
 
 
-__all__ = ["FIELDS", "Compiler", "Corpus", "blocks", "documents", "facet", "facet_counts", "facets", "facets_with_selection", "glob_pattern", "inner_values", "matching", "phrase", "route", "scored", "with_children"]
+__all__ = ["FIELDS", "Compiler", "Corpus", "blocks", "documents", "facet", "facet_counts", "facets", "facets_with_selection", "few", "glob_pattern", "inner_values", "matching", "phrase", "route", "scored", "with_children"]

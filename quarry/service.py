@@ -108,11 +108,16 @@ class Engine:
         corpus = self.corpus(index)
         if q.max_facets < 1:
             raise InvalidQuery(f"{q.max_facets} facets")
-        out: dict[str, dict[str, int]] = {}
-        for name in q.fields:
-            found = {r.value: r["count"] for r in compiler.facet_counts(corpus, q.filters, name).limit(q.max_facets).collect()}
-            if len(found) < q.max_facets:
-                out[name] = found
+        if not q.fields:
+            return {}
+        counts = compiler.facet_counts(corpus, q.filters, tuple(q.fields)).persist()
+        try:
+            sizes = {r.field: r.n for r in counts.groupBy("field").agg(F.count(F.lit(1)).alias("n")).collect()}
+            out: dict[str, dict[str, int]] = {n: {} for n in q.fields if sizes.get(n, 0) < q.max_facets}
+            for r in counts.filter(F.col("field").isin(*out)).collect() if out else []:
+                out[r.field][r.value] = r["count"]
+        finally:
+            counts.unpersist()
         return out
 
     def _one(self, rows: list[Row], id_: str) -> Row:

@@ -151,3 +151,32 @@ def test_form():
     assert matched(["a"], "OneOf") == Exact("a") and matched(["a", "b"], "AllOf") == And(Exact("a"), Exact("b")) and matched(["a", "b"], "Neither") == Not(Or(Exact("a"), Exact("b"))) and matched([], "Neither") is None
     assert [next_mode(m) for m in ("OneOf", "AllOf", "Neither")] == ["AllOf", "Neither", "OneOf"]
     assert [f.field for f in form_filters("x", [("Name", ["a"], "OneOf"), ("Command", [], "OneOf")], {"Kind": ["Fact"]}, ["i"], ["j"])] == ["SourceCode", "Name", "Kind", "Uses", "ChildId"]
+
+
+def test_facets_read_each_table_once(spark, corpus):
+    """Several fields with filters on both sides give what they give one by one, from one scan of each table."""
+    from quarry.plans.query import Exact, FieldFilter, InRange
+    from quarry.queries import QUERIES
+
+    filters = (FieldFilter("Command", Exact("datatype")), FieldFilter("StartLine", InRange(0, 100)), FieldFilter("Kind", Exact("Constant")))
+    names = ("Command", "Kind", "SourceTheory", "DocKind")
+    for chosen in (filters, filters[2:]):
+        together = {tuple(r) for r in compiler.facets(corpus, chosen, names).collect()}
+        assert together == {tuple(r) for n in names for r in compiler.facet(corpus, chosen, n).collect()}
+        for n in names:  # by hand: filters of other columns hold, and a block counts once
+            others = tuple(x for x in chosen if compiler.field(x.field).column != compiler.field(n).column)
+            of_entities = compiler.field(n).child
+            blocks, entities = compiler.route(others if of_entities else chosen)
+            blocks = [x for x in blocks if x in others]
+            own = {r.id for r in compiler.matching(corpus, corpus.blocks, blocks).collect()}
+            met = {(r.block_id, r.id) for r in compiler.matching(corpus, corpus.entities, entities).collect()}
+            count = sum(r["count"] for r in compiler.facet(corpus, chosen, n).collect())
+            if of_entities and n == "DocKind":
+                assert count == len({b for b, _ in met if b in own or not blocks})
+            if n == "Command":
+                assert count == len(own & {b for b, _ in met} if entities else own)
+    found = QUERIES["facets_drill_down"](spark, "/root/testdata/sf0.001")
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("+- == Initial Plan ==")[0]
+    assert final.count("FileScan") == 2, final
