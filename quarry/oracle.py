@@ -59,6 +59,7 @@ ORACLE_SQL = {
     "filter_not_multivalued": "SELECT count(*) AS n, CAST(sum(l_orderkey) AS BIGINT) AS s FROM lineitem WHERE NOT regexp_full_match(CAST(l_partkey AS VARCHAR), '1.') AND NOT regexp_full_match(CAST(l_suppkey AS VARCHAR), '1.')",
     "filter_and_or_nested": f"{_BOTH} SELECT id FROM blocks WHERE command <> '5-LOW' AND (command LIKE '1%' OR command LIKE '_-HIGH') AND (line BETWEEN 0 AND 5000 OR line BETWEEN 100000 AND 200000)",
     "block_join_same_child": f"{_BOTH} SELECT id FROM blocks b WHERE command = '3-MEDIUM' AND EXISTS (SELECT 1 FROM entities e WHERE e.block_id = b.id AND kind = 'R' AND name = 'F')",
+    "block_join_colocated": f"{_BOTH} SELECT id FROM blocks b WHERE command = '3-MEDIUM' AND EXISTS (SELECT 1 FROM entities e WHERE e.block_id = b.id AND kind = 'R' AND name = 'F')",
     "block_join_two_filters_vs_any": f"{_BOTH} SELECT id FROM blocks b WHERE EXISTS (SELECT 1 FROM entities e WHERE e.block_id = b.id AND kind = 'R') AND EXISTS (SELECT 1 FROM entities e WHERE e.block_id = b.id AND name = 'O') AND NOT EXISTS (SELECT 1 FROM entities e WHERE e.block_id = b.id AND kind = 'R' AND name = 'O')",
     "children_of_blocks": f"{_BOTH} SELECT kind, count(*) AS n FROM entities WHERE block_id IN (SELECT id FROM blocks WHERE command = '5-LOW') GROUP BY kind",
     "block_childless": "SELECT o_orderkey AS id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)",

@@ -15,7 +15,7 @@ from quarry.operators import ingest, lookup, paging
 from quarry.plans import compiler, terms
 from quarry.plans.compiler import Corpus
 from quarry.plans.query import And, Exact, FieldFilter, InRange, InResult, Not, Or, Term, form_filters, matched, used_by
-from quarry.sources import catalog
+from quarry.sources import catalog, shards
 
 
 def orders(spark: SparkSession, sf_dir: str) -> Corpus:
@@ -106,6 +106,13 @@ def block_join_two_filters_vs_any(spark: SparkSession, d: str) -> DataFrame:
     return one.join(two, "id", "left_semi").join(same, "id", "left_anti")
 
 
+def block_join_colocated(spark: SparkSession, d: str) -> DataFrame:
+    """The block join on blocks and entities that are written in the same shards first."""
+    c, path = orders(spark, d), import_queries.scratch(spark)
+    shards.write(c.blocks, c.entities, path, shards.number_for(spark, [f"{d}/orders.parquet", f"{d}/lineitem.parquet"]))
+    return _ids(compiler.blocks(Corpus(*shards.read(spark, path)), (FieldFilter("Kind", Exact("R")), FieldFilter("NameFacet", Exact("F")), FieldFilter("Command", Exact("3-MEDIUM")))))
+
+
 def children_of_blocks(spark: SparkSession, d: str) -> DataFrame:
     """The join from blocks to their entities, by kind."""
     c = orders(spark, d)
@@ -448,6 +455,7 @@ QUERIES = import_queries.QUERIES | {
     "filter_and_or_nested": _blocks(("Command", And(Not(Exact("5-LOW")), Or(Term("1*"), Term("?-HIGH")))), ("StartLine", Or(InRange(0, 5000), InRange(100000, 200000)))),
     "filter_id_list": filter_id_list,
     "block_join_same_child": _blocks(("Kind", Exact("R")), ("NameFacet", Exact("F")), ("Command", Exact("3-MEDIUM"))),
+    "block_join_colocated": block_join_colocated,
     "block_join_two_filters_vs_any": block_join_two_filters_vs_any,
     "children_of_blocks": children_of_blocks,
     "block_childless": block_childless,
