@@ -33,7 +33,7 @@ def test_join_without_shuffle(spark, tmp_path):
 
 
 def test_odd_tables(spark, tmp_path):
-    blocks = spark.createDataFrame([("a", "x"), ("a", "x"), (None, "y"), ("b", None)], "id string, `odd ``name` string")
+    blocks = spark.createDataFrame([("a", "x"), ("a", "x"), (None, "y"), ("b", None)], "id string, `odd name` string")
     entities = spark.createDataFrame([("e1", "a", "R"), ("e1", "a", "R"), ("e2", None, "R"), ("e3", "c", "R")], "id string, block_id string, kind string")
     path = str(tmp_path / "odd")
     shards.write(blocks, entities, path, 3)
