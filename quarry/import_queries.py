@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import analysis, trees
 from quarry.operators import ingest
-from quarry.sources import catalog, reader
+from quarry.sources import catalog, dump, reader
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -220,10 +220,22 @@ def read_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.select("id", "kind", "start_line", F.array_join("uses", ",").alias("uses"), "type")
 
 
+def dump_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations' turns, written as a dump of nested folders with markup, read as spans of two sessions and of what lies below them."""
+    number = F.pmod(F.coalesce("conv_id", F.lit(0)), F.lit(40))
+    folder = F.concat(F.lit("S"), (number % 3).cast("string"), F.lit(".T"), number.cast("string"))
+    turns = table(spark, sf_dir, "conversations").select(folder.alias("dir"), "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    node = F.concat(F.lit('<turn role="'), dump.escaped(F.col("role")), F.lit(r'" mark="1 > 0"><name>\<role></name> \<and> <!-- a note -->'), dump.escaped(F.col("text")), F.lit("</turn>"))
+    path = scratch(spark)
+    turns.repartition("dir").sortWithinPartitions("dir", "conv_id", "turn", "role", "text").select("dir", node.alias("value")).write.partitionBy("dir").text(path)
+    found = dump.read_markup(spark, path, {r"\<and>": "∧"}, ["S0", "S2"], "part-*", "dir=([^/]+)/")
+    return found.select("session", "theory", "n", F.md5("text").alias("h"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         tree_references, proof_references, type_printer, pure_names, last_blank_lines, segment_continuations, adjacency, extract_blocks, extract_types, extract_constants, extract_facts,
-        sanity_warnings, symbol_rules, catalog_upsert, catalog_delete, read_errors, read_valid,
+        sanity_warnings, symbol_rules, catalog_upsert, catalog_delete, read_errors, read_valid, dump_spans,
     )
 }

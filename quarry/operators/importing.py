@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.analysis import facet_copy
 from quarry.functions.trees import flatten, pretty
 from quarry.operators import ingest
+from quarry.sources import dump
 from quarry.sources.catalog import Catalog
 
 
@@ -28,11 +29,16 @@ class Exports:
     trees: DataFrame  # root, tree
 
 
+def spans_of(spark: SparkSession, root: str, symbols: dict[str, str] | None = None, sessions: list[str] | None = None) -> DataFrame:
+    """The spans of a dump's theories, for ``Exports.spans``."""
+    return dump.read_markup(spark, root, symbols, sessions)
+
+
 def extract(exports: Exports) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Blocks, entities and errors of all theories at once."""
     e = exports
     nodes = flatten(e.trees)
-    blocks, errors = ingest.extract_blocks(ingest.segment(e.spans))
+    blocks, errors = ingest.extract_blocks(ingest.segment(e.spans, length=dump.symbol_length(F.col("text"))))
     consts, const_errors = ingest.extract_constants(e.consts, e.constdefs, e.axioms, nodes)
     types, type_errors = ingest.extract_types(e.types, e.typedefs, e.axioms, nodes)
     facts = ingest.extract_facts(e.axioms, e.constdefs, e.typedefs, e.thms, nodes)

@@ -35,27 +35,30 @@ def continues(text: Column) -> Column:
     return (t == "") | t.rlike(starts)
 
 
-def segment(spans: DataFrame, by: list[str] = ("theory",), opens: Column | None = None) -> DataFrame:
+def segment(spans: DataFrame, by: list[str] = ("theory",), opens: Column | None = None, length: Column | None = None, shown: Column | None = None) -> DataFrame:
     """Blocks from ordered spans (by, n, text): start, stop (from 1, stop not included), start_line, src.
 
     A span that opens a block begins an island; the island's number is a running
     count. Offsets and lines are running sums, so theories are independent.
+    ``length`` is how many places a span takes, its characters if not given;
+    ``shown`` what src keeps of it, else its text.
     """
     by = list(by)
     order = Window.partitionBy(*by).orderBy("n")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     newlines = F.char_length("text") - F.char_length(F.replace("text", F.lit("\n"), F.lit("")))
+    length = F.char_length("text") if length is None else length
     first = F.row_number().over(order) == 1
     opens = ~continues(F.col("text")) if opens is None else opens
     rows = spans.select(
-        *by, "n", "text",
+        *by, "n", (F.col("text") if shown is None else shown).alias("text"), length.alias("length"),
         F.sum(F.when(first | opens, 1).otherwise(0)).over(order).alias("island"),
-        (1 + F.coalesce(F.sum(F.char_length("text")).over(before), F.lit(0))).alias("start"),
+        (1 + F.coalesce(F.sum(length).over(before), F.lit(0))).alias("start"),
         (1 + F.coalesce(F.sum(newlines).over(before), F.lit(0))).alias("start_line"),
     )
     texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda s: s["text"]), "")
     return rows.groupBy(*by, "island").agg(
-        F.min("start").cast("long").alias("start"), F.max(F.col("start") + F.char_length("text")).cast("long").alias("stop"), F.min("start_line").cast("int").alias("start_line"), texts.alias("src")
+        F.min("start").cast("long").alias("start"), F.max(F.col("start") + F.col("length")).cast("long").alias("stop"), F.min("start_line").cast("int").alias("start_line"), texts.alias("src")
     )
 
 

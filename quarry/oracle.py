@@ -136,6 +136,9 @@ ORACLE_SQL = {
     "unresolved_documents": f"{_BOTH} SELECT 'Parent' AS doc_kind, count(*) AS n FROM blocks WHERE line BETWEEN 10 AND 40 HAVING count(*) > 0 UNION ALL SELECT 'Child', count(*) FROM entities WHERE line BETWEEN 10 AND 40 HAVING count(*) > 0",
     "full_scan": f"{_BOTH} SELECT 'Parent' AS doc_kind, count(*) AS n, count(DISTINCT id) AS ids FROM blocks UNION ALL SELECT 'Child', count(*), count(DISTINCT id) FROM entities",
     "form_search": f"{_BOTH} SELECT id FROM blocks b WHERE command NOT IN ('1-URGENT', '2-HIGH') AND EXISTS (SELECT 1 FROM entities e WHERE e.block_id = b.id AND name = 'F' AND kind IN ('R', 'A'))",
+    "dump_spans": r"""WITH t AS (SELECT *, 'S' || k % 3 AS session, 'S' || k % 3 || '.T' || k AS theory FROM (SELECT *, ((coalesce(conv_id, 0) % 40) + 40) % 40 AS k, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations)),
+  s AS (SELECT session, theory, CAST(row_number() OVER (PARTITION BY theory ORDER BY conv_id NULLS FIRST, turn NULLS FIRST, r, x) AS INT) AS n, '\<role> ∧ ' || x AS text FROM t WHERE session IN ('S0', 'S2'))
+  SELECT session, theory, 2 * n - 1 AS n, md5(text) AS h FROM s UNION ALL SELECT session, theory, 2 * n, md5(chr(10)) FROM s""",
     "segment_spans": f"WITH {_SEGMENTS} SELECT theory, start, stop, start_line, md5(src) AS h FROM segments",
     "context_lines": rf"""WITH {_SEGMENTS}, beside AS (SELECT theory, start, coalesce(lag(src) OVER w, '') AS b, coalesce(lead(src) OVER w, '') AS a FROM segments WINDOW w AS (PARTITION BY theory ORDER BY start)),
       cut AS (SELECT *, regexp_extract_all(b, '[^\n]*\n|[^\n]+') AS bl, regexp_extract_all(a, '[^\n]*\n|[^\n]+') AS al FROM beside)
