@@ -225,7 +225,7 @@ def dump_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.pmod(F.coalesce("conv_id", F.lit(0)), F.lit(40))
     folder = F.concat(F.lit("S"), (number % 3).cast("string"), F.lit(".T"), number.cast("string"))
     turns = table(spark, sf_dir, "conversations").select(folder.alias("dir"), "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    node = F.concat(F.lit('<turn role="'), dump.escaped(F.col("role")), F.lit(r'" mark="1 > 0"><name>\<role></name> \<and> <!-- a note -->'), dump.escaped(F.col("text")), F.lit("</turn>"))
+    node = F.concat(F.lit('<turn role="'), dump.escaped(F.col("role")), F.lit('" mark="1 > 0"><name>\\&lt;role></name> \\&lt;and> <!-- a note -->'), dump.escaped(F.col("text")), F.lit("</turn>"))
     path = scratch(spark)
     turns.repartition("dir").sortWithinPartitions("dir", "conv_id", "turn", "role", "text").select("dir", node.alias("value")).write.partitionBy("dir").text(path)
     found = dump.read_markup(spark, path, {r"\<and>": "∧"}, ["S0", "S2"], "part-*", "dir=([^/]+)/")

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from quarry.functions.analysis import references_decoded
 
-#: A tag behind its ``<``: whether it closes, its name, what it holds, whether it is empty.
-_TAG = r"""(?s)^(/?)([^\s/>]*)((?:[^>"'/]++|"[^"]*+"|'[^']*+'|/(?!>))*+)(/?)>"""
+#: A tag behind its ``<``: whether it closes, what it holds, whether it is empty.
+_TAG = r"""(?s)^(/?)((?:[^>"'/]++|"[^"]*+"|'[^']*+'|/(?!>))*+)(/?)>"""
 #: A symbol by name (fixed values of the exported texts).
 SYMBOL = r"\\<\^?[A-Za-z][A-Za-z0-9_']*>"
 
@@ -62,8 +62,8 @@ def read_markup(spark: SparkSession, root: str, symbols: dict[str, str] | None =
     A theory is a folder right below ``root``, at any depth of which its
     markup lies in files of the name ``files``; ``theory_folder`` takes its name
     from the path behind ``root``. ``chosen`` names the sessions that are read,
-    all if None. Elements without text give no span; comments and instructions
-    count as nothing; sections of unparsed text aren't part of the format. An
+    all if None. Elements without text give no span; comments (without a
+    ``<``) and instructions count as nothing; sections of unparsed text aren't part of the format. An
     empty file, or a folder without such files, gives nothing. A theory's
     pieces are sorted in one task, which spills; a span is one text.
     """
@@ -76,14 +76,15 @@ def read_markup(spark: SparkSession, root: str, symbols: dict[str, str] | None =
     theory = F.regexp_extract(F.substr("path", F.char_length(plain(F.lit(base))) + 2), f"^{theory_folder}", 1)
     rows = rows.withColumn("theory", theory).withColumn("session", session_of(theory, chosen)).filter("session is not null")
 
-    # the piece before a file's first < has no tag
-    is_tag = (F.col("block") > 0) | (F.col("piece").bitwiseAND((1 << 33) - 1) > 0)
-    closes, empty, name = (F.regexp_extract("value", _TAG, k) for k in (1, 4, 2))
-    counts = is_tag & ~name.rlike("^[!?]")
+    order = Window.partitionBy("session", "theory").orderBy("path", "block", "piece")
+    # the piece before a file's first < has no tag; a task may read several files, so only the order tells which it is
+    rows = rows.withColumn("is_tag", F.coalesce(F.lag("path").over(order) == F.col("path"), F.lit(False)))
+    is_tag = F.col("is_tag")
+    closes, empty = (F.regexp_extract("value", _TAG, k) for k in (1, 3))
+    counts = is_tag & ~F.col("value").rlike("^[!?]")
     step = F.when(~counts | (empty == "/"), 0).when(closes == "/", -1).otherwise(1)
-    text = F.when(~is_tag, F.col("value")).when(name.startswith("!--"), F.regexp_replace("value", "(?s)^.*?-->", "")).otherwise(F.regexp_replace("value", _TAG, ""))
+    text = F.when(~is_tag, F.col("value")).when(F.startswith("value", F.lit("!--")), F.regexp_replace("value", "(?s)^.*?-->", "")).when(~counts, F.regexp_replace("value", "^[^>]*>", "")).otherwise(F.regexp_replace("value", _TAG, ""))
     pieces = rows.select("session", "theory", "path", "block", "piece", step.alias("step"), text.alias("text"))
-    order = Window.partitionBy("session", "theory").orderBy("path", "block", "piece")
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     depth = F.sum("step").over(so_far)
     begun = ((F.col("depth") == 1) & (F.col("step") == 1)) | ((F.col("depth") == 0) & (F.col("text") != ""))
