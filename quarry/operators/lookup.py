@@ -7,6 +7,15 @@ from pyspark.sql import functions as F
 
 from quarry.plans.compiler import Corpus
 
+#: Rows that one task tells apart, about: what it holds of them stays the same however many there are.
+ROWS_OF_A_TASK = 500_000
+
+
+def distinct_in_parts(rows: DataFrame, number: int) -> DataFrame:
+    """The distinct rows of about ``number``, dealt by all their columns before any are held, into parts that grow in number and not in size."""
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, -(-number // ROWS_OF_A_TASK))
+    return rows.repartition(parts, *rows.columns).distinct()
+
 
 def block_of(corpus: Corpus, id_: object) -> DataFrame:
     """The block with an id, or else the one that holds an entity with it; two rows if that is ambiguous."""
@@ -31,7 +40,9 @@ def resolved(corpus: Corpus, entities: DataFrame) -> DataFrame:
 
 def resolve_edges(entities: DataFrame, targets: DataFrame, id_: str = "id") -> DataFrame:
     """One row for each entity and existing target that it uses: columns id and used."""
-    edges = entities.select(F.col(id_).alias("id"), F.explode(F.array_distinct("uses")).alias("used")).distinct()
+    uses = F.array_distinct("uses")
+    n = entities.agg(F.sum(F.greatest(F.size("uses"), F.lit(0)).cast("long")).alias("n")).first().n or 0
+    edges = distinct_in_parts(entities.select(F.col(id_).alias("id"), F.explode(uses).alias("used")), n)
     return edges.join(targets.select(F.col("id").alias("__t")).distinct(), F.col("used") == F.col("__t"), "left_semi")
 
 
