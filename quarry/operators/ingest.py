@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.analysis import block_id, command_kind, entity_id, facet_copy, without_first_component, without_pure
 from quarry.functions.trees import references
+from quarry.operators.lookup import distinct_in_parts
 
 #: What a span begins with that continues the block before it; an @ may stand before it (fixed values).
 CONTINUATIONS = (
@@ -189,7 +190,7 @@ def extract_facts(axioms: DataFrame, constdefs: DataFrame, typedefs: DataFrame,
 
 def repeated_ids(entities: DataFrame, id_: str = "id") -> DataFrame:
     """Ids that different entities share, and how many."""
-    return entities.distinct().groupBy(id_).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return distinct_in_parts(entities, entities.count()).groupBy(id_).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
 def repeated_uses(entities: DataFrame, id_: str = "id") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quarry.operators import lookup
+from quarry.operators import ingest, lookup
 
 
 def parts_before_aggregate(rows) -> bool:
@@ -21,3 +21,10 @@ def test_edges(spark, monkeypatch):
     assert parts_before_aggregate(found)
     assert lookup.distinct_in_parts(spark.range(100), 100).rdd.getNumPartitions() >= 10
     assert lookup.resolve_edges(entities.limit(0), spark.range(5)).count() == 0
+
+
+def test_repeated_ids(spark):
+    rows = spark.sql("SELECT * FROM VALUES ('a', 1, array('x')), ('a', 1, array('x')), ('b', 1, NULL), ('b', 2, NULL), (NULL, 1, NULL), (NULL, 2, array('y')), ('c', 1, array()) AS t(id, n, uses)")
+    found = ingest.repeated_ids(rows)
+    assert sorted(map(tuple, found.collect()), key=str) == sorted([("b", 2), (None, 2)], key=str)
+    assert parts_before_aggregate(found) and ingest.repeated_ids(rows.limit(0)).count() == 0
