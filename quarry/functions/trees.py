@@ -48,12 +48,17 @@ def flatten(trees: DataFrame, root: str = "root", tree: str = "tree") -> DataFra
     return rows.mapInPandas(run, _NODES)
 
 
-def references(nodes: DataFrame) -> DataFrame:
-    """What each root refers to: root, kind (Type, Constant or Fact) and name, each once."""
+def referring(nodes: DataFrame) -> DataFrame:
+    """What each root refers to, once for each node that does: root, kind (Type, Constant or Fact) and name."""
     kind = F.lit(None).cast("string")
     for k, ctors in CONSTRUCTORS.items():
         kind = F.when(F.col("ctor").isin(*ctors), k).otherwise(kind)
-    return nodes.select("root", kind.alias("kind"), "name").filter("kind is not null and name is not null").distinct()
+    return nodes.select("root", kind.alias("kind"), "name").filter("kind is not null and name is not null")
+
+
+def references(nodes: DataFrame) -> DataFrame:
+    """What each root refers to: root, kind (Type, Constant or Fact) and name, each once."""
+    return referring(nodes).distinct()
 
 
 def _name(x: dict) -> str:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.analysis import block_id, command_kind, entity_id, facet_copy, without_first_component, without_pure
-from quarry.functions.trees import references
+from quarry.functions.trees import referring
 from quarry.operators.lookup import distinct_in_parts
 
 #: What a span begins with that continues the block before it; an @ may stand before it (fixed values).
@@ -138,12 +138,16 @@ def other_axioms(axioms: DataFrame, constdefs: DataFrame, typedefs: DataFrame) -
 
 
 def _uses(rows: DataFrame, roots: DataFrame, nodes: DataFrame, more: DataFrame | None = None) -> DataFrame:
-    """Adds uses: ids of what the roots of a row refer to, those of the logic and the row's own name (where ``own`` says so) left out."""
-    refs = roots.join(references(nodes), "root").filter(~F.col("own") | (F.col("ref_self") != F.col("name")) | (F.col("kind") != F.col("ref_kind")))
-    found = refs.select("key", "kind", "name")
+    """Adds uses: ids of what the roots of a row refer to, those of the logic and the row's own name (where ``own`` says so) left out.
+
+    ``more`` has further uses of a key in arrays: columns key and found.
+    """
+    refs = roots.join(referring(nodes), "root").filter(~F.col("own") | (F.col("ref_self") != F.col("name")) | (F.col("kind") != F.col("ref_kind")))
+    found = refs.select("key", F.array(F.struct("kind", "name")).alias("found"))
     if more is not None:
         found = found.unionByName(more)
-    ids = found.distinct().groupBy("key").agg(F.array_sort(F.collect_list(F.struct("kind", "name"))).alias("found"))
+    # repeats go where a key's references meet, so nothing is shuffled only to drop them
+    ids = found.groupBy("key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("found")))).alias("found"))
     rows = rows.join(ids, "key", "left")
     names = F.filter(F.coalesce("found", F.array().cast(ids.schema["found"].dataType)), lambda s: F.size(without_pure(F.array(s["name"]))) > 0)
     return rows.withColumn("uses", F.transform(names, lambda s: entity_id(s["kind"], s["name"]))).drop("found")
@@ -183,7 +187,7 @@ def extract_facts(axioms: DataFrame, constdefs: DataFrame, typedefs: DataFrame,
     """
     free = other_axioms(axioms, constdefs, typedefs).withColumn("key", entity_id(F.lit("a"), entity_id(F.col("theory"), F.col("name"))))
     rows = thms.withColumn("key", entity_id(F.lit("t"), entity_id(F.col("theory"), F.col("name"))))
-    deps = rows.select("key", F.lit("Fact").alias("kind"), F.explode("deps").alias("name"))
+    deps = rows.filter(F.size("deps") > 0).select("key", F.transform("deps", lambda name: F.struct(F.lit("Fact").alias("kind"), name.alias("name"))).alias("found"))
     theorems = _uses(rows, _roots(rows, "prop", "Fact", False).unionByName(_roots(rows, "proof", "Fact", True)), nodes, deps)
     return _entities(_uses(free, _roots(free, "prop", "Fact", False), nodes), "Fact").unionByName(_entities(theorems.drop("deps", "proof"), "Fact"), allowMissingColumns=True)
 

@@ -28,3 +28,14 @@ def test_repeated_ids(spark):
     found = ingest.repeated_ids(rows)
     assert sorted(map(tuple, found.collect()), key=str) == sorted([("b", 2), (None, 2)], key=str)
     assert parts_before_aggregate(found) and ingest.repeated_ids(rows.limit(0)).count() == 0
+
+
+def test_uses_drop_repeats_where_they_meet(spark):
+    """Repeated references and deps count once, deps are not unfolded, and a theorem leaves itself out of its proof's."""
+    thms = spark.sql("SELECT 't' AS theory, 'T.a' AS name, 'p' AS prop, 'q' AS proof, array('T.a', 'D.x', 'D.x', NULL) AS deps UNION ALL SELECT 't', 'T.b', 'r', NULL, NULL")
+    nodes = spark.sql("SELECT * FROM VALUES ('p', 0, NULL, 'Const', 'C'), ('p', 1, 0, 'Const', 'C'), ('q', 0, NULL, 'PThm', 'T.a'), ('q', 1, 0, 'PAxm', 'D.x') AS n(root, node, parent, ctor, name)")
+    axioms = spark.sql("SELECT 't' AS theory, 'A' AS name, 'p' AS prop")
+    none = spark.sql("SELECT 't' AS theory, 'x' AS name, 'none' AS axiom_name")
+    found = ingest.extract_facts(axioms, none, none, thms, nodes)
+    assert {r.id: r.uses for r in found.collect()} == {"Fact.A": ["Constant.C"], "Fact.T.a": ["Constant.C", "Fact.D.x", "Fact.T.a"], "Fact.T.b": []}
+    assert "explode" not in found._jdf.queryExecution().optimizedPlan().toString()
