@@ -10,9 +10,8 @@ and not far from its place. Segments are indexed by length of the line, number
 and content; a line probes the index with those of its substrings that can match,
 for its own length and for each length that is less by what edits allow.
 
-Candidates must nearly agree in which letters occur an odd number of times
-before they are emitted, and in the counts of all letters before their texts
-are read. What is left of two lines between their first and last difference is
+Candidates are emitted once, and must nearly agree in the letters' counts, modulo
+four, before they are, and in the counts themselves before their texts are read. What is left of two lines between their first and last difference is
 checked by a banded bit-parallel edit distance, which stops where its registers
 run empty.
 """
@@ -99,9 +98,10 @@ def _counts(line: Column) -> Column:
     return F.array(*[F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit(""))) for c in COUNTED_CHARS])
 
 
-def _odd(counts: Column) -> Column:
-    """One bit for each of ``COUNTED_CHARS``, 1 if it occurs an odd number of times. An edit changes two bits at most."""
-    return F.aggregate(F.transform(counts, lambda n, k: F.call_function("shiftleft", F.pmod(n, F.lit(2)).cast("long"), k)), F.lit(0).cast("long"), lambda x, bit: x.bitwiseOR(bit))
+def _marks(counts: Column) -> list[Column]:
+    """Two words with a bit each for each of ``COUNTED_CHARS``: its count from 0 to 3, beginning again at 4, as 00, 10, 11, 01. An edit changes two bits at most."""
+    word = lambda more: F.aggregate(F.transform(counts, lambda n, k: F.call_function("shiftleft", F.pmod(F.call_function("div", n + more, F.lit(2)), F.lit(2)).cast("long"), k)), F.lit(0).cast("long"), lambda x, bit: x.bitwiseOR(bit))
+    return [word(1).alias("m1"), word(0).alias("m2")]
 
 
 def _let(value: Column, use) -> Column:
@@ -192,22 +192,25 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
     # copies go before anything is met; what a line is found by depends on the line alone. Half the key tells lines apart
     # here, and where it doesn't, all lines that share it are checked
     probes = checkpointed(long.select("k1", _probes(line, threshold, edit_chars).alias("probes")).distinct())
-    looks = probes.select("k1", F.posexplode("probes").alias("move", "key")).filter("key is not null")
     in_place = [k for k, (_, shorter, _, moved) in enumerate(_looks(threshold)) if shorter == moved == 0]
-    looks = looks.select("k1", "key", F.col("move").isin(in_place).alias("own"))
+    own = F.array(*[F.get("probes", F.lit(k)) for k in in_place])
+    looks = probes.select("k1", own.alias("own"), F.explode(F.array_distinct("probes")).alias("key")).filter("key is not null")
+    looks = looks.select("k1", "key", F.exists("own", lambda k: k.eqNullSafe(F.col("key"))).alias("own"))
     shared = _shared(looks)
     posts = checkpointed(looks.join(if_small(shared), "key"))
     wanted = if_small(checkpointed(posts.select("k1").distinct()))
     texts = checkpointed(long.select("k1", "k2", "line").join(wanted, "k1", "left_semi").distinct())
-    light = checkpointed(texts.select("k1", F.char_length("line").alias("n"), _counts(line).alias("counts")).withColumn("odd", _odd(F.col("counts"))))
-    pairs = checkpointed(_met(posts.join(light.select("k1", "odd"), "k1"), threshold).distinct())
+    light = checkpointed(texts.select("k1", F.char_length("line").alias("n"), _counts(line).alias("counts")).select("*", *_marks(F.col("counts"))))
+    # what a line is indexed by and what it looks up, of the keys by which lines meet
+    held = posts.groupBy("k1").agg(F.collect_set(F.when(F.col("own"), F.col("key"))).alias("owned"), F.collect_set("key").alias("looked"))
+    pairs = checkpointed(_met(posts.join(light.select("k1", "n", "m1", "m2"), "k1").join(held, "k1"), threshold, edit_chars).distinct())
 
     # counts first, texts for what is left
     side = lambda rows, x: rows.select(F.col("k1").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in rows.columns if c != "k1"])
     differ = F.aggregate(F.zip_with("a_counts", "b_counts", lambda x, y: F.abs(x - y)), F.lit(0), lambda x, y: x + y)
     most = allowed(F.least("a_n", "b_n"), threshold, edit_chars)
     near = (F.abs(F.col("a_n") - F.col("b_n")) <= most) & (differ <= 2 * most)
-    pairs = pairs.join(side(light.drop("odd"), "a"), "a").join(side(light.drop("odd"), "b"), "b").filter(near).select("a", "b").distinct()
+    pairs = pairs.join(side(light.drop("m1", "m2"), "a"), "a").join(side(light.drop("m1", "m2"), "b"), "b").filter(near).select("a", "b").distinct()
     whole = texts.select("k1", F.struct("k1", "k2").alias("key"), "line")
     found = pairs.join(side(whole, "a"), "a").join(side(whole, "b"), "b").repartition(F.col("a"), F.col("b"))
     most = allowed(F.least(F.char_length("a_line"), F.char_length("b_line")), threshold, edit_chars)
@@ -221,13 +224,20 @@ def _shared(looks: DataFrame) -> DataFrame:
     return checkpointed(counts.filter("indexed > 0 and n > 1").select("key", "indexed"))
 
 
-def _met(posts: DataFrame, threshold: int) -> DataFrame:
-    """Candidate pairs, the smaller number first: a line that is indexed by a key and one that looks it up, nearly alike in what letters are odd."""
+def _met(posts: DataFrame, threshold: int, edit_chars: int) -> DataFrame:
+    """Candidate pairs, the smaller number first: a line that is indexed by a key and one that looks it up, nearly alike in how often letters occur.
+
+    A line looks up what isn't longer, so lines of one length would meet both
+    ways and one way is enough. A pair is made at the first key by which it
+    meets, so it is made once, whatever the two have in common.
+    """
     places = F.ceil(F.col("indexed") / DEALT).cast("int")
-    own = posts.filter("own").select("key", F.pmod(F.xxhash64("k1"), places).cast("int").alias("place"), F.col("k1").alias("x"), F.col("odd").alias("x_odd"))
-    looks = posts.select("key", F.explode(F.sequence(F.lit(0), places - 1)).alias("place"), F.col("k1").alias("y"), F.col("odd").alias("y_odd"))
-    near = F.bit_count(F.col("x_odd").bitwiseXOR(F.col("y_odd"))) <= 2 * threshold
-    return own.join(looks, ["key", "place"]).filter(near & (F.col("x") != F.col("y"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    own = posts.filter("own").select("key", F.pmod(F.xxhash64("k1"), places).cast("int").alias("place"), F.col("k1").alias("x"), F.col("n").alias("x_n"), F.col("m1").alias("x1"), F.col("m2").alias("x2"), "owned")
+    looks = posts.select("key", F.explode(F.sequence(F.lit(0), places - 1)).alias("place"), F.col("k1").alias("y"), F.col("n").alias("y_n"), F.col("m1").alias("y1"), F.col("m2").alias("y2"), "looked")
+    ordered = (F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x") < F.col("y")))
+    near = F.bit_count(F.col("x1").bitwiseXOR(F.col("y1"))) + F.bit_count(F.col("x2").bitwiseXOR(F.col("y2"))) <= 2 * allowed(F.col("x_n"), threshold, edit_chars)
+    first = F.array_min(F.array_intersect("owned", "looked")) == F.col("key")
+    return own.join(looks, ["key", "place"]).filter(ordered & near & first & (F.col("x") != F.col("y"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, edit_chars: int = EDIT_CHARS) -> DataFrame:

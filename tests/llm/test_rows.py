@@ -233,3 +233,19 @@ def test_short_line_links(spark):
     """Ten code points allow an edit, twenty two; shorter lines are linked to none."""
     docs = spark.createDataFrame([(1, "Page 1 of 20\nLe.\nabc"), (2, "Page 17 of 20\nAs.\nxbc\nno"), (3, "Page 177 of 20"), (4, "Page 1 of 20 on paper"), (5, "Page 177 of 20 on paper")], "doc_id long, text string")
     assert sorted(r.distance for r in linededup.links(docs).collect()) == [1, 1, 2]
+
+
+def test_line_candidates(spark, monkeypatch):
+    """A pair is made once, whatever its lines share, and only if their letters' counts are near."""
+    made, met = [], linededup._met
+
+    def counted(*args):
+        made.append(met(*args))
+        return made[0]
+
+    monkeypatch.setattr(linededup, "_met", counted)
+    alike = [f"the quick brown fox jumps over {x} lazy dogs" for x in "qwzxvkjy"]
+    apart = [f"every letter comes twice in what follows {x * 2} {y * 2} {z * 2}" for x, y, z in ("abc", "def", "ghi", "jkl", "mno")]
+    docs = spark.createDataFrame(list(enumerate(alike + apart)), "doc_id long, text string")
+    assert linededup.links(docs).count() == 28
+    assert made[0].count() == made[0].distinct().count() == 28
