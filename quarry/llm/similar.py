@@ -113,8 +113,8 @@ def _common(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held).view(np.int64))], names=["key"])
 
     counts = in_batches(drawn).mapInArrow(run, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= COMMON_FROM)
-    top = counts.orderBy(F.desc("n"), "key").limit(MAX_SENT_ROWS).collect()
-    keys, texts = np.array([r.key for r in top], np.int64).view(np.uint64), np.array([r.n for r in top], np.int64)
+    top = counts.orderBy(F.desc("n"), "key").limit(MAX_SENT_ROWS).toArrow()
+    keys, texts = top["key"].to_numpy().view(np.uint64), top["n"].to_numpy()
     order = np.argsort(keys)
     return keys[order], texts[order]
 
@@ -165,7 +165,7 @@ def _keys(docs: DataFrame, text_col: str, common: tuple[np.ndarray, np.ndarray])
 def _sets(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
     """The sets with the numbers ``wanted`` (node), once each: node and its shingles as bytes."""
     few = wanted.count() <= MAX_SENT_ROWS
-    known = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r.node for r in wanted.collect()], np.int64))) if few else None
+    known = docs.sparkSession.sparkContext.broadcast(np.sort(wanted.toArrow()["node"].to_numpy())) if few else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -228,7 +228,8 @@ def links(docs: DataFrame, light: DataFrame, text_col: str = "text") -> DataFram
     first = _linked(docs, text_col, light, equal.unionByName(near))
     # then shingles. Of every few, the sets that share one meet one of them, another each time, which joins what is left of
     # large groups in a number of checks that grows with their size only
-    posts = checkpointed(_keys(docs, text_col, _common(docs, text_col)))
+    # all keys are cut twice rather than kept: most occur once, and they are many times what is kept of them
+    posts = _keys(docs, text_col, _common(docs, text_col))
     posts = _unconnected(posts, first).distinct().join(light.select("node", "n", *SKETCH), "node")
     posts = checkpointed(posts)
     own = F.struct(F.xxhash64("key", "node").alias("order"), "node", "n", "group", *SKETCH)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from __spark_entry__ import queries
+from quarry.llm import similar
 from quarry.llm.queries import QUERIES
 
 
@@ -59,3 +60,20 @@ def test_near_copies(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(low))
     assert len(set(low)) < len(texts) - 20
     assert corpus_pipeline.drop_near_copies(spark, docs.limit(0), "").count() == 0
+
+
+def test_keys_are_not_kept(spark, monkeypatch):
+    """Keys that only one text has are never written, whatever the texts are."""
+    kept = []
+
+    def counted(df):
+        out = checkpointed(df)
+        if "key" in out.columns:
+            kept.append(out.count())
+        return out
+
+    checkpointed = similar.checkpointed
+    monkeypatch.setattr(similar, "checkpointed", counted)
+    docs = spark.createDataFrame([(k, " ".join(f"w{k}x{i}" for i in range(60))) for k in range(20)], "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in similar.near_classes(docs).collect()} == {(k, k) for k in range(20)}
+    assert kept and max(kept) == 0
