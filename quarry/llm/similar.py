@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,8 +33,8 @@ WORDS = 5
 SIMILAR, OF = 4, 5
 #: Texts that tell which shingles are common, about, and how many of them must have one.
 TEXTS_FOR_ORDER, COMMON_FROM = 5_000, 5
-#: One shingle in so many joins the sets that share it to one of them, before all pairs that aren't connected yet are checked. It changes the work only.
-HUBS = 4
+#: One of so many candidate pairs is checked first where those that it leaves connected needn't be. It changes the work only.
+FIRST = 4
 #: Words of 64 bits in the short sketch of a set's parities, which the join itself looks at.
 SKETCH_WORDS = 8
 SKETCH = [f"s{k}" for k in range(SKETCH_WORDS)]
@@ -190,8 +190,11 @@ def _sets(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
     return (found if few else found.join(wanted, "node", "left_semi")).dropDuplicates(["node"])
 
 
-def _linked(docs: DataFrame, text_col: str, light: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of the candidate pairs (a, b) that are similar enough."""
+def _linked(docs: DataFrame, text_col: str, light: DataFrame, pairs: DataFrame, known: DataFrame | None = None, rounds: int = 1) -> DataFrame:
+    """``known`` with links among the candidate pairs (a, b), enough of them to connect what all of them would.
+
+    In two rounds, a part of the pairs is checked first; those that are connected then are left out of the rest.
+    """
 
     def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -211,8 +214,22 @@ def _linked(docs: DataFrame, text_col: str, light: DataFrame, pairs: DataFrame)
     both = pairs.join(side(light, "a", "n", "parities"), "a").join(side(light, "b", "n", "parities"), "b")
     pairs = checkpointed(both.select("a", "b", "a_n", "b_n", "a_parities", "b_parities").mapInArrow(possible, "a long, b long"))
     sets = checkpointed(_sets(docs, text_col, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
-    both = pairs.join(side(sets, "a", "own"), "a").join(side(sets, "b", "own"), "b")
-    return checkpointed(both.select("a", "b", "a_own", "b_own").mapInArrow(similar, "a long, b long"))
+    turn = F.pmod(F.xxhash64("a", "b"), F.lit(FIRST)) == 0
+    for k in range(rounds):
+        some = pairs if rounds == 1 else pairs.filter(turn if k == 0 else ~turn)
+        if k:
+            some = _apart(some, if_small(checkpointed(components(known))))
+        both = some.join(side(sets, "a", "own"), "a").join(side(sets, "b", "own"), "b")
+        found = checkpointed(both.select("a", "b", "a_own", "b_own").mapInArrow(similar, "a long, b long"))
+        known = found if known is None else known.unionByName(found)
+    return known
+
+
+def _apart(pairs: DataFrame, near: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) that are not in one component of ``near``."""
+    for x in ("a", "b"):
+        pairs = pairs.join(near.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}")), x, "left")
+    return pairs.filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
 
 
 def links(docs: DataFrame, light: DataFrame, text_col: str = "text") -> DataFrame:
@@ -226,38 +243,48 @@ def links(docs: DataFrame, light: DataFrame, text_col: str = "text") -> DataFram
     near = simhash.links(prints).withColumnsRenamed({"a": "x", "b": "y"})
     near = near.join(prints.select(F.col("fp").alias("x"), "a"), "x").join(prints.select(F.col("fp").alias("y"), F.col("a").alias("b")), "y").select("a", "b")
     first = _linked(docs, text_col, light, equal.unionByName(near))
-    # then shingles. Of every few, the sets that share one meet one of them, another each time, which joins what is left of
-    # large groups in a number of checks that grows with their size only
-    # all keys are cut twice rather than kept: most occur once, and they are many times what is kept of them
-    posts = _keys(docs, text_col, _common(docs, text_col))
-    posts = _unconnected(posts, first).distinct().join(light.select("node", "n", *SKETCH), "node")
-    posts = checkpointed(posts)
-    own = F.struct(F.xxhash64("key", "node").alias("order"), "node", "n", "group", *SKETCH)
-    some = posts.filter(F.pmod(F.xxhash64("key"), F.lit(HUBS)) == 0)
-    hubs = some.groupBy("key").agg(F.min(own).alias("hub")).select("key", "hub.*")
-    first = checkpointed(first.unionByName(_linked(docs, text_col, light, _likely(some, hubs).distinct())))
+    # then shingles; most keys occur once, so all are shuffled once, as two numbers, and only what is shared is kept
+    of_key = Window.partitionBy("key")
+    posts = _keys(docs, text_col, _common(docs, text_col)).withColumns({"low": F.min("node").over(of_key), "high": F.max("node").over(of_key)})
+    posts = checkpointed(posts.filter("low <> high").select("key", "node").distinct())
+    # the sets that share a key meet one of them, another each time, which joins what is left of large groups in a number of checks
+    # that grows with their size only
+    hub = F.min(F.struct(F.xxhash64("key", "node").alias("order"), "node", "n", "group", *SKETCH)).over(of_key)
+    posts = _unconnected(posts, first)
+    hubs = _sketched(posts, light).withColumn("hub", hub).select(*_named("a"), *_named("b", "hub."))
+    first = _linked(docs, text_col, light, hubs.filter(_like()).select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct(), first, 2)
     # then every pair that isn't connected yet
-    posts = checkpointed(_unconnected(posts.drop("group"), first))
-    return first.unionByName(_linked(docs, text_col, light, _likely(posts, posts, F.col("a_node") < F.col("b_node")).distinct()))
+    posts = _sketched(_unconnected(posts.drop("group"), first), light)
+    rest = posts.select("key", *_named("a")).join(posts.select("key", *_named("b")), "key").filter(_like() & (F.col("a_node") < F.col("b_node")))
+    return _linked(docs, text_col, light, rest.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct(), first)
 
 
 def _unconnected(posts: DataFrame, known: DataFrame) -> DataFrame:
-    """Those of ``posts`` (key, node and more) whose key is shared by sets that ``known`` doesn't connect, with the group of each set."""
+    """Those of ``posts`` (key and node) whose key is shared by sets that ``known`` doesn't connect, with the group of each set."""
     near = if_small(checkpointed(components(known)))
     posts = posts.join(near, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component")
-    mixed = posts.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low <> high").select("key")
-    return posts.join(if_small(checkpointed(mixed)), "key", "left_semi")
+    of_key = Window.partitionBy("key")
+    posts = posts.withColumns({"low": F.min("group").over(of_key), "high": F.max("group").over(of_key)})
+    return checkpointed(posts.filter("low <> high").drop("low", "high"))
+
+
+def _sketched(posts: DataFrame, light: DataFrame) -> DataFrame:
+    """``posts`` with each set's size and sketch."""
+    return posts.join(light.select("node", "n", *SKETCH), "node")
+
+
+def _named(x: str, of: str = "") -> list[Column]:
+    """What ``_like`` looks at, of one side."""
+    return [F.col(f"{of}{c}").alias(f"{x}_{c}") for c in ("n", "node", "group", *SKETCH)]
 
 
-def _likely(left: DataFrame, right: DataFrame, which: Column | None = None) -> DataFrame:
-    """Pairs (a, b) of unconnected sets that share a key and aren't ruled out by sizes and sketches."""
-    left, right = (posts.select("key", *[F.col(c).alias(f"{x}_{c}") for c in ("n", "node", "group", *SKETCH)]) for x, posts in (("a", left), ("b", right)))
+def _like() -> Column:
+    """True for two unconnected sets that aren't ruled out by sizes and sketches."""
     like = (F.col("a_n") * OF >= F.col("b_n") * SIMILAR) & (F.col("b_n") * OF >= F.col("a_n") * SIMILAR) & (F.col("a_group") != F.col("b_group"))
     differ = F.lit(0)
     for c in SKETCH:
         differ = differ + F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}")))
-    like = like & (differ * (OF + SIMILAR) <= (F.col("a_n") + F.col("b_n")) * (OF - SIMILAR))
-    return left.join(right, "key").filter(like if which is None else like & which).select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    return like & (differ * (OF + SIMILAR) <= (F.col("a_n") + F.col("b_n")) * (OF - SIMILAR))
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

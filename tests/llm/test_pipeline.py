@@ -77,3 +77,34 @@ def test_keys_are_not_kept(spark, monkeypatch):
     docs = spark.createDataFrame([(k, " ".join(f"w{k}x{i}" for i in range(60))) for k in range(20)], "doc_id long, text string")
     assert {(r.doc_id, r.component_id) for r in similar.near_classes(docs).collect()} == {(k, k) for k in range(20)}
     assert kept and max(kept) == 0
+
+
+def test_large_groups_of_near_copies(spark, monkeypatch):
+    """Sets that share keys meet one of them first, so few pairs of a large group are left for the last step, which makes all pairs."""
+    rng = random.Random(7)
+    base = [f"w{k}" for k in range(200)]
+    texts = []
+    for _ in range(60):
+        near = list(base)
+        for _ in range(rng.choice((2, 3))):
+            near[rng.randrange(200)] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(near))
+    pairs = []
+    linked = similar._linked
+
+    def counted(docs, text_col, light, candidates, *more):
+        pairs.append(candidates.count())
+        return linked(docs, text_col, light, candidates, *more)
+
+    monkeypatch.setattr(similar, "_linked", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    classes = {r.component_id for r in similar.near_classes(docs).collect()}
+    sets = [{tuple(w[k : k + 5]) for k in range(196)} for w in map(str.split, texts)]
+    low = list(range(60))
+    for i in range(60):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and low[i] != low[j]:
+                a, b = sorted((low[i], low[j]))
+                low = [a if x == b else x for x in low]
+    assert classes == set(low)
+    assert pairs[-1] < len(texts)
