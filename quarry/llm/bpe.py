@@ -14,6 +14,8 @@ import heapq
 import itertools
 import json
 import re
+from array import array
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -37,8 +39,10 @@ LATIN_PATTERN = (
 MAX_VOCABULARY_BYTES = 64 << 20
 #: Words whose ids a worker remembers; past this it forgets them all, which changes no result.
 REMEMBERED_WORDS = 200_000
-#: Characters of new words that are indexed at once, in arrays of 4 bytes a character; texts are taken in groups of as many.
+#: Characters of texts that are taken in a group.
 INDEXED_CHARS = 1_000_000
+#: Characters of new words that are indexed at once: lists of places take up to about 100 bytes a character.
+INDEXED_AT_ONCE = 120_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -178,11 +182,11 @@ class Codec:
 
     def _learn(self, words: Iterable[str]) -> None:
         batch, size = [], 0
-        for w in [*words, None]:
+        for w in itertools.chain(words, [None]):
             if w is not None:
                 batch.append(w)
                 size += len(w)
-            if batch and (w is None or size >= INDEXED_CHARS):
+            if batch and (w is None or size >= INDEXED_AT_ONCE):
                 self.known.update(zip(batch, encode_words(self.vocabulary, [x.encode() for x in batch]), strict=True))
                 batch, size = [], 0
 
@@ -194,14 +198,16 @@ class Codec:
                 group.append(text)
                 chars += len(text)
             if group and (text is None or chars >= INDEXED_CHARS):
-                split = [[(special, [part] if special else self.split(part)) for special, part in self._parts(x)] for x in group]
-                fresh = {w for parts in split for special, words in parts if not special for w in words}
-                if len(self.known) + len(fresh) > REMEMBERED_WORDS:
-                    self.known.clear()
-                self._learn(w for w in fresh if w not in self.known)
-                for parts in split:
-                    yield b"".join(b"".join(map((self.special_ids if special else self.known).__getitem__, words)) for special, words in parts)
+                # each distinct word is held once, texts as numbers of words
+                number: defaultdict[str, int] = defaultdict(itertools.count().__next__)
+                parts = [[(special, part if special else array("I", map(number.__getitem__, self.split(part)))) for special, part in self._parts(x)] for x in group]
                 group, chars = [], 0
+                if len(self.known) + len(number) > REMEMBERED_WORDS:
+                    self.known.clear()
+                self._learn(w for w in number if w not in self.known)
+                ids = [self.known[w] for w in number].__getitem__
+                for of_text in parts:
+                    yield b"".join(self.special_ids[part] if special else b"".join(map(ids, part)) for special, part in of_text)
 
     def decode(self, packed: bytes) -> str:
         """Text of packed ids; special tokens included."""

@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -202,7 +203,9 @@ def train(
             chosen.append((r["__id"], r.h, len(chosen), r.y))
     if not chosen:
         return fit([], [])
-    wanted = docs.sparkSession.createDataFrame(chosen, T.StructType([T.StructField("__id", light.schema["__id"].dataType), T.StructField("h", T.LongType()), T.StructField("k", T.IntegerType()), T.StructField("y", T.IntegerType())]))
+    # as Arrow: rows of Python objects would go through workers of a second kind, which stay in each executor's memory
+    schema = T.StructType([T.StructField("__id", light.schema["__id"].dataType), T.StructField("h", T.LongType()), T.StructField("k", T.IntegerType()), T.StructField("y", T.IntegerType())])
+    wanted = docs.sparkSession.createDataFrame(pa.table([list(x) for x in zip(*chosen, strict=True)], names=schema.names), schema)
     texts = text.join(F.broadcast(wanted), ["__id", "h"]).groupBy("k").agg(F.min("t").alias("t"), F.first("y").alias("y")).orderBy("k").collect()
     return fit([r.t for r in texts], [r.y for r in texts], max_features=max_features)
 

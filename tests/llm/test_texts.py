@@ -4,13 +4,16 @@ import hashlib
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
+from pyspark import SparkContext
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -45,6 +48,28 @@ def test_bpe_random_texts():
         assert codec.latin_split(x) == codec.any_split(x)
 
 
+def test_bpe_holds_a_word_once():
+    codec, rng = bpe.Codec(bpe.Vocabulary.of(open(VOCABULARY).read())), random.Random(3)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(3)) for _ in range(400)]
+    texts = [" ".join(rng.choice(words) for _ in range(1000)) for _ in range(240)]
+    tracemalloc.start()
+    try:
+        assert sum(1 for _ in codec.encode_batch(texts)) == len(texts)
+        assert tracemalloc.get_traced_memory()[1] < 6e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_batches_for_workers_are_small(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    texts = spark.range(2000, numPartitions=1).select(F.repeat(F.lit("x"), 5000).alias("text"))
+    found = [r.n for r in common.in_batches(texts).mapInArrow(sizes, "n long").collect()]
+    assert sum(found) >= 10_000_000 and max(found) < 3_000_000
+
+
 def plain_fingerprint(text):
     words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([" ".join(words)] if words else [])
@@ -208,6 +233,17 @@ def test_toxicity(spark, odd, odd_rows, none, labels):
     assert 0 <= toxicity.train(odd, labels).score("alpha beta")[0] <= 1
 
 
+def test_toxicity_starts_no_second_kind_of_workers(odd, labels, monkeypatch):
+    want = toxicity.train(odd, labels)
+
+    def parallelize(*args, **more):
+        raise AssertionError("rows of Python objects go through an RDD's workers")
+
+    monkeypatch.setattr(SparkContext, "parallelize", parallelize)
+    found = toxicity.train(odd, labels)
+    assert (found.weights, found.constant) == (want.weights, want.constant)
+
+
 def test_toxicity_sample(spark, labels):
     """The training texts are whole, within their bound, and of rows that repeat an id one is drawn, in whatever order they come."""
     docs = spark.createDataFrame([(k, ("foul " if k % 2 else "fair ") * (k % 7 + 1) + "word " * 3) for k in range(200, 230)] + [(k, f"repeat {k}") for k in range(200, 210)], "doc_id long, text string")
